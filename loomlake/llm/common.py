@@ -72,8 +72,8 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, text and rid: a long that is unique by row and ordered as doc_id.
+def keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """doc_id, text and rid, a long that is unique by row and ordered as doc_id; and whether rid is doc_id.
 
     Where doc_id is whole-numbered, never null and unique, rid is doc_id. Else rows are numbered in the order of doc_id
     (nulls first), then text, so that repeated ids and repeated rows remain rows of their own.
@@ -82,6 +82,13 @@ def keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     if dict(thin.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint"):
         odd = thin.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1)
         if odd.isEmpty():
-            return thin.withColumn("rid", F.col("doc_id").cast("long"))
+            return thin.withColumn("rid", F.col("doc_id").cast("long")), True
     ordered = thin.orderBy(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")).withColumn("rid", F.monotonically_increasing_id())
-    return scratch.save(ordered, "keyed")
+    return scratch.save(ordered, "keyed"), False
+
+
+def with_ids(out: DataFrame, rows: DataFrame, same: bool) -> DataFrame:
+    """out with doc_id in the place of rid; a join is needed only where they differ."""
+    if same:
+        return out.withColumn("doc_id", F.col("rid").cast(rows.schema["doc_id"].dataType)).drop("rid")
+    return rows.select("rid", "doc_id").join(out, "rid").drop("rid")

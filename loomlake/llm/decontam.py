@@ -114,7 +114,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     benchmark contaminates nothing.
     """
     scratch = Scratch(docs.sparkSession, "decontam")
-    rows = keyed(docs, scratch)
+    rows, _ = keyed(docs, scratch)
     shared = template_matches(rows, benchmark, window, scratch).where("consistent").withColumn("share", F.col("covered") / F.col("coverable")).groupBy("rid", "item_id").agg(F.max("share").alias("share"))
     per_doc = shared.groupBy("rid").agg(F.sort_array(F.collect_list(F.when(F.col("share") >= cover, F.col("item_id")))).alias("item_ids"), F.max("share").alias("best_cover"))
     return (
