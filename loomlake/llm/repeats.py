@@ -4,10 +4,12 @@ What suffix-array and substring deduplication share. A symbol is a byte or a wor
 
 1. Anchors. Of the grams in a window the one with the least hash is its anchor; equal windows have equal anchors at equal
    places. So windows that share no anchor's gram with another place can't repeat, and most of the text drops out here.
-2. Stretches. The windows of a shared anchor are cut by their place relative to it into stretches of `step` windows. All
-   windows of a stretch have a common core of length - step + 1 symbols; what differs is the slack, up to step - 1 symbols
-   at each side. Stretches with equal core and slack are one class, so copies are counted once before anything is sorted.
-3. Solving. The classes of a core become strings of symbols - slack, core, slack, where the core is one symbol, as equal
+2. Runs. The windows of an anchor are its run; runs with equal content are one class. From here on only one run of a class,
+   its first, goes on: all others repeat it whole.
+3. Stretches. A run is cut by the windows' places relative to the anchor into stretches of `step` windows. All windows of
+   a stretch have a common core of length - step + 1 symbols; what differs is the slack, up to step - 1 symbols at each
+   side. Stretches with equal core and slack are one class.
+4. Solving. The classes of a core become strings of symbols - slack, core, slack, where the core is one symbol, as equal
    cores have equal names - and the windows are their stretches of `step` symbols. A solver (suffix array or suffix
    automaton) tells for every class which of its windows other classes have too. A bin of strings has a bounded size;
    a core with more than HOT places goes window by window through a grouping by whole content instead.
@@ -97,7 +99,9 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.R
         for data, offsets, lo, _ in _cut(batch):
             syms, bounds, _ = symbols(kind, data, offsets)
             text, grams, at, lead, n = find_anchors(kind, syms, bounds)
-            yield pa.RecordBatch.from_pydict({"rid": rids[lo + text], "h": grams.view(np.int64), "at": at.astype(np.int32), "lead": lead.astype(np.int32), "n": n.astype(np.int32)})
+            start = bounds[text] + at - lead
+            run = mix(Hashes(syms).of(start, start + n - 1 + kind.length) + (lead * 4096 + n).astype(np.uint64))
+            yield pa.RecordBatch.from_pydict({"rid": rids[lo + text], "h": grams.view(np.int64), "run": run.view(np.int64), "at": at.astype(np.int32), "lead": lead.astype(np.int32), "n": n.astype(np.int32)})
 
 
 def _stretch_rows(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
@@ -210,43 +214,49 @@ def _solve(batches: Iterator[pa.RecordBatch], kind: Kind, solver: Solver, earlie
 
 
 def repeated_windows(docs: DataFrame, kind: Kind, solver: Solver, earlier: bool, scratch: Scratch) -> DataFrame:
-    """rid, pos, mask: bit x of mask says that the window at pos - x repeats.
+    """rid, pos, mask: bit x of mask says that the window at pos - x repeats; below 0, that -mask windows from pos on do.
 
     docs: rid (unique), text. earlier: only windows that also start earlier (smaller rid, or same rid and earlier start)
     count; else all that start anywhere else. Joins on hashes are left to Spark's skew handling; every grouping combines
     before its shuffle. Intermediate tables are deleted as soon as no later step reads them.
     """
-    anchors = scratch.save(docs.mapInArrow(partial(_anchor_rows, kind=kind), "rid long, h long, at int, lead int, n int"), "anchors")
+    anchors = scratch.save(docs.mapInArrow(partial(_anchor_rows, kind=kind), "rid long, h long, run long, at int, lead int, n int"), "anchors")
     shared = scratch.save(anchors.groupBy("h").count().where("count > 1").select("h"), "shared")
-    cells = anchors.join(shared, "h", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("at", "lead", "n")).alias("cells"))
-    with_cells = docs.join(cells, "rid")
-    stretches = scratch.save(with_cells.mapInArrow(partial(_stretch_rows, kind=kind), "rid long, g long, c long, pos int, lo int, hi int, slack binary"), "stretches")
+    runs = scratch.save(anchors.join(shared, "h", "left_semi"), "runs")
     scratch.drop("anchors")
     scratch.drop("shared")
+    place = F.struct("rid", "at", "lead", "n")
+    firsts = scratch.save(runs.groupBy("h", "run").agg(F.count("*").alias("copies"), F.min(place).alias("first")), "firsts")
+    again = runs.join(firsts.where("copies > 1"), ["h", "run"])
+    if earlier:
+        again = again.where(place != F.col("first"))
+    whole = again.select("rid", (F.col("at") - F.col("lead")).alias("pos"), (-F.col("n")).cast("long").alias("mask"))
+    several = firsts.groupBy("h").count().where("count > 1").select("h")
+    cells = firsts.join(several, "h", "left_semi").groupBy("first.rid").agg(F.collect_list(F.struct("first.at", "first.lead", "first.n")).alias("cells"))
+    return whole.unionByName(_partly(docs.join(cells, "rid"), kind, solver, earlier, scratch))
+
+
+def _partly(docs: DataFrame, kind: Kind, solver: Solver, earlier: bool, scratch: Scratch) -> DataFrame:
+    """rid, pos, mask of the runs named in cells that share their anchor's gram with other runs."""
+    stretches = scratch.save(docs.mapInArrow(partial(_stretch_rows, kind=kind), "rid long, g long, c long, pos int, lo int, hi int, slack binary"), "stretches")
     place = F.struct("rid", "pos")
-    groups = stretches.groupBy("g").agg(F.count("*").alias("places"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(place).alias("first")).where("places > 1")
+    groups = stretches.groupBy("g").agg(F.count("*").alias("places"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("places > 1")
     rows = scratch.save(stretches.join(groups, "g").withColumn("mixed", F.col("c0") != F.col("c1")).drop("c0", "c1"), "rows")
     scratch.drop("stretches")
     every = F.expr("shiftleft(shiftleft(1L, hi - lo + 1) - 1, lo)")
-    plain = rows.where("not mixed")
-    if earlier:
-        plain = plain.where(place != F.col("first"))
-    plain = plain.select("rid", "pos", every.alias("mask"))
-    mixed = rows.where("mixed").drop("first")
-    classes = scratch.save(mixed.groupBy("g", "c").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.first("slack").alias("slack"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("places").alias("places")), "classes")
-    thin = classes.where(F.col("places") <= HOT).select("g", "c", "first.rid", "first.pos", "lo", "hi", "slack")
+    classes = scratch.save(rows.groupBy("g", "c").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.first("slack").alias("slack"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("places").alias("places"), F.first("mixed").alias("mixed")), "classes")
+    thin = classes.where(F.col("mixed") & (F.col("places") <= HOT)).select("g", "c", "first.rid", "first.pos", "lo", "hi", "slack")
     solved = thin.repartition("g").sortWithinPartitions("g").mapInArrow(partial(_solve, kind=kind, solver=solver, earlier=earlier, most=BIN), "g long, c long, mask long")
     w, r = kind.width, kind.step
     content = F.expr(f"concat(substring(slack, (hi - x) * {w} + 1, x * {w}), substring(slack, hi * {w} + 1, ({r - 1} - x) * {w}))")
-    windows = classes.where(F.col("places") > HOT).withColumn("x", F.explode(F.sequence("lo", "hi"))).select("g", "c", "x", "first", F.xxhash64(content).alias("content"))
+    windows = classes.where(F.col("mixed") & (F.col("places") > HOT)).withColumn("x", F.explode(F.sequence("lo", "hi"))).select("g", "c", "x", "first", F.xxhash64(content).alias("content"))
     totals = windows.groupBy("g", "x", "content").agg(F.count("*").alias("k"), F.min("first").alias("least"))
     again = windows.join(totals, ["g", "x", "content"]).where((F.col("first") != F.col("least")) if earlier else (F.col("k") > 1))
     single = again.groupBy("g", "c").agg(F.bit_or(F.expr("shiftleft(1L, x)")).alias("mask"))
     masks = classes.select("g", "c", "copies", "first").join(solved.unionByName(single), ["g", "c"], "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
-    judged = mixed.join(masks, ["g", "c"])
+    judged = rows.join(masks, ["g", "c"])
     alone = (place == F.col("first")) if earlier else (F.col("copies") == 1)
-    judged = judged.select("rid", "pos", F.when(alone, F.col("mask")).otherwise(every).alias("mask")).where("mask != 0")
-    return plain.unionByName(judged)
+    return judged.select("rid", "pos", F.when(alone, F.col("mask")).otherwise(every).alias("mask")).where("mask != 0")
 
 
 def _removals(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
@@ -260,8 +270,11 @@ def _removals(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.Reco
             own = slice(int(hit_at[lo]), int(hit_at[hi]))
             text = np.repeat(np.arange(hi - lo), np.diff(hit_at[lo : hi + 1]))
             pos, mask = bounds[text] + poss[own], masks[own]
-            starts = np.concatenate([pos[(mask >> x) & 1 == 1] - x for x in range(kind.step)])
-            edge = np.bincount(starts, minlength=len(syms) + 1) - np.bincount(starts + kind.length, minlength=len(syms) + 1)
+            whole = mask < 0
+            parts = [pos[~whole & ((mask >> x) & 1 == 1)] - x for x in range(kind.step)]
+            starts = np.concatenate([pos[whole], *parts])
+            ends = np.concatenate([pos[whole] - mask[whole] - 1, *parts]) + kind.length
+            edge = np.bincount(starts, minlength=len(syms) + 1) - np.bincount(ends, minlength=len(syms) + 1)
             gone = np.cumsum(edge)[: len(syms)] > 0
             # maximal runs, cut at the ends of texts
             before = np.concatenate([[False], gone])[: len(gone)]
