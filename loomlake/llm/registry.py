@@ -3,12 +3,29 @@
 from __future__ import annotations
 
 from .decontam import op10_template_decontam
+from .minhash import op3_super_minhash
 from .mixing import op1_mix_sources
 from .quality import op5_weak_supervision
 from .sharding import op8_bin_packing
 from .substring_dedup import op7_suffix_automata
 from .suffix_dedup import op4_suffix_array
+from .token_counts import op9_trie_unigram
+from .toxicity import op6_ordinal_toxicity
 from .urlfilter import OP2_SQL, op2_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op4_suffix_array, op5_weak_supervision, op7_suffix_automata, op8_bin_packing, op10_template_decontam)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources,
+        op2_url_filter,
+        op3_super_minhash,
+        op4_suffix_array,
+        op5_weak_supervision,
+        op6_ordinal_toxicity,
+        op7_suffix_automata,
+        op8_bin_packing,
+        op9_trie_unigram,
+        op10_template_decontam,
+    )
+}
 ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL}

@@ -246,7 +246,8 @@ def _partly(docs: DataFrame, kind: Kind, solver: Solver, earlier: bool, scratch:
     every = F.expr("shiftleft(shiftleft(1L, hi - lo + 1) - 1, lo)")
     classes = scratch.save(rows.groupBy("g", "c").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.first("slack").alias("slack"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("places").alias("places"), F.first("mixed").alias("mixed")), "classes")
     thin = classes.where(F.col("mixed") & (F.col("places") <= HOT)).select("g", "c", "first.rid", "first.pos", "lo", "hi", "slack")
-    solved = thin.repartition("g").sortWithinPartitions("g").mapInArrow(partial(_solve, kind=kind, solver=solver, earlier=earlier, most=BIN), "g long, c long, mask long")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own, as sorting suffixes takes time where bytes are few
+    solved = thin.repartition(tasks, "g").sortWithinPartitions("g").mapInArrow(partial(_solve, kind=kind, solver=solver, earlier=earlier, most=BIN), "g long, c long, mask long")
     w, r = kind.width, kind.step
     content = F.expr(f"concat(substring(slack, (hi - x) * {w} + 1, x * {w}), substring(slack, hi * {w} + 1, ({r - 1} - x) * {w}))")
     windows = classes.where(F.col("mixed") & (F.col("places") > HOT)).withColumn("x", F.explode(F.sequence("lo", "hi"))).select("g", "c", "x", "first", F.xxhash64(content).alias("content"))
