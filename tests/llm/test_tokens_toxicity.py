@@ -54,8 +54,8 @@ def test_ordinal_fit_orders_the_thresholds():
 
 def test_held_out_toxicity(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    model = fit_toxicity(docs, labels.where("doc_id % 2 = 0"))
-    held = labels.where("doc_id % 2 = 1").withColumnRenamed("toxic", "truth")
+    model = fit_toxicity(docs, labels.where("pmod(xxhash64(doc_id), 2) = 0"))
+    held = labels.where("pmod(xxhash64(doc_id), 2) = 1").withColumnRenamed("toxic", "truth")
     rows = toxicity(docs.select("doc_id", "text"), model).join(held, "doc_id").select("truth", "toxic", "severity").collect()
     toxic, clean = [r for r in rows if r.truth == 1], [r for r in rows if r.truth == 0]
     assert sum(r.toxic for r in toxic) >= 0.95 * len(toxic)
