@@ -15,8 +15,8 @@ from .common import Scratch, keyed, table
 
 BANDS, ROWS = 42, 6
 SLOTS = BANDS * ROWS
-CHUNK = 512  # members of a bucket that are held against each other at once
-MARGIN = 0.18  # a pair whose signatures agree less than the threshold less this (over five deviations) is no candidate
+CHUNK = 2048  # members of a bucket that are held against each other at once
+MARGIN = 0.11  # a pair whose signatures agree less than the threshold less this (over four deviations) is no candidate
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -71,9 +71,10 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(elements ^ np.uint64(_GOLD)))])
             at = np.concatenate([[0], np.cumsum(n)])
             content = mix(sums[at[1:]] - sums[at[:-1]] + n.astype(np.uint64))
-            keys = Hashes(held.ravel()).of(np.arange(0, (hi - lo) * SLOTS, ROWS), np.arange(ROWS, (hi - lo) * SLOTS + 1, ROWS)).reshape(hi - lo, BANDS)
-            keys = mix(keys + np.arange(BANDS, dtype=np.uint64))
             sig = np.ascontiguousarray((mix(held) & np.uint64(255)).astype(np.uint8))
+            byte = np.uint64(256) ** np.arange(ROWS, dtype=np.uint64)
+            keys = (sig.reshape(-1, BANDS, ROWS).astype(np.uint64) * byte).sum(axis=2, dtype=np.uint64)
+            keys = mix(keys + (np.arange(BANDS, dtype=np.uint64) << np.uint64(8 * ROWS)))
             list_at = pa.array(np.arange(0, (hi - lo + 1) * BANDS, BANDS, dtype=np.int32))
             sig_at = np.arange(0, (hi - lo + 1) * SLOTS, SLOTS, dtype=np.int32)
             yield pa.RecordBatch.from_pydict(
@@ -106,35 +107,76 @@ def _confirmed(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> I
             yield batch.select(["a", "b"]).slice(lo, hi - lo).filter(pa.array(100 * both >= percent * (sizes - both)))
 
 
-def _across(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of one chunk pair after another (rows come sorted by key, i, j): those of different components whose signatures agree enough."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one (key, i, j) after another; they come sorted so."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        table_ = pa.Table.from_batches(held).combine_chunks()
+        key, i, j = (table_.column(c).to_numpy() for c in ("key", "i", "j"))
+        edges = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist()]
+        for e0, e1 in zip(edges, edges[1:]):
+            yield table_.slice(e0, e1 - e0)
+        held = table_.slice(edges[-1]).to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _candidates(group: pa.Table, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Row of the group and the later rows that it is to be compared with: of the other chunk or, where the chunks are one,
+    of its own; of another component; with signatures that agree enough; and this band is the first that the two share, so
+    a pair comes once, in one bucket."""
+    side, comp = (group.column(c).to_numpy() for c in ("side", "comp"))
+    i, j, band = (group.column(c)[0].as_py() for c in ("i", "j", "band"))
+    sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(group.num_rows, SLOTS)
+    left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+    for n, x in enumerate(left):
+        others = right[n + 1 :] if i == j else right
+        others = others[comp[others] != comp[x]]
+        if len(others):
+            same = sig[others] == sig[x]
+            hit = same.sum(axis=1) >= least
+            if hit.any():
+                first = same[hit].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+                others = others[hit][first == band]
+                if len(others):
+                    yield int(x), others
+
+
+def _hopeful(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The rows of each bucket that have a candidate in it."""
+    for group in _groups(batches):
+        wanted = np.zeros(group.num_rows, bool)
+        for x, others in _candidates(group, least):
+            wanted[x] = True
+            wanted[others] = True
+        if wanted.any():
+            yield from group.filter(pa.array(wanted)).combine_chunks().to_batches()
+
 
-    def pairs(key, i, j, side, rid, comp, sig) -> Iterator[pa.RecordBatch]:
-        left, right = (np.flatnonzero(side == s) for s in ((i, j) if i != j else (i, i)))
-        found = []
-        for n, x in enumerate(left):
-            others = right[n + 1 :] if i == j else right
+def _linked(batches: Iterator[pa.RecordBatch], words: int, percent: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Links between components within each bucket, confirmed on whole sets. What a bucket's earlier links join isn't compared again."""
+    for group in _groups(batches):
+        data, offsets = column(group.to_batches()[0], "text")
+        text, hashes = shingle_sets(data[offsets[0] : offsets[-1]], offsets - offsets[0], words)
+        at = np.searchsorted(text, np.arange(group.num_rows + 1))
+        size, rid, comp, found = np.diff(at), group.column("rid").to_numpy(), group.column("comp").to_numpy().copy(), []
+        for x, others in _candidates(group, least):
             others = others[comp[others] != comp[x]]
-            if len(others):
-                hit = others[(sig[others] == sig[x]).sum(axis=1) >= least]
-                found.append(np.stack([np.minimum(rid[hit], rid[x]), np.maximum(rid[hit], rid[x])]))
+            if not len(others):
+                continue
+            own = hashes[at[x] : at[x + 1]]
+            rows = np.repeat(np.arange(len(others)), size[others])
+            theirs = hashes[np.arange(len(rows)) + np.repeat(at[others] - (np.cumsum(size[others]) - size[others]), size[others])]
+            hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+            both = np.bincount(rows[hit], minlength=len(others))
+            for y in others[100 * both >= percent * (size[x] + size[others] - both)]:
+                if comp[y] != comp[x]:
+                    found.append((min(rid[x], rid[y]), max(rid[x], rid[y])))
+                    comp[comp == comp[y]] = comp[x]
         if found:
-            a, b = np.concatenate(found, axis=1)
-            yield pa.RecordBatch.from_pydict({"a": a, "b": b})
-
-    held = None
-    for batch in batches:
-        t = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "side", "rid", "comp")}
-        data, at = column(batch, "sig")
-        t["sig"] = data[at[0] : at[-1]].reshape(batch.num_rows, SLOTS)
-        if held is not None:
-            t = {c: np.concatenate([held[c], t[c]]) for c in t}
-        edges = [0, *(np.flatnonzero((t["key"][1:] != t["key"][:-1]) | (t["i"][1:] != t["i"][:-1]) | (t["j"][1:] != t["j"][:-1])) + 1).tolist()]
-        for e0, e1 in zip(edges, edges[1:]):
-            yield from pairs(t["key"][e0], t["i"][e0], t["j"][e0], *(t[c][e0:e1] for c in ("side", "rid", "comp", "sig")))
-        held = {c: v[edges[-1] :].copy() for c, v in t.items()}
-    if held is not None and len(held["key"]):
-        yield from pairs(held["key"][0], held["i"][0], held["j"][0], *(held[c] for c in ("side", "rid", "comp", "sig")))
+            a, b = zip(*found)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -169,41 +211,42 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     are empty. Repeated rows and ids are rows of their own. An empty table gives an empty result; more columns are ignored.
 
     Equal sets are one class, which one row stands for. Each bucket of a band first tries its members against its least
-    row, which joins most copies. Only buckets that still hold several components are then looked at pair by pair, across
-    components, in chunks, and what agrees enough by signature is confirmed. At 80 % a pair shares no band with a
-    probability of 3 in a million.
+    row, which joins most copies. Only buckets that still hold several components are then looked at across components, a
+    pair of chunks in a task; what agrees enough by signature is confirmed there on whole sets, so that links leave the
+    task but pairs don't. At 80 % a pair shares no band with a probability of 3 in a million.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
     rows, same = keyed(docs, scratch)
     signed = scratch.save(rows.select("rid", "text").mapInArrow(partial(_signed, words=words), "rid long, n_shingles long, content long, keys array<long>, sig binary"), "signed")
     classes = signed.where("n_shingles > 0").groupBy("content", "n_shingles").agg(F.min("rid").alias("rep"))
     reps = scratch.save(classes.select(F.col("rep").alias("rid")).join(signed.select("rid", "keys", "sig"), "rid"), "reps")
-    bands = reps.select("rid", F.explode("keys").alias("key"))
+    bands = reps.select("rid", F.posexplode("keys").alias("band", "key"))
     buckets = scratch.save(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("rid").alias("hub")).where("n > 1"), "buckets")
     members = scratch.save(bands.join(buckets, "key"), "members")
     least = round((percent / 100 - MARGIN) * SLOTS)
     sig = reps.select("rid", "sig")
 
-    def confirm(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) that are links."""
-        signs = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
-        likely = scratch.save(signs.mapInArrow(partial(_agreeing, least=least), "a long, b long"), f"{name}-likely")
-        texts = rows.select("rid", "text")
-        held = likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-        return scratch.save(held.mapInArrow(partial(_confirmed, words=words, percent=percent), "a long, b long"), f"{name}-links")
-
+    texts = rows.select("rid", "text")
     stars = scratch.save(members.where("rid != hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct(), "stars")
-    links = confirm(stars, "stars")
+    signs = stars.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
+    likely = scratch.save(signs.mapInArrow(partial(_agreeing, least=least), "a long, b long"), "likely")
+    both = likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+    links = scratch.save(both.mapInArrow(partial(_confirmed, words=words, percent=percent), "a long, b long"), "links")
     comps = components(links, scratch)
     labelled = scratch.save(members.where("n > 2").drop("hub").join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid")), "labelled")
     several = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("key")
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     side = F.pmod(F.xxhash64("rid"), chunks).cast("int")
     spread = labelled.join(several, "key", "left_semi").join(sig, "rid").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    dealt = spread.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rid", "comp", "sig")
+    dealt = spread.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "band", "rid", "comp", "sig")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    across = dealt.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(partial(_across, least=least), "a long, b long").distinct()
-    more = confirm(scratch.save(across.join(stars, ["a", "b"], "left_anti"), "across"), "across")
+
+    def by_bucket(df: DataFrame) -> DataFrame:
+        return df.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    hopeful = scratch.save(by_bucket(dealt).mapInArrow(partial(_hopeful, least=least), dealt.schema), "hopeful")
+    held = by_bucket(hopeful.join(texts, "rid")).mapInArrow(partial(_linked, words=words, percent=percent, least=least), "a long, b long")
+    more = scratch.save(held.distinct(), "more")
     scratch.drop("members")
     scratch.drop("labelled")
     if not more.isEmpty():
