@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import analytics, documents
+
+QUERIES: dict = {**documents.QUERIES, **analytics.QUERIES}
+ORACLES: dict[str, str] = {**documents.ORACLES, **analytics.ORACLES}
