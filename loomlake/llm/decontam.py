@@ -22,6 +22,26 @@ MARKS = "<num>", "<name>", "<unit>"
 EDGES = ".,;:!?\"'()[]{}"
 
 
+def _kind(ws: Column, bares: Column, lows: Column, i: Column, values: tuple, otherwise) -> Column:
+    """values[0] for a number, [1] for a name, [2] for a unit at place i; else otherwise(the lower-cased word).
+
+    The cheap tests come first, as most words begin with a small letter and are neither number nor unit.
+    """
+    bare, low, before = F.get(bares, i), F.get(lows, i), F.get(ws, i - 1)
+    digit = (bare >= "0") & (bare < ":")
+    signed = ((bare < "0") | (bare >= "\u00a3")) & F.rlike(bare, F.lit(r"^[$€£+-]+\d"))
+    unit = low.isin(*UNITS) & before.isNotNull() & F.rlike(before, F.lit(r"^[$€£+-]?\d[\d.,]*$"))
+    first = F.substring(bare, 1, 1)
+    name = (bare != low) & before.isNotNull() & (first != F.lower(first)) & ~F.substring(before, -1, 1).isin(".", "!", "?", ":")
+    return F.when(digit | signed | low.isin(*NUMBERS), values[0]).when(unit, values[2]).when(name, values[1]).otherwise(otherwise(low))
+
+
+def _each_word(text: Column, body) -> Column:
+    """body(words, bare words, lower-cased bare words), each array computed once."""
+    bare = lambda ws: F.transform(ws, lambda w: F.btrim(w, F.lit(EDGES)))
+    return let(words(text), lambda ws: let(bare(ws), lambda bares: let(F.transform(bares, F.lower), lambda lows: body(ws, bares, lows))))
+
+
 def canonical_tokens(text: Column) -> Column:
     """array of (raw, tmpl): each word lower-cased and without punctuation at its ends, and what the template has in its place.
 
@@ -29,41 +49,46 @@ def canonical_tokens(text: Column) -> Column:
     <unit>: a unit word right after a number. <name>: a word with a capital that does not begin a sentence.
     """
 
-    def token(ws: Column) -> Column:
-        def one(w: Column, i: Column) -> Column:
-            bare = F.btrim(w, F.lit(EDGES))
-            low = F.lower(bare)
-            before = F.get(ws, i - 1)
-            first = F.substring(bare, 1, 1)
-            # cheap tests come first: most words begin with a small letter and are neither number nor unit
-            number = (first >= "0") & (first <= "9") | first.isin("$", "€", "£", "+", "-") & F.rlike(bare, F.lit(r"^[$€£+-]+\d"))
-            name = (first != F.lower(first)) & before.isNotNull() & ~F.substring(before, -1, 1).isin(".", "!", "?", ":")
-            unit = low.isin(*UNITS) & before.isNotNull() & F.rlike(before, F.lit(r"^[$€£+-]?\d[\d.,]*$"))
-            return F.struct(low.alias("raw"), F.when(number | low.isin(*NUMBERS), MARKS[0]).when(unit, MARKS[2]).when(name, MARKS[1]).otherwise(low).alias("tmpl"))
+    def tokens(ws: Column, bares: Column, lows: Column) -> Column:
+        one = lambda low, i: F.struct(low.alias("raw"), _kind(ws, bares, lows, i, MARKS, lambda x: x).alias("tmpl"))
+        return F.filter(F.transform(lows, one), lambda t: t["raw"] != "")
 
-        return F.filter(F.transform(ws, one), lambda t: t["raw"] != "")
+    return _each_word(text, tokens)
 
-    return let(words(text), token)
 
+def template_hashes(text: Column) -> Column:
+    """A number for each token of the template; its low four bits say whether the token is a literal (1) or a placeholder (0)."""
+    literal = lambda low: F.xxhash64(low).bitwiseAND(F.lit(-16)).bitwiseOR(F.lit(1).cast("long"))
+    marks = tuple(F.lit(16 * (k + 1)).cast("long") for k in range(len(MARKS)))
 
-def template_windows(tokens: Column, window: int = WINDOW) -> Column:
-    """array of (pos, key): the hash of every window of template tokens that has enough literal ones. A shorter text is one window of its own length."""
+    def hashed(ws: Column, bares: Column, lows: Column) -> Column:
+        return F.array_compact(F.transform(lows, lambda low, i: F.when(low != "", _kind(ws, bares, lows, i, marks, literal))))
 
-    def keys(h: Column) -> Column:
-        # placeholders hash to a negative number, literals to a positive one: so literals are counted without the words
-        literals = lambda xs: sum((F.when(x > 0, 1).otherwise(0) for x in xs), F.lit(0))
+    return _each_word(text, hashed)
+
+
+def template_windows(hashes: Column, window: int = WINDOW) -> Column:
+    """array of (pos, key) of every window of template tokens that has enough literal ones. A shorter text is one window of its own length.
 
-        def at(x: Column, i: Column) -> Column:
-            run = [x, *[F.get(h, i + k) for k in range(1, window)]]
-            return F.when(literals(run) >= LITERALS, F.struct(i.alias("pos"), F.xxhash64(*run).alias("key")))
+    Windows are hashed by doubling: the hash of 2n tokens comes from those of two times n. The low four bits carry the sum
+    of the literals along, so window is a power of two up to 8.
+    """
+    if window not in (1, 2, 4, 8):
+        raise ValueError("window is 1, 2, 4 or 8")
+
+    def doubled(h: Column, width: int) -> Column:
+        if width == window:
+            return h
+        rest = F.greatest(F.size(h) - F.lit(width), F.lit(0))
+        both = lambda x, y: F.xxhash64(x, y).bitwiseAND(F.lit(-16)).bitwiseOR(x.bitwiseAND(F.lit(15)) + y.bitwiseAND(F.lit(15)))
+        return let(F.zip_with(F.slice(h, F.lit(1), rest), F.slice(h, F.lit(width + 1), rest), both), lambda x: doubled(x, 2 * width))
 
-        n = F.size(h) - F.lit(window - 1)
+    def keys(h: Column) -> Column:
+        at = lambda x, i: F.when(x.bitwiseAND(F.lit(15)) >= LITERALS, F.struct(i.alias("pos"), x.alias("key")))
         whole = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(h, F.size(h)).alias("key")))
-        return F.when(F.size(h) == 0, F.slice(whole, 1, 0)).when(n <= 0, whole).otherwise(F.array_compact(F.transform(F.slice(h, F.lit(1), F.greatest(n, F.lit(0))), at)))
+        return F.when(F.size(h) == 0, F.slice(whole, 1, 0)).when(F.size(h) < window, whole).otherwise(F.array_compact(F.transform(doubled(h, 1), at)))
 
-    top = F.lit(1 << 62)
-    hashed = F.transform(tokens, lambda t: F.when(t["tmpl"].isin(*MARKS), -F.pmod(F.xxhash64(t["tmpl"]), top) - 1).otherwise(F.pmod(F.xxhash64(t["tmpl"]), top) + 1))
-    return let(hashed, keys)
+    return let(hashes, keys)
 
 
 def _covered(at: Column, window: int, n: Column) -> Column:
@@ -80,11 +105,11 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
     not shuffled where Spark's size check lets the benchmark's windows be broadcast; one row per key holds all its places.
     """
     scratch = scratch or Scratch(docs.sparkSession, "decontam")
-    items = benchmark.select("item_id", canonical_tokens(F.col("text")).alias("item_tokens")).withColumn("_wins", template_windows(F.col("item_tokens"), window))
+    items = benchmark.select("item_id", canonical_tokens(F.col("text")).alias("item_tokens"), template_windows(template_hashes(F.col("text")), window).alias("_wins"))
     items = scratch.save(items.withColumn("coverable", _covered(F.transform("_wins", lambda w: w["pos"]), window, F.size("item_tokens"))), "items")
     places = items.select("item_id", F.inline("_wins")).groupBy("key").agg(F.collect_list(F.struct("item_id", F.col("pos").alias("item_pos"))).alias("places"))
     found = (
-        docs.select("rid", F.inline(template_windows(canonical_tokens(F.col("text")), window)))
+        docs.select("rid", F.inline(template_windows(template_hashes(F.col("text")), window)))
         .join(places, "key")
         .select("rid", "pos", F.inline("places"))
         .groupBy("rid", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
