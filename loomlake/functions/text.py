@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ MASKS = (
     (r"([1-9]\d{5})(?:18|19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])(\d{3}[\dXx])", "$1********$2"),
     (r"(?i)\b(password|pwd|passwd)\s*[=:]\s*[^\s,\"]+", "$1=***"),
 )
+# Card numbers by issuer, then any of sixteen digits.
+CARDS = (r"\b4\d{12}(?:\d{3}|\d{6})?\b", r"\b5[1-5]\d{14}\b", r"\b3[47]\d{13}\b", r"\b\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b")
 EMAIL = r"([a-zA-Z0-9._%+-]+)@((?:[a-zA-Z0-9-]+\.)+[a-zA-Z]{2,})"
 
 
@@ -104,11 +108,30 @@ def mask_emails(text: Column) -> Column:
     return F.aggregate(F.array_distinct(parts), text, lambda t, a: F.replace(t, a, masked(a)))
 
 
+def replace_matches(text: Column, pattern: str, new: Callable[[Column], Column]) -> Column:
+    """text with each match of the pattern replaced by what `new` makes of it."""
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.zip_with(between, found, lambda b, m: F.concat(b, F.coalesce(new(m), F.lit(""))))
+    return F.array_join(pairs, "")
+
+
+def mask_cards(text: Column) -> Column:
+    """Card numbers without their separators, a star for each digit but the last four."""
+
+    def masked(card: Column) -> Column:
+        digits = F.regexp_replace(card, r"[\s-]", "")
+        return F.concat(F.repeat(F.lit("*"), F.length(digits) - 4), F.right(digits, F.lit(4)))
+
+    for pattern in CARDS:
+        text = replace_matches(text, pattern, masked)
+    return text
+
+
 def mask_sensitive(text: Column) -> Column:
-    """The masks in their order: tokens, keys, phones, identity numbers, passwords; e-mail addresses before passwords."""
+    """The masks in their order: tokens, keys, phones, identity numbers, e-mail addresses, cards, passwords."""
     for pattern, new in MASKS[:-1]:
         text = F.regexp_replace(text, pattern, new)
-    return F.regexp_replace(mask_emails(text), *MASKS[-1])
+    return F.regexp_replace(mask_cards(mask_emails(text)), *MASKS[-1])
 
 
 def react_fields(reply: Column) -> Column:

@@ -136,3 +136,18 @@ def threshold_alerts(df: DataFrame, keys: list[str], seconds: int, least: int, t
     """keys, alerts, worst: the keys whose count within a window reaches `least`, how many rows did so, and the largest count."""
     counted = trailing_count(df, keys, seconds, "n", time).where(F.col("n") >= least)
     return counted.groupBy(*keys).agg(F.count("*").alias("alerts"), F.max("n").alias("worst"))
+
+
+def limits(df: DataFrame, dimensions: dict[str, tuple[Column, int, int]], time: str = "micros") -> DataFrame:
+    """df with allowed, remaining and denied_by: trailing counts of several keys at once, each {name: (key, limit, seconds)}.
+    The first dimension over its limit denies; a null key is not limited in its dimension."""
+    left, denied = [], []
+    for name, (key, limit, seconds) in dimensions.items():
+        df = trailing_count(df.withColumn(f"{name}_key", key), [f"{name}_key"], seconds, f"{name}_n", time)
+        free = F.when(F.col(f"{name}_key").isNotNull(), F.greatest(limit - F.col(f"{name}_n"), F.lit(0)))
+        left.append(free)
+        denied.append(F.when(F.col(f"{name}_key").isNotNull() & (F.col(f"{name}_n") > limit), name))
+    by = F.coalesce(*denied)
+    out = df.withColumn("denied_by", by).withColumn("allowed", by.isNull())
+    out = out.withColumn("remaining", F.when(by.isNotNull(), 0).otherwise(F.least(*left) if len(left) > 1 else left[0]))
+    return out.drop(*[f"{n}{x}" for n in dimensions for x in ("_key", "_n")])

@@ -27,3 +27,22 @@ def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
 def scores(checks: DataFrame) -> DataFrame:
     """section, passed, total, score from (section, failed): 100 for a section without checks is left to the caller."""
     return checks.groupBy("section").agg(F.count_if(F.col("failed") == 0).alias("passed"), F.count("*").alias("checks")).withColumn("score", F.col("passed") / F.col("checks") * 100)
+
+
+def worst_status(df: DataFrame, keys: list[str], status: str) -> DataFrame:
+    """keys, status: unhealthy before degraded before healthy before anything else."""
+    rank = F.when(F.col(status) == "unhealthy", 3).when(F.col(status) == "degraded", 2).when(F.col(status) == "healthy", 1).otherwise(0)
+    worst = F.max(rank)
+    return df.groupBy(*keys).agg(F.element_at(F.array(*map(F.lit, ("unknown", "healthy", "degraded", "unhealthy"))), worst + 1).alias("status"))
+
+
+def grade(score: Column) -> Column:
+    """A to F by tens from 90."""
+    return F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 60, "D").otherwise("F")
+
+
+def security_points(high: Column, vulnerable: Column, frontend: Column) -> Column:
+    """Points of 100: 40 for no serious finding in code, 20 for none in dependencies, 40 for none in the front end."""
+    code = F.when(high == 0, 40).when(high == 1, 30).otherwise(0)
+    packages = F.when(vulnerable == 0, 20).when(vulnerable == 1, 15).when(vulnerable == 2, 10).otherwise(5)
+    return code + packages + F.when(frontend == 0, 40).when(frontend == 1, 20).when(frontend == 2, 10).otherwise(0)

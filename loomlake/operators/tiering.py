@@ -30,3 +30,18 @@ def plan(usage: DataFrame, now, rest_days: int = 7) -> DataFrame:
     target = lookup(F.col("frequency"), TARGET)
     moved = usage.where(F.col("last") < now - F.expr(f"interval {rest_days} days")).withColumn("target", target).where("target != tier")
     return moved.withColumn("saving", F.col("size") * (lookup(F.col("tier"), COST) - lookup(F.col("target"), COST)))
+
+
+def savings(moves: DataFrame) -> DataFrame:
+    """tier, target, moves, size, saving of a plan, by the tiers between which it moves."""
+    return moves.groupBy("tier", "target").agg(F.count("*").alias("moves"), F.sum("size").alias("size"), F.round(F.sum("saving"), 6).alias("saving"))
+
+
+def retention(backups: DataFrame, created: str, now, keep: dict[str, int] | None = None) -> DataFrame:
+    """backups with age_class and expired: what is older than a day, week, month or year goes while there are more backups in all
+    than the class keeps. `now` is a timestamp column or literal."""
+    keep = keep or {"daily": 7, "weekly": 4, "monthly": 12, "yearly": 3}
+    age = F.floor((F.unix_timestamp(now) - F.unix_timestamp(created)) / 86400)
+    name = F.when(age > 365, "yearly").when(age > 30, "monthly").when(age > 7, "weekly").when(age > 1, "daily")
+    total = F.lit(backups.count())
+    return backups.withColumn("age_class", name).withColumn("expired", F.coalesce(total > lookup(F.col("age_class"), keep), F.lit(False)))

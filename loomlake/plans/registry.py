@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, documents
+from . import analytics, documents, requests
 
-QUERIES: dict = {**documents.QUERIES, **analytics.QUERIES}
-ORACLES: dict[str, str] = {**documents.ORACLES, **analytics.ORACLES}
+QUERIES: dict = {**documents.QUERIES, **analytics.QUERIES, **requests.QUERIES}
+ORACLES: dict[str, str] = {**documents.ORACLES, **analytics.ORACLES, **requests.ORACLES}
