@@ -1,7 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names and units become typed placeholders; windows of template tokens are hash-joined; the words that stand in
-matching placeholders must then correspond one to one, so that a question with other numbers and names is still caught.
+Numbers, names and units become typed placeholders, a run of one kind a single one; windows of template tokens are
+hash-joined; the words that stand in matching placeholders must then correspond one to one, so that a question with other
+numbers and names is still caught. What windows at neighbouring shifts cover is added up, as a copy with words put in or
+left out goes on at another shift.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from .common import Scratch, keyed, let, table, words
 
 WINDOW = 8  # template tokens in a window
 LITERALS = 3  # of them at least so many that are no placeholders
-COVER = 0.5  # share of an item's coverable tokens that makes a document contaminated
+COVER = 0.5  # share of an item's coverable words that makes a document contaminated
+QUOTE = 32  # so many covered words of an item do so too, however long the item is
 
 # Measuring units and number words.
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "ms", "min", "h", "hr", "hz", "khz", "mhz", "v", "w", "kw", "kb", "mb", "gb", "meter", "meters", "metre", "metres", "mile", "miles", "inch", "inches", "feet", "gram", "grams", "liter", "liters", "litre", "litres", "hour", "hours", "minute", "minutes", "second", "seconds", "day", "days", "week", "weeks", "year", "years", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent")
@@ -43,28 +46,40 @@ def _each_word(text: Column, body) -> Column:
 
 
 def canonical_tokens(text: Column) -> Column:
-    """array of (raw, tmpl): each word lower-cased and without punctuation at its ends, and what the template has in its place.
+    """array of (raw, tmpl, at, n): each word lower-cased and without punctuation at its ends, and what the template has in its place.
 
     <num>: digits with separators, sign, percent or currency sign, a number with its unit attached, or a number word.
-    <unit>: a unit word right after a number. <name>: a word with a capital that does not begin a sentence.
+    <unit>: a unit word right after a number. <name>: a word with a capital that does not begin a sentence. A run of equal
+    placeholders is one token. at, n: the first of a token's words, by number, and how many they are.
     """
 
     def tokens(ws: Column, bares: Column, lows: Column) -> Column:
         one = lambda low, i: F.struct(low.alias("raw"), _kind(ws, bares, lows, i, MARKS, lambda x: x).alias("tmpl"))
         return F.filter(F.transform(lows, one), lambda t: t["raw"] != "")
 
-    return _each_word(text, tokens)
+    def runs(ts: Column) -> Column:
+        begins = lambda t, i: (i == 0) | ~t["tmpl"].isin(*MARKS) | (t["tmpl"] != F.get(ts, i - 1)["tmpl"])
+        starts = F.array_compact(F.transform(ts, lambda t, i: F.when(begins(t, i), i)))
+
+        def token(at: Column, n: Column) -> Column:
+            raw = F.array_join(F.transform(F.slice(ts, at + 1, n), lambda t: t["raw"]), " ")
+            return F.struct(raw.alias("raw"), F.get(ts, at)["tmpl"].alias("tmpl"), at.alias("at"), n.alias("n"))
+
+        return let(starts, lambda x: F.transform(x, lambda at, k: token(at, F.coalesce(F.get(x, k + 1), F.size(ts)) - at)))
+
+    return let(_each_word(text, tokens), runs)
 
 
 def template_hashes(text: Column) -> Column:
-    """A number for each token of the template; its low four bits say whether the token is a literal (1) or a placeholder (0)."""
+    """A number for each of canonical_tokens; its low four bits say whether the token is a literal (1) or a placeholder (0)."""
     literal = lambda low: F.xxhash64(low).bitwiseAND(F.lit(-16)).bitwiseOR(F.lit(1).cast("long"))
     marks = tuple(F.lit(16 * (k + 1)).cast("long") for k in range(len(MARKS)))
 
     def hashed(ws: Column, bares: Column, lows: Column) -> Column:
         return F.array_compact(F.transform(lows, lambda low, i: F.when(low != "", _kind(ws, bares, lows, i, marks, literal))))
 
-    return _each_word(text, hashed)
+    begins = lambda h: lambda x, i: (x.bitwiseAND(F.lit(1)) == 1) | (i == 0) | (x != F.get(h, i - 1))
+    return let(_each_word(text, hashed), lambda h: F.filter(h, begins(h)))
 
 
 def template_windows(hashes: Column, window: int = WINDOW) -> Column:
@@ -91,57 +106,82 @@ def template_windows(hashes: Column, window: int = WINDOW) -> Column:
     return let(hashes, keys)
 
 
-def _covered(at: Column, window: int, n: Column) -> Column:
-    """Tokens under windows at the sorted distinct positions `at`, of a text of n tokens."""
-    return F.aggregate(F.transform(at, lambda p, k: F.least(F.lit(window), F.coalesce(F.get(at, k + 1), n) - p)), F.lit(0), lambda a, x: a + x)
+def _under(at: Column, window: int, tokens: Column) -> Column:
+    """The places of the tokens under windows that begin at the places `at`."""
+    return F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(p, F.least(p + F.lit(window - 1), F.size(tokens) - 1)))))
+
+
+def _words_of(places: Column, tokens: Column) -> Column:
+    """The numbers of the words in the tokens at these places."""
+    return F.flatten(F.transform(places, lambda p: let(F.get(tokens, p), lambda t: F.sequence(t["at"], t["at"] + t["n"] - 1))))
 
 
 def template_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, scratch: Scratch | None = None) -> DataFrame:
-    """rid (see keyed), item_id, shift, n_windows, covered, coverable, consistent: documents that share template windows with an item at a shift.
+    """rid (see keyed), item_id, shift, n_windows, words, item_size, coverable, consistent: documents that share template windows with an item at a shift.
 
     docs: rid, text. benchmark: item_id, text; equal items are items of their own, null and blank ones match nothing.
-    covered: the item's tokens under shared windows; coverable: those under any of its windows. consistent: the words in
-    matching placeholders map one to one. Only (rid, pos, key) of the documents is joined, so document windows are
-    not shuffled where Spark's size check lets the benchmark's windows be broadcast; one row per key holds all its places.
+    shift: the document's word, by number, at which the item would begin. words: the item's words, by number, under shared
+    windows; coverable: how many are under any of its windows. consistent: the words in matching placeholders map one to
+    one. Only (rid, pos, key) of the documents is joined, so document windows are not shuffled where Spark's size check
+    lets the benchmark's windows be broadcast; one row per key holds all its places.
     """
     scratch = scratch or Scratch(docs.sparkSession, "decontam")
     items = benchmark.select("item_id", canonical_tokens(F.col("text")).alias("item_tokens"), template_windows(template_hashes(F.col("text")), window).alias("_wins"))
-    items = scratch.save(items.withColumn("coverable", _covered(F.transform("_wins", lambda w: w["pos"]), window, F.size("item_tokens"))), "items")
+    coverable = F.size(_words_of(_under(F.transform("_wins", lambda w: w["pos"]), window, F.col("item_tokens")), F.col("item_tokens")))
+    items = scratch.save(items.withColumn("coverable", coverable).withColumn("item_size", F.aggregate("item_tokens", F.lit(0), lambda n, t: n + t["n"])), "items")
     places = items.select("item_id", F.inline("_wins")).groupBy("key").agg(F.collect_list(F.struct("item_id", F.col("pos").alias("item_pos"))).alias("places"))
     found = (
         docs.select("rid", F.inline(template_windows(template_hashes(F.col("text")), window)))
         .join(places, "key")
         .select("rid", "pos", F.inline("places"))
-        .groupBy("rid", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
+        .groupBy("rid", "item_id", (F.col("pos") - F.col("item_pos")).alias("step"))
         .agg(F.sort_array(F.collect_set("item_pos")).alias("at"))
     )
     found = scratch.save(found, "found")
-    by_doc = found.groupBy("rid").agg(F.collect_list(F.struct("item_id", "shift", "at")).alias("hits"))
+    by_doc = found.groupBy("rid").agg(F.collect_list(F.struct("item_id", "step", "at")).alias("hits"))
     hits = by_doc.join(docs.select("rid", "text"), "rid").select("rid", canonical_tokens(F.col("text")).alias("tokens"), "hits").select("rid", "tokens", F.inline("hits"))
-    both = hits.join(items.select("item_id", "item_tokens", "coverable"), "item_id")
+    both = hits.join(items.select("item_id", "item_tokens", "item_size", "coverable"), "item_id").withColumn("under", _under(F.col("at"), window, F.col("item_tokens")))
+    item_token, doc_token = lambda p: F.get(F.col("item_tokens"), p), lambda p: F.get(F.col("tokens"), p + F.col("step"))
+    marks = F.filter("under", lambda p: item_token(p)["tmpl"].isin(*MARKS))
+    slots = F.array_distinct(F.transform(marks, lambda p: F.struct(item_token(p)["raw"].alias("a"), doc_token(p)["raw"].alias("b"))))
+    one_to_one = let(slots, lambda s: (F.size(F.array_distinct(F.transform(s, lambda x: x["a"]))) == F.size(s)) & (F.size(F.array_distinct(F.transform(s, lambda x: x["b"]))) == F.size(s)))
+    first = F.get("at", F.lit(0))
+    return both.select(
+        "rid",
+        "item_id",
+        (doc_token(first)["at"] - item_token(first)["at"]).alias("shift"),
+        F.size("at").alias("n_windows"),
+        _words_of(F.col("under"), F.col("item_tokens")).alias("words"),
+        "item_size",
+        "coverable",
+        one_to_one.alias("consistent"),
+    )
 
-    def slots(tokens: Column) -> Column:
-        """(item word, document word) of every placeholder under the shared windows."""
-        under = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, F.least(p + F.lit(window - 1), F.size("item_tokens") - 1)))))
-        marks = F.filter(under, lambda p: F.get(F.col("item_tokens"), p)["tmpl"].isin(*MARKS))
-        pairs = F.transform(marks, lambda p: F.struct(F.get(F.col("item_tokens"), p)["raw"].alias("a"), F.get(tokens, p + F.col("shift"))["raw"].alias("b")))
-        return F.array_distinct(pairs)
 
-    one_to_one = let(slots(F.col("tokens")), lambda s: (F.size(F.array_distinct(F.transform(s, lambda x: x["a"]))) == F.size(s)) & (F.size(F.array_distinct(F.transform(s, lambda x: x["b"]))) == F.size(s)))
-    return both.select("rid", "item_id", "shift", F.size("at").alias("n_windows"), _covered(F.col("at"), window, F.size("item_tokens")).alias("covered"), "coverable", one_to_one.alias("consistent"))
+def item_covers(matches: DataFrame, window: int = WINDOW) -> DataFrame:
+    """rid, item_id, covered, share: how much of an item a document holds in one place, at best.
+
+    A place is all shifts less than the item's length and a window apart: a copy may be stretched to twice the item. Shifts
+    are dealt to stretches of twice that width which overlap by half, so that each such set is whole in one of them.
+    """
+    nth = F.floor(F.col("shift") / (F.col("item_size") + window))
+    words = matches.select("rid", "item_id", "coverable", F.explode(F.array(nth - 1, nth)).alias("stretch"), "words").withColumn("word", F.explode("words"))
+    covered = words.groupBy("rid", "item_id", "stretch", "word").agg(F.first("coverable").alias("coverable")).groupBy("rid", "item_id", "stretch").agg(F.count("*").alias("covered"), F.first("coverable").alias("coverable"))
+    return covered.groupBy("rid", "item_id").agg(F.max("covered").alias("covered"), F.max(F.col("covered") / F.col("coverable")).alias("share"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER, quote: int = QUOTE) -> DataFrame:
     """doc_id, rid, n_items, item_ids, best_cover, contaminated of every row of docs (doc_id, text).
 
-    A document is contaminated by an item where consistent windows at one shift cover at least `cover` of the item's
-    coverable tokens. Null, empty and blank texts share nothing; repeated rows and ids keep a row each; an empty
-    benchmark contaminates nothing.
+    A document is contaminated by an item where consistent windows in one place (see item_covers) cover at least `cover` of
+    the item's coverable words, or at least `quote` words. Null, empty and blank texts share nothing; repeated rows and ids
+    keep a row each; an empty benchmark contaminates nothing.
     """
     scratch = Scratch(docs.sparkSession, "decontam")
     rows, _ = keyed(docs, scratch)
-    shared = template_matches(rows, benchmark, window, scratch).where("consistent").withColumn("share", F.col("covered") / F.col("coverable")).groupBy("rid", "item_id").agg(F.max("share").alias("share"))
-    per_doc = shared.groupBy("rid").agg(F.sort_array(F.collect_list(F.when(F.col("share") >= cover, F.col("item_id")))).alias("item_ids"), F.max("share").alias("best_cover"))
+    shared = item_covers(template_matches(rows, benchmark, window, scratch).where("consistent"), window)
+    held = (F.col("share") >= cover) | (F.col("covered") >= quote)
+    per_doc = shared.groupBy("rid").agg(F.sort_array(F.collect_list(F.when(held, F.col("item_id")))).alias("item_ids"), F.max("share").alias("best_cover"))
     return (
         rows.select("rid", "doc_id")
         .join(per_doc, "rid", "left")

@@ -92,6 +92,24 @@ def test_decontamination_catches_other_numbers_and_names(spark):
     assert not any(r.contaminated for r in decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), none).collect())
 
 
+def judged(spark, items, texts):
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return [r.item_ids for r in sorted(decontaminate(docs, bench).collect(), key=lambda r: r.doc_id)]
+
+
+LETTERS = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(300)]
+
+
+def test_decontamination_adds_up_shifts(spark):
+    item, long = LETTERS[:30], LETTERS[100:200]
+    inserted = item[:10] + ["oops"] + item[10:20] + ["again"] + item[20:]
+    story = "the old man said that Anna walked 25 km to the town where Anna met the baker"
+    longer = story.replace("Anna", "Anna Maria").replace("25", "twenty five")
+    scattered = item[:9] + LETTERS[200:300] + item[10:13]
+    texts = [inserted, long[:40], longer.split(), scattered, long[:20], []]
+    assert judged(spark, [" ".join(item), " ".join(long), story], [" ".join(["so", *x, "end"]) for x in texts]) == [[0], [1], [2], [], [], []]
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
