@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders, a run of one kind a single one; windows of template tokens are
-hash-joined; the words that stand in matching placeholders must then correspond one to one, so that a question with other
-numbers and names is still caught. What windows at neighbouring shifts cover is added up, as a copy with words put in or
+hash-joined; the words that stand in matching placeholders count where they are equal or correspond one to one, so that a
+question with other numbers and names is still caught. What windows at neighbouring shifts cover is added up, as a copy with words put in or
 left out goes on at another shift.
 """
 
@@ -117,12 +117,12 @@ def _words_of(places: Column, tokens: Column) -> Column:
 
 
 def template_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, scratch: Scratch | None = None) -> DataFrame:
-    """rid (see keyed), item_id, shift, n_windows, words, item_size, coverable, consistent: documents that share template windows with an item at a shift.
+    """rid (see keyed), item_id, shift, n_windows, words, item_size, coverable: documents that share template windows with an item at a shift.
 
     docs: rid, text. benchmark: item_id, text; equal items are items of their own, null and blank ones match nothing.
     shift: the document's word, by number, at which the item would begin. words: the item's words, by number, under shared
-    windows; coverable: how many are under any of its windows. consistent: the words in matching placeholders map one to
-    one. Only (rid, pos, key) of the documents is joined, so document windows are not shuffled where Spark's size check
+    windows, of placeholders those whose words are equal in both texts or map one to one at this shift. coverable: how many
+    words are under any of the item's windows. Only (rid, pos, key) of the documents is joined, so document windows are not shuffled where Spark's size check
     lets the benchmark's windows be broadcast; one row per key holds all its places.
     """
     scratch = scratch or Scratch(docs.sparkSession, "decontam")
@@ -144,17 +144,18 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
     item_token, doc_token = lambda p: F.get(F.col("item_tokens"), p), lambda p: F.get(F.col("tokens"), p + F.col("step"))
     marks = F.filter("under", lambda p: item_token(p)["tmpl"].isin(*MARKS))
     slots = F.array_distinct(F.transform(marks, lambda p: F.struct(item_token(p)["raw"].alias("a"), doc_token(p)["raw"].alias("b"))))
-    one_to_one = let(slots, lambda s: (F.size(F.array_distinct(F.transform(s, lambda x: x["a"]))) == F.size(s)) & (F.size(F.array_distinct(F.transform(s, lambda x: x["b"]))) == F.size(s)))
+    fits = lambda x, s: (x["a"] == x["b"]) | (F.size(F.filter(s, lambda y: (x["a"] == y["a"]) | (x["b"] == y["b"]))) == 1)
+    both = both.withColumn("fitting", let(slots, lambda s: F.transform(F.filter(s, lambda x: fits(x, s)), lambda x: x["a"])))
+    counted = F.filter("under", lambda p: ~item_token(p)["tmpl"].isin(*MARKS) | F.array_contains("fitting", item_token(p)["raw"]))
     first = F.get("at", F.lit(0))
     return both.select(
         "rid",
         "item_id",
         (doc_token(first)["at"] - item_token(first)["at"]).alias("shift"),
         F.size("at").alias("n_windows"),
-        _words_of(F.col("under"), F.col("item_tokens")).alias("words"),
+        _words_of(counted, F.col("item_tokens")).alias("words"),
         "item_size",
         "coverable",
-        one_to_one.alias("consistent"),
     )
 
 
@@ -173,13 +174,13 @@ def item_covers(matches: DataFrame, window: int = WINDOW) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER, quote: int = QUOTE) -> DataFrame:
     """doc_id, rid, n_items, item_ids, best_cover, contaminated of every row of docs (doc_id, text).
 
-    A document is contaminated by an item where consistent windows in one place (see item_covers) cover at least `cover` of
+    A document is contaminated by an item where shared windows in one place (see item_covers) cover at least `cover` of
     the item's coverable words, or at least `quote` words. Null, empty and blank texts share nothing; repeated rows and ids
     keep a row each; an empty benchmark contaminates nothing.
     """
     scratch = Scratch(docs.sparkSession, "decontam")
     rows, _ = keyed(docs, scratch)
-    shared = item_covers(template_matches(rows, benchmark, window, scratch).where("consistent"), window)
+    shared = item_covers(template_matches(rows, benchmark, window, scratch), window)
     held = (F.col("share") >= cover) | (F.col("covered") >= quote)
     per_doc = shared.groupBy("rid").agg(F.sort_array(F.collect_list(F.when(held, F.col("item_id")))).alias("item_ids"), F.max("share").alias("best_cover"))
     return (

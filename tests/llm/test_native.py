@@ -110,6 +110,14 @@ def test_decontamination_adds_up_shifts(spark):
     assert judged(spark, [" ".join(item), " ".join(long), story], [" ".join(["so", *x, "end"]) for x in texts]) == [[0], [1], [2], [], [], []]
 
 
+def test_decontamination_counts_literals_whatever_the_slots(spark):
+    sums = "the boy put 3 red apples in a bag and then gave 5 green apples to the girl in the park"
+    fruit = "a basket holds 2 apples and 2 pears so how many of each fruit will be in the basket after lunch"
+    names = "5 so 7 x 8 x 9 x 7 with 1 q 2 r 3"
+    texts = [sums.replace("3", "5"), fruit.replace("2", "3", 1).replace(" 2 ", " 4 "), "4 so 4 x 4 x 4 x 5 with 6 q 6 r 6"]
+    assert judged(spark, [sums, fruit, names], [f"here {x}" for x in texts]) == [[0], [1], []]
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
