@@ -118,6 +118,20 @@ def test_decontamination_counts_literals_whatever_the_slots(spark):
     assert judged(spark, [sums, fruit, names], [f"here {x}" for x in texts]) == [[0], [1], []]
 
 
+def test_decontamination_finds_short_and_unspaced_items_and_those_of_names(spark):
+    items = ["What is the capital of France?", "八段锦第一式怎么做？", "WHO WROTE HAMLET AND MACBETH AND KING LEAR IN LONDON", "Name 3 Primes", "孔子的仁政思想是什么，请举例说明？", "", None]
+    texts = [
+        "They asked: What is the capital of Spain? Nobody there knew.",
+        "昨天有人问我八段锦第一式怎么做？我说不知道。",
+        "a quiz had WHO WROTE HAMLET AND MACBETH AND KING LEAR IN LONDON as its last line",
+        "the task was name 3 primes and add them",
+        "老师问孔子的仁政思想是什么请举例说明然后下课",
+        "What is the capital letter of a name, 5 primes or 3 names",
+        "今天天气怎么样",
+    ]
+    assert judged(spark, items, texts) == [[0], [1], [2], [3], [4], [], []]
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
