@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomlake.functions import text as T
 from loomlake.operators import events, graph, metrics, quality, retrieval, routing
+from loomlake.plans import documents
 from loomlake.sources import tables
 
 
@@ -60,6 +61,24 @@ def test_entities_and_pairs(spark):
     assert pairs == {("八段锦", "气"), ("八段锦", "站桩"), ("气", "站桩"), ("心", "肾")}
 
 
+def test_graph_of_all_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    edges = {(f"s{r[0]}", f"p{r[1]}") for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_partkey").collect()}
+    links = {}
+    for s, t in edges:
+        links.setdefault(s, set()).add(t)
+        links.setdefault(t, set()).add(s)
+    run = lambda name: [tuple(r) for r in documents.QUERIES[name](spark, sf).collect()]
+    assert sorted(run("graph_neighbors_whole")) == sorted((v,) for v in links["s5"])
+    hops = {"s5": 0}
+    for depth in (1, 2, 3):
+        hops |= {w: depth for v in list(hops) for w in links[v] if w not in hops}
+    assert sorted(run("graph_path_whole")) == sorted(hops.items())
+    near = {"s5", "s6"} | links["s5"] | links["s6"]
+    subgraph = documents.QUERIES["graph_subgraph_whole"](spark, sf).select("source", "target").collect()
+    assert sorted(map(tuple, subgraph)) == sorted((s, t) for s, t in edges if s in near and t in near)
+
+
 def test_paths(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("x", "y")], "source string, target string")
     got = {r["name"]: (r.hops, r.path) for r in graph.shortest_paths(edges, "a", 3).collect()}
