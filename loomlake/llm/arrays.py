@@ -1,16 +1,15 @@
-"""Texts as numpy arrays inside tasks: words and hashes of any stretch of symbols, computed for many texts at once."""
+"""Texts as numpy arrays inside tasks: words, keyed hashes of slices, and exact names of words and shingles."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-_BASE = 0x9E3779B97F4A7C55  # odd, so that it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = {_BASE: np.ones(1, np.uint64), _INVERSE: np.ones(1, np.uint64)}
 BATCH_BYTES = 1 << 19
+LONG = 512  # bytes of a slice above which it is hashed by BLAKE2b
 
 #: Bytes of words: all but space and 9 to 13.
 IS_WORD = np.ones(256, bool)
@@ -19,6 +18,9 @@ IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_LAST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k of eight bytes
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
@@ -27,28 +29,95 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-OF_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def _powers_of(base: int, n: int) -> np.ndarray:
-    if len(_powers[base]) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        _powers[base] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[base][:n]
-
-
-class Hashes:
-    """Hashes of stretches of a sequence of 64-bit symbols, each in constant time. Equal stretches have equal hashes wherever they stand."""
-
-    def __init__(self, symbols: np.ndarray):
-        self.sums = np.zeros(len(symbols) + 1, np.uint64)
-        np.cumsum(symbols * _powers_of(_BASE, len(symbols)), out=self.sums[1:])
-        self.inverse = _powers_of(_INVERSE, len(symbols) + 1)
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        n = (end - start).astype(np.uint64) if isinstance(end, np.ndarray) else np.uint64(0)
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + n * np.uint64(0xD6E8FEB86659FD93))
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, 0 past the end; a view of one padded copy."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+def _begin(n: np.ndarray, seed: int) -> np.ndarray:
+    return mix(n.astype(np.uint64) * _ODD + np.uint64(seed & (2**64 - 1)))
+
+
+def hash_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """Keyed hash of each slice of bytes. Each step is a bijection of the state and of the eight bytes it takes in, so no algebra of the text carries over."""
+    n, view = ends - starts, eights(data)
+    out = _begin(n, seed)
+    on = np.flatnonzero((n > 0) & (n <= LONG))
+    step = 0
+    while len(on):
+        left = n[on] - 8 * step
+        out[on] = mix((out[on] ^ (view[starts[on] + 8 * step] & _LAST[np.minimum(left, 8)])) * _ODD)
+        step += 1
+        on = on[left > 8]
+    key = (seed & (2**64 - 1)).to_bytes(8, "little")
+    for i in np.flatnonzero(n > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, key=key).digest(), "little")
+    return out
+
+
+def hash_symbols(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """Keyed hash of each slice of a sequence of 64-bit symbols."""
+    n = ends - starts
+    out, on, step = _begin(n, seed), np.flatnonzero(n > 0), 0
+    while len(on):
+        out[on] = mix((out[on] ^ symbols[starts[on] + step]) * _ODD)
+        step += 1
+        on = on[n[on] > step]
+    return out
+
+
+def hash_windows(symbols: np.ndarray, offsets: list[int], count: int, seed: int) -> np.ndarray:
+    """Keyed hash of the symbols at these offsets from each of the first `count` places."""
+    out = np.full(count, seed & (2**64 - 1), np.uint64)
+    for o in offsets:
+        out = mix((out ^ symbols[o : o + count]) * _ODD)
+    return out
+
+
+def same_bytes(view: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> bool:
+    """Whether the n bytes from a on equal those from b on, for all of them."""
+    on, step = np.flatnonzero(n > 0), 0
+    while len(on):
+        left = n[on] - 8 * step
+        last = _LAST[np.minimum(left, 8)]
+        if ((view[a[on] + 8 * step] ^ view[b[on] + 8 * step]) & last).any():
+            return False
+        step += 1
+        on = on[left > 8]
+    return True
+
+
+def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(name, first place) of words: names count from 0, and are equal where the bytes are equal and nowhere else.
+
+    Words are brought together by hash, and neighbours are then compared byte by byte; should unequal words ever have one
+    hash, they are named through a dictionary instead.
+    """
+    hashes = hash_bytes(data, starts, ends, seed)
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order][1:] == hashes[order][:-1]
+    a, b = order[:-1][same], order[1:][same]
+    n = ends - starts
+    if (n[a] != n[b]).any() or not same_bytes(eights(data), starts[a], starts[b], n[a]):
+        known: dict[bytes, int] = {}
+        names = np.array([known.setdefault(data[s:e].tobytes(), len(known)) for s, e in zip(starts, ends)], np.int64)
+        return names, np.unique(names, return_index=True)[1]
+    new = np.concatenate([np.ones(min(len(order), 1), bool), ~same])
+    names = np.empty(len(order), np.int64)
+    names[order] = np.cumsum(new) - 1
+    return names, order[new]
+
+
+def shingle_names(names: np.ndarray, n: int) -> np.ndarray:
+    """A name for each place's `n` names, equal where they are all equal and nowhere else; by naming pairs of shorter ones. The last n - 1 places have none."""
+    if n == 1:
+        return names
+    m = (n + 1) // 2
+    half = shingle_names(names, m)
+    a, b = half[: len(names) - n + 1], half[n - m : len(names) - m + 1]
+    return np.unique(a * (int(half.max(initial=0)) + 1) + b, return_inverse=True)[1].reshape(-1) if len(a) else a
 
 
 def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -32,16 +33,21 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. Only where the session names none (tests on one machine) a temporary folder is set."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or the checkpoint folder that is set.
+
+    Only on one machine (tests) a temporary folder is set where there is none; on a cluster that is an error, as each
+    executor would write to a disk of its own.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
+    if path:
+        return path
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not current.isDefined():
+        if not (spark.conf.get("spark.master", None) or spark.sparkContext.master).startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomlake-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        path = tempfile.mkdtemp(prefix="loomlake-")
-        spark.sparkContext.setCheckpointDir(path)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return path
+    return current.get()
 
 
 class Scratch:
@@ -67,9 +73,35 @@ class Scratch:
                 self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """docs without the columns that have the name of a result column or of a work column, in any case: the operator's own columns win."""
+    taken = {n.lower() for n in names}
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken])
+
+
+def secret() -> int:
+    """A key for the hashes of one operator call; equal in all its tasks, and not known to who wrote the texts."""
+    return secrets.randbits(63)
+
+
+HEAVY = 1024
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """left joined with right (a row per key, `copies`: how many rows of left have it), so that no key gathers in one task.
+
+    Keys with more than total / HEAVY rows, of which there are fewer than HEAVY however large the input is, are broadcast
+    and their rows stay where they are; the others are joined by a shuffle. total: the rows of left. right loses `copies`.
+    """
+    heavy = F.broadcast(right.where(F.col("copies") * HEAVY > total).drop("copies"))
+    light = right.where(F.col("copies") * HEAVY <= total).drop("copies")
+    return left.join(heavy, keys).unionByName(left.join(heavy.select(*keys), keys, "left_anti").join(light, keys, how))
 
 
 def keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:

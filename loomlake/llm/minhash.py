@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -10,67 +11,97 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, OF_BYTE, Hashes, column, mix, pieces, word_spans
-from .common import Scratch, keyed, table
+from .arrays import LOWER, column, hash_bytes, hash_symbols, mix, pieces, shingle_names, word_names, word_spans
+from .common import Scratch, keyed, secret, spread_join, table
 
 BANDS, ROWS = 42, 6
 SLOTS = BANDS * ROWS
 CHUNK = 2048  # members of a bucket that are held against each other at once
-MARGIN = 0.11  # a pair whose signatures agree less than the threshold less this (over four deviations) is no candidate
+MARGIN = 0.14  # a pair whose signatures agree less than the threshold less this (over five deviations) is no candidate
+PART = 1 << 15  # shingles that are signed together
 _GOLD = 0x9E3779B97F4A7C15
 
 
+def shingle_places(size: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, word behind the last) of every shingle of texts with so many words: n words, or all words of a shorter text."""
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    many = np.where(size >= n, size - n + 1, np.minimum(size, 1))
+    text = np.repeat(np.arange(len(size)), many)
+    first = bounds[text] + np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    return text, first, np.minimum(first + n, bounds[text + 1])
+
+
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, n: int, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, fixed hash, keyed hash) of every distinct shingle of consecutive texts, in that order; words are lower-cased."""
+    low = LOWER[data]
+    starts, ends, bounds = word_spans(low, offsets)
+    text, first, end = shingle_places(np.diff(bounds), n)
+    pair = [hash_symbols(hash_bytes(low, starts, ends, seed), first, end, seed) for seed in (1, key)]
+    order = np.lexsort((pair[1], pair[0], text))
+    text, a, b = text[order], pair[0][order], pair[1][order]
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return text[new], a[new], b[new]
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of every distinct shingle of consecutive texts, in that order: n lower-cased words, or all words of a shorter text."""
+    """(text, name) of every distinct shingle, in that order. Within a call, names are equal where the words are, byte for byte."""
     low = LOWER[data]
     starts, ends, bounds = word_spans(low, offsets)
-    words = Hashes(OF_BYTE[low]).of(starts, ends)
+    names, _ = word_names(low, starts, ends)
     size = np.diff(bounds)
-    many = np.where(size >= n, size - n + 1, np.minimum(size, 1))
-    text = np.repeat(np.arange(len(size)), many)
-    first = bounds[text] + np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
-    hashes = Hashes(words).of(first, np.minimum(first + n, bounds[text + 1]))
-    order = np.lexsort((hashes, text))
-    text, hashes = text[order], hashes[order]
+    padded = np.zeros(len(names) + (n - 1) * len(size), np.int64)  # n - 1 empty words end each text, so short texts have a shingle too
+    padded[np.arange(len(names)) + np.repeat(np.arange(len(size)) * (n - 1), size)] = names + 1
+    text, first, _ = shingle_places(size, n)
+    shingle = shingle_names(padded, n)[first + text * (n - 1)] if len(first) else first
+    order = np.lexsort((shingle, text))
+    text, shingle = text[order], shingle[order]
     new = np.ones(len(text), bool)
-    new[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])
-    return text[new], hashes[new]
+    new[1:] = (text[1:] != text[:-1]) | (shingle[1:] != shingle[:-1])
+    return text[new], shingle[new]
 
 
 def super_minhash(text: np.ndarray, elements: np.ndarray, texts: int, slots: int = SLOTS) -> np.ndarray:
-    """Signatures (texts x slots) of sets of elements.
+    """Signatures (texts x slots) of sets of elements; text rises.
 
     Every element deals the slots out in an order of its own, and at its j-th slot bids j plus a fraction; the least bid
-    holds the slot. All elements take a step together. A text stops once each of its slots is held, as later bids are
-    higher; so long texts need a few steps and only sets smaller than the signature need more. Empty sets keep infinity.
+    holds the slot. PART elements take a step together. A text stops once each of its slots is held by a bid below the next
+    step's, as later bids are higher; so long texts need a few steps, and only sets smaller than the signature need more.
+    Orders are kept for the elements at hand only. Empty sets keep infinity.
     """
     held = np.full((texts, slots), np.inf)
-    deals = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.uint16), (len(elements), 1))
-    on = np.arange(len(elements))
-    for j in range(slots):
-        draw = mix(elements[on] + np.uint64((j + 1) * _GOLD % 2**64))
-        k = j + (mix(draw ^ np.uint64(_GOLD)) % np.uint64(slots - j)).astype(np.int64)
-        slot = deals[on, k]
-        deals[on, k] = deals[on, j]
-        np.minimum.at(held, (text[on], slot), j + (draw >> np.uint64(11)) * 2.0**-53)
-        open_ = np.isinf(held).any(axis=1)
-        on = on[open_[text[on]]]
-        if not len(on):
-            break
+    for at in range(0, len(elements), PART):
+        own, e = text[at : at + PART], elements[at : at + PART]
+        deals = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.uint16), (len(e), 1))
+        on = np.arange(len(e))
+        t0, t1 = own[0], own[-1] + 1
+        for j in range(slots):
+            draw = mix(e[on] + np.uint64((j + 1) * _GOLD % 2**64))
+            k = j + (mix(draw ^ np.uint64(_GOLD)) % np.uint64(slots - j)).astype(np.int64)
+            slot = deals[on, k]
+            deals[on, k] = deals[on, j]
+            np.minimum.at(held, (own[on], slot), j + (draw >> np.uint64(11)) * 2.0**-53)
+            open_ = held[t0:t1].max(axis=1) >= j + 1
+            on = on[open_[own[on] - t0]]
+            if not len(on):
+                break
     return held
 
 
-def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _digest(*parts: np.ndarray) -> bytes:
+    return hashlib.blake2b(b"".join(x.tobytes() for x in parts), digest_size=16).digest()
+
+
+def _signed(batches: Iterator[pa.RecordBatch], words: int, key: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rids = batch.column(0).to_numpy(zero_copy_only=False)
         data, offsets = column(batch, "text")
         for lo, hi in pieces(offsets):
-            text, elements = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words)
+            text, elements, keyed_ = shingle_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words, key)
             n = np.bincount(text, minlength=hi - lo)
             held = super_minhash(text, elements, hi - lo).view(np.uint64)
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(elements ^ np.uint64(_GOLD)))])
-            at = np.concatenate([[0], np.cumsum(n)])
-            content = mix(sums[at[1:]] - sums[at[:-1]] + n.astype(np.uint64))
+            at = np.concatenate([[0], np.cumsum(n)]).tolist()
+            content = [_digest(elements[x:y], keyed_[x:y]) for x, y in zip(at, at[1:])]
             sig = np.ascontiguousarray((mix(held) & np.uint64(255)).astype(np.uint8))
             byte = np.uint64(256) ** np.arange(ROWS, dtype=np.uint64)
             keys = (sig.reshape(-1, BANDS, ROWS).astype(np.uint64) * byte).sum(axis=2, dtype=np.uint64)
@@ -79,7 +110,7 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
             sig_at = np.arange(0, (hi - lo + 1) * SLOTS, SLOTS, dtype=np.int32)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "rid": rids[lo:hi], "n_shingles": n.astype(np.int64), "content": content.view(np.int64),
+                    "rid": rids[lo:hi], "n_shingles": n.astype(np.int64), "content": pa.array(content, pa.binary()),
                     "keys": pa.ListArray.from_arrays(list_at, pa.array(keys.ravel().view(np.int64))),
                     "sig": pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(sig_at), pa.py_buffer(sig)]),
                 }
@@ -98,12 +129,12 @@ def _confirmed(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> I
     for batch in batches:
         (a, at_a), (b, at_b) = column(batch, "text_a"), column(batch, "text_b")
         for lo, hi in pieces(at_a + at_b):
-            sets = [shingle_sets(x[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], words) for x, at in ((a, at_a), (b, at_b))]
-            sizes = sum(np.bincount(t, minlength=hi - lo) for t, _ in sets)
-            text, hashes = (np.concatenate(x) for x in zip(*sets))
-            order = np.lexsort((hashes, text))
-            text, hashes = text[order], hashes[order]
-            both = np.bincount(text[1:][(text[1:] == text[:-1]) & (hashes[1:] == hashes[:-1])], minlength=hi - lo)
+            data, offsets = np.concatenate([a[at_a[lo] : at_a[hi]], b[at_b[lo] : at_b[hi]]]), np.concatenate([at_a[lo:hi] - at_a[lo], at_b[lo : hi + 1] - at_b[lo] + at_a[hi] - at_a[lo]])
+            text, shingle = shingle_sets(data, offsets, words)
+            sizes = np.bincount(text % (hi - lo), minlength=hi - lo)
+            order = np.lexsort((shingle, text % (hi - lo)))
+            text, shingle = text[order] % (hi - lo), shingle[order]
+            both = np.bincount(text[1:][(text[1:] == text[:-1]) & (shingle[1:] == shingle[:-1])], minlength=hi - lo)
             yield batch.select(["a", "b"]).slice(lo, hi - lo).filter(pa.array(100 * both >= percent * (sizes - both)))
 
 
@@ -158,16 +189,16 @@ def _linked(batches: Iterator[pa.RecordBatch], words: int, percent: int, least:
     """Links between components within each bucket, confirmed on whole sets. What a bucket's earlier links join isn't compared again."""
     for group in _groups(batches):
         data, offsets = column(group.to_batches()[0], "text")
-        text, hashes = shingle_sets(data[offsets[0] : offsets[-1]], offsets - offsets[0], words)
+        text, shingle = shingle_sets(data[offsets[0] : offsets[-1]], offsets - offsets[0], words)
         at = np.searchsorted(text, np.arange(group.num_rows + 1))
         size, rid, comp, found = np.diff(at), group.column("rid").to_numpy(), group.column("comp").to_numpy().copy(), []
         for x, others in _candidates(group, least):
             others = others[comp[others] != comp[x]]
             if not len(others):
                 continue
-            own = hashes[at[x] : at[x + 1]]
+            own = shingle[at[x] : at[x + 1]]
             rows = np.repeat(np.arange(len(others)), size[others])
-            theirs = hashes[np.arange(len(rows)) + np.repeat(at[others] - (np.cumsum(size[others]) - size[others]), size[others])]
+            theirs = shingle[np.arange(len(rows)) + np.repeat(at[others] - (np.cumsum(size[others]) - size[others]), size[others])]
             hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
             both = np.bincount(rows[hit], minlength=len(others))
             for y in others[100 * both >= percent * (size[x] + size[others] - both)]:
@@ -213,12 +244,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Equal sets are one class, which one row stands for. Each bucket of a band first tries its members against its least
     row, which joins most copies. Only buckets that still hold several components are then looked at across components, a
     pair of chunks in a task; what agrees enough by signature is confirmed there on whole sets, so that links leave the
-    task but pairs don't. At 80 % a pair shares no band with a probability of 3 in a million.
+    task but pairs don't. At 80 % a pair shares no band with a probability of 3 in a million; a lower `percent` is refused.
+    Links are confirmed on the words themselves; equal sets are those whose sorted 128-bit shingle hashes, half of them
+    keyed anew for each call, have one 128-bit digest.
     """
+    if percent < 80:
+        raise ValueError("the bands are made for 80 per cent and more")
     scratch = Scratch(docs.sparkSession, "minhash")
     rows, same = keyed(docs, scratch)
-    signed = scratch.save(rows.select("rid", "text").mapInArrow(partial(_signed, words=words), "rid long, n_shingles long, content long, keys array<long>, sig binary"), "signed")
-    classes = signed.where("n_shingles > 0").groupBy("content", "n_shingles").agg(F.min("rid").alias("rep"))
+    signed = scratch.save(rows.select("rid", "text").mapInArrow(partial(_signed, words=words, key=secret()), "rid long, n_shingles long, content binary, keys array<long>, sig binary"), "signed")
+    classes = scratch.save(signed.where("n_shingles > 0").groupBy("content").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = scratch.save(classes.select(F.col("rep").alias("rid")).join(signed.select("rid", "keys", "sig"), "rid"), "reps")
     bands = reps.select("rid", F.posexplode("keys").alias("band", "key"))
     buckets = scratch.save(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("rid").alias("hub")).where("n > 1"), "buckets")
@@ -247,18 +282,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     hopeful = scratch.save(by_bucket(dealt).mapInArrow(partial(_hopeful, least=least), dealt.schema), "hopeful")
     held = by_bucket(hopeful.join(texts, "rid")).mapInArrow(partial(_linked, words=words, percent=percent, least=least), "a long, b long")
     more = scratch.save(held.distinct(), "more")
-    scratch.drop("members")
-    scratch.drop("labelled")
+    scratch.drop("members", "labelled", "buckets", "stars", "likely", "hopeful", "reps")
     if not more.isEmpty():
         comps = components(links.unionByName(more), Scratch(docs.sparkSession, "minhash"))
-    out = signed.select("rid", "n_shingles", "content").join(classes, ["content", "n_shingles"], "left")
-    out = out.withColumn("rep", F.coalesce("rep", "rid")).join(comps.toDF("rep", "comp"), "rep", "left").withColumn("component_rid", F.coalesce("comp", "rep")).select("rid", "n_shingles", "component_rid")
+    scratch.drop("links", "more")
+    named = classes.join(comps.toDF("rep", "comp"), "rep", "left").select("content", "copies", F.coalesce("comp", "rep").alias("component_rid"))
+    some, none = signed.where("n_shingles > 0"), signed.where("n_shingles = 0").select("rid", "n_shingles", F.col("rid").alias("component_rid"))
     if same:
+        out = spread_join(some.select("rid", "n_shingles", "content"), named, ["content"], some.count()).select("rid", "n_shingles", "component_rid").unionByName(none)
         kind = rows.schema["doc_id"].dataType
         out = out.withColumn("doc_id", F.col("rid").cast(kind)).withColumn("component_id", F.col("component_rid").cast(kind))
     else:
         ids = rows.select("rid", "doc_id")
-        out = out.join(ids, "rid").join(ids.toDF("component_rid", "component_id"), "component_rid")
+        named = named.join(ids.toDF("component_rid", "component_id"), "component_rid")
+        out = spread_join(some.select("rid", "n_shingles", "content"), named, ["content"], some.count()).select("rid", "n_shingles", "component_rid", "component_id")
+        out = out.unionByName(none.join(ids.toDF("rid", "component_id"), "rid")).join(ids, "rid")
     return out.withColumn("kept", F.col("rid") == F.col("component_rid"))
 
 

@@ -24,7 +24,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = 24, step: in
     A byte goes where a string of `length` bytes that covers it also starts earlier: in a document with a smaller doc_id,
     or earlier in the same one. Strings are judged on the input. Matches never cross documents. Null and empty texts have
     no bytes; shorter texts stay whole. Repeated ids and rows are documents of their own, ordered by text. kept is binary,
-    as a run may cut a character. Equal strings are told apart by 64-bit hashes of cores and slack. An empty table gives an
+    as a run may cut a character. An empty table gives an
     empty result; more columns of docs are ignored.
     """
     scratch, kind = Scratch(docs.sparkSession, "suffixes"), Kind("bytes", length, gram, step)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .arrays import OF_BYTE, Hashes, column, pieces, word_spans
+from .arrays import column, pieces, word_names, word_spans
 from .common import table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -73,7 +73,7 @@ def _counted(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.Recor
         for lo, hi in pieces(offsets, PIECE_BYTES):
             part = data[offsets[lo] : offsets[hi]]
             starts, ends, bounds = word_spans(part, offsets[lo : hi + 1] - offsets[lo])
-            _, first, which = np.unique(Hashes(OF_BYTE[part]).of(starts, ends), return_index=True, return_inverse=True)
+            which, first = word_names(part, starts, ends)
             raw = part.tobytes()
             distinct = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())]
             if len(known) > CACHE:

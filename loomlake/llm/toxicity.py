@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .arrays import LOWER, OF_BYTE, Hashes, column, pieces
-from .common import table
+from .arrays import LOWER, column, hash_bytes, pieces
+from .common import table, without
 
 BITS = 18
 PREFIXES = (4, 5)  # bytes; stems are features beside whole tokens
@@ -34,13 +34,12 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     after[offsets] = False
     starts, ends = np.flatnonzero(inside & ~before[:-1]), np.flatnonzero(inside & ~after[1:]) + 1
     text = np.searchsorted(offsets, starts, "right") - 1
-    hashes = Hashes(OF_BYTE[low])
     mask = np.uint64((1 << BITS) - 1)
-    kinds = [(hashes.of(starts, ends) & mask).astype(np.int64)]
+    kinds = [(hash_bytes(low, starts, ends, 1) & mask).astype(np.int64)]
     texts = [text]
     for k, n in enumerate(PREFIXES, 1):
         long = ends - starts >= n
-        kinds.append((hashes.of(starts[long], starts[long] + n) & mask).astype(np.int64) + (k << BITS))
+        kinds.append((hash_bytes(low, starts[long], starts[long] + n, 1) & mask).astype(np.int64) + (k << BITS))
         texts.append(text[long])
     return np.concatenate(texts), np.concatenate(kinds), np.bincount(text, minlength=len(offsets) - 1)
 
@@ -169,8 +168,9 @@ def toxicity(docs: DataFrame, model: Ordinal | None, reject: float = REJECT) ->
     """docs (text, and more columns, which stay) with severity (expected grade) and toxic (severity >= reject).
 
     Null, empty and blank texts have severity 0, as all have without a model. Repeated rows keep a row each; an empty
-    table gives an empty result. docs must have no column severity or toxic.
+    table gives an empty result. Columns of docs named severity or toxic give way to those of the result.
     """
+    docs = without(docs, "severity", "toxic")
     if model is None:
         return docs.withColumn("severity", F.lit(0.0)).withColumn("toxic", F.lit(False))
     held = docs.sparkSession.sparkContext.broadcast(model)
