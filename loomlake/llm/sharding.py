@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import Scratch, spread_join, table, without
 
 SHARDS = 40
-FINE = 256  # a group of at least capacity / FINE is an item of its own, smaller ones are bundled to about that size
-PARTS = 64  # parts of a shard for the slots
+PARTS = 256  # parts of a shard, and of the groups of one size, in which rows are numbered
 
 
 class _Tree:
@@ -58,65 +58,97 @@ class _Tree:
         return t[1]
 
 
-def best_fit_decreasing(items: list[tuple[int, str]], capacity: int, bins: int | None = None) -> dict[str, int] | None:
-    """Bin by item. Items (size, name) go in by falling size, each to the bin with the tightest room for it.
+Classes = list[tuple[int, int]]  # (size, number of groups of that size)
+Runs = list[tuple[int, int, int]]  # (size, bin, number of groups of that size that go there)
 
+
+def best_fit_decreasing(classes: Classes, capacity: int, bins: int | None = None) -> Runs | None:
+    """Where groups go by falling size, each to the bin with the tightest room for it.
+
+    Groups of one size are taken together: the bin that is tightest for one stays so until it has no room for another.
     bins: None opens a new bin when none has room (the packing of fewest bins by this rule); a number packs into so many
     bins, and gives None where that fails.
     """
-    tree, placed, opened = _Tree((capacity, b) for b in range(bins or 0)), {}, bins or 0
-    for size, name in sorted(items, key=lambda x: (-x[0], x[1])):
-        room = tree.take(size)
-        if room is None:
-            if bins is not None:
-                return None
-            room, opened = (max(capacity, size), opened), opened + 1
-        placed[name] = room[1]
-        tree.add((room[0] - size, room[1]))
-    return placed
-
-
-def fewest_capacity(items: list[tuple[int, str]], bins: int) -> dict[str, int]:
-    """The best-fit-decreasing packing into `bins` bins with the least capacity that halving finds."""
-    total, largest = sum(s for s, _ in items), max((s for s, _ in items), default=0)
-    low = max(-(-total // bins), largest)
-    high, best = low, None
-    while best is None:
-        best, high = best_fit_decreasing(items, high, bins), high + max(1, high // 64) if best is None else high
-    for _ in range(24):
-        if low >= high:
+    tree, runs, opened = _Tree((capacity, b) for b in range(bins or 0)), [], bins or 0
+    for size, count in sorted(classes, reverse=True):
+        while count:
+            room = tree.take(size)
+            if room is None:
+                if bins is not None:
+                    return None
+                room, opened = (max(capacity, size), opened), opened + 1
+            n = min(count, room[0] // size)
+            runs.append((size, room[1], n))
+            tree.add((room[0] - n * size, room[1]))
+            count -= n
+    return runs
+
+
+def level_bins(classes: Classes, bins: int) -> Runs:
+    """Groups packed by best-fit-decreasing into `bins` bins of near equal contents.
+
+    A group above the fair share of what is left has a bin of its own. The others go into bins of the least capacity that
+    doubling and halving its excess over the fair share finds, to a thousandth.
+    """
+    rest, runs, used = dict(classes), [], 0
+    total = sum(size * n for size, n in classes)
+    for size in sorted(rest, reverse=True):
+        while rest[size] and used < bins - 1 and size * (bins - used) > total:
+            runs.append((size, used, 1))
+            rest[size] -= 1
+            total -= size
+            used += 1
+        if rest[size]:
             break
+    left = [(size, n) for size, n in rest.items() if n]
+    if not left:
+        return runs
+    fair = -(-total // (bins - used))
+    low, extra, found = fair - 1, 0, None
+    while found is None:
+        found, high = best_fit_decreasing(left, fair + extra, bins - used), fair + extra
+        low, extra = (low, extra) if found is not None else (high, 2 * extra or 1)
+    while (high - low) * 1000 > fair:
         middle = (low + high) // 2
-        found = best_fit_decreasing(items, middle, bins)
-        low, high, best = (low, middle, found) if found is not None else (middle + 1, high, best)
-    return best
+        tried = best_fit_decreasing(left, middle, bins - used)
+        low, high, found = (low, middle, tried) if tried is not None else (middle, high, found)
+    return runs + [(size, b + used, n) for size, b, n in found]
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, group: Column | None = None) -> DataFrame:
     """docs with size, law ('bytes'), shard and slot; documents of a group share a shard, and the shards' sizes are near equal.
 
     size: UTF-8 bytes of the text plus 16. group: by default the text, where null and empty are one group. A group is never
-    divided, so a group above a shard's fair share fills a shard of its own. Groups of at least 1/FINE of the fair share
-    are items of the packing, at most shards * FINE of them; smaller ones are bundled by hash into shards * FINE bundles.
-    So the packing has at most 2 * shards * FINE items, however many documents there are, and runs on the driver. slot
-    numbers a shard's rows from 0 without gaps. An empty table gives an empty result; repeated rows keep a row each.
+    divided, so a group above a shard's fair share fills a shard of its own. Every group is an item of the packing. What
+    the driver packs is how many groups there are of each size, a row for each distinct size: fewer than the square root
+    of twice all bytes, in practice as many as there are lengths of texts. slot numbers a shard's rows from 0 without
+    gaps. Columns of docs with the names of the result, or of work columns (_group, _part, _nth, _base), give way. An
+    empty table gives an empty result; repeated rows keep a row each.
     """
-    key = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256) if group is None else F.sha2(F.coalesce(group.cast("string"), F.lit("")), 256)
+    docs = without(docs, "size", "law", "shard", "slot", "_group", "_part", "_nth", "_base")
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "shards")
+    key = F.unhex(F.sha2(F.coalesce(F.col("text") if group is None else group.cast("string"), F.lit("")), 256))
     sized = docs.withColumn("size", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long")).withColumn("_group", key)
-    groups = sized.groupBy("_group").agg(F.sum("size").alias("bytes"))
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    fair = max(1, total // shards)
-    bundle = F.concat(F.lit("#"), F.pmod(F.xxhash64("_group"), F.lit(shards * FINE)).cast("string"))
-    big = groups.where(F.col("bytes") * FINE >= fair).withColumnRenamed("_group", "item")  # at most shards * FINE * 2 rows
-    small = groups.where(F.col("bytes") * FINE < fair).groupBy(bundle.alias("item")).agg(F.sum("bytes").alias("bytes"))
-    items = [(row["bytes"], row["item"]) for row in big.unionByName(small).collect()]
-    placed = fewest_capacity(items, shards) if items else {}
-    spark = docs.sparkSession
-    where = spark.createDataFrame(list(placed.items()), "item string, shard int")
-    large = F.broadcast(where.where(~F.col("item").startswith("#")).select(F.col("item").alias("_group"), F.col("shard").alias("_own")))
-    bundles = F.broadcast(where.where(F.col("item").startswith("#")).select(F.col("item").alias("_bundle"), F.col("shard").alias("_with")))
-    dealt = sized.withColumn("_bundle", bundle).join(large, "_group", "left").join(bundles, "_bundle", "left").withColumn("shard", F.coalesce("_own", "_with"))
-    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(PARTS)).cast("int"))
+    groups = scratch.save(sized.groupBy("_group").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "groups")
+    sizes = groups.groupBy("bytes").count().toArrow()
+    packed, at = level_bins(list(zip(*(sizes.column(c).to_pylist() for c in ("bytes", "count")))), shards), {}
+    runs: dict[int, list[dict]] = {}
+    for size, shard, n in packed:
+        first = at.get(size, 0)
+        at[size] = first + n
+        runs.setdefault(size, []).append({"end": first + n, "shard": shard})
+    kind = pa.list_(pa.struct([("end", pa.int64()), ("shard", pa.int32())]))
+    where = spark.createDataFrame(pa.table({"bytes": pa.array(list(runs), pa.int64()), "runs": pa.array(list(runs.values()), kind), "copies": pa.array([at[x] for x in runs], pa.int64())}))
+    parted = groups.withColumn("_part", F.pmod(F.xxhash64("_group"), F.lit(PARTS)).cast("int"))
+    in_part = parted.groupBy("bytes", "_part").agg(F.count("*").alias("_n"))
+    bases = in_part.withColumn("_base", F.sum("_n").over(Window.partitionBy("bytes").orderBy("_part")) - F.col("_n")).drop("_n")
+    ranked = parted.withColumn("_nth", F.row_number().over(Window.partitionBy("bytes", "_part").orderBy("_group"))).join(bases, ["bytes", "_part"])
+    rank = F.col("_base") + F.col("_nth") - 1
+    dealt = spread_join(ranked.select("_group", "bytes", F.col("rows"), rank.alias("rank")), where, ["bytes"], groups.count())
+    placed = scratch.save(dealt.select("_group", F.col("rows").alias("copies"), F.filter("runs", lambda r: r["end"] > F.col("rank"))[0]["shard"].alias("shard")), "placed")
+    scratch.drop("groups")
+    total = placed.agg(F.sum("copies")).first()[0] or 0
+    dealt = spread_join(sized, placed, ["_group"], total).withColumn("_part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(PARTS)).cast("int"))
     counts = dealt.groupBy("shard", "_part").agg(F.count("*").alias("_n"))  # shards * PARTS rows
     bases = counts.withColumn("_base", F.sum("_n").over(Window.partitionBy("shard").orderBy("_part")) - F.col("_n")).select("shard", "_part", "_base")
     order = Window.partitionBy("shard", "_part").orderBy(F.asc_nulls_first("doc_id"), "size", "_group")
@@ -125,11 +157,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, group: Column | None
         .join(bases, ["shard", "_part"])
         .withColumn("slot", (F.col("_base") + F.col("_nth") - 1).cast("long"))
         .withColumn("law", F.lit("bytes"))
-        .select(*docs.columns, "size", "law", "shard", "slot")
+        .select(*[f"`{c}`" for c in docs.columns], "size", "law", "shard", "slot")
     )
 
 
 def op8_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = shard_documents(docs)
-    return out.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    out = shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text", crc.alias("text_crc32")))
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
