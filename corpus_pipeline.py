@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomlake.llm.common import Scratch, table
 from loomlake.llm.decontam import decontaminate
 from loomlake.llm.minhash import near_duplicates
-from loomlake.llm.mixing import mix_sources, repeat_documents
+from loomlake.llm.mixing import mixed_documents
 from loomlake.llm.sharding import shard_documents
 from loomlake.llm.toxicity import fit_toxicity, toxicity
 
@@ -33,7 +33,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents as the mix of sources takes them; a document that is drawn twice is there twice."""
-    return repeat_documents(mix_sources(docs), docs.columns)
+    return mixed_documents(docs).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

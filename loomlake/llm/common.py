@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -104,19 +105,20 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], total: int,
     return left.join(heavy, keys).unionByName(left.join(heavy.select(*keys), keys, "left_anti").join(light, keys, how))
 
 
-def keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
-    """doc_id, text and rid, a long that is unique by row and ordered as doc_id; and whether rid is doc_id.
+def keyed(docs: DataFrame, scratch: Scratch, *more: str) -> tuple[DataFrame, bool]:
+    """doc_id, text, `more` columns and rid, a long that is unique by row and ordered as doc_id; and whether rid is doc_id.
 
     Where doc_id is whole-numbered, never null and unique, rid is doc_id. Else rows are numbered in the order of doc_id
-    (nulls first), then text, so that repeated ids and repeated rows remain rows of their own.
+    (nulls first), then text, then `more`, so that repeated ids and repeated rows remain rows of their own.
     """
-    thin = docs.select("doc_id", "text")
+    names = [f"`{c}`" for c in ("doc_id", "text", *more)]
+    thin = docs.select(*names)
     if dict(thin.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint"):
         odd = thin.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1)
         if odd.isEmpty():
             return thin.withColumn("rid", F.col("doc_id").cast("long")), True
-    ordered = thin.orderBy(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")).withColumn("rid", F.monotonically_increasing_id())
-    return scratch.save(ordered, "keyed"), False
+    order = [F.asc_nulls_first(c) for c in names if not isinstance(thin.schema[c.strip("`")].dataType, MapType)]
+    return scratch.save(thin.orderBy(*order).withColumn("rid", F.monotonically_increasing_id()), "keyed"), False
 
 
 def with_ids(out: DataFrame, rows: DataFrame, same: bool) -> DataFrame:
