@@ -243,13 +243,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     """
     scratch = Scratch(docs.sparkSession, "decontam")
     rows, _ = keyed(docs, scratch)
+    ids = benchmark.schema["item_id"].dataType.simpleString()
     shared = item_covers(template_matches(rows, benchmark, window, scratch), window)
     held = (F.col("share") >= cover) | (F.col("covered") >= quote)
     per_doc = shared.groupBy("rid").agg(F.sort_array(F.collect_list(F.when(held, F.col("item_id")))).alias("item_ids"), F.max("share").alias("best_cover"))
     return (
         rows.select("rid", "doc_id")
         .join(per_doc, "rid", "left")
-        .withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<bigint>")))
+        .withColumn("item_ids", F.coalesce("item_ids", F.array().cast(f"array<{ids}>")))
         .select("doc_id", "rid", F.size("item_ids").alias("n_items"), "item_ids", F.round(F.coalesce("best_cover", F.lit(0.0)), 6).alias("best_cover"))
         .withColumn("contaminated", F.col("n_items") > 0)
     )
