@@ -19,9 +19,10 @@ FIELD_KINDS = (
     ("id_card", ("id_card", "idcard", "identity", "ssn")),
     ("email", ("email", "mail")),
     ("card", ("credit_card", "card_number", "cvv")),
+    ("default", ("api-key", "private_key", "cell", "authorization", "bearer")),
 )
 # What replaces a field that is hidden whole.
-PLACEHOLDERS = {"password": "***", "token": "***TOKEN***", "api_key": "***API_KEY***", "phone": "***PHONE***", "email": "***EMAIL***", "id_card": "***ID_CARD***", "card": "***CARD***"}
+PLACEHOLDERS = {"password": "***", "token": "***TOKEN***", "api_key": "***API_KEY***", "phone": "***PHONE***", "email": "***EMAIL***", "id_card": "***ID_CARD***", "card": "***CARD***", "default": "***REDACTED***"}
 
 PHONE = r"1[3-9]\d{9}"
 IDENTITY = r"[1-9]\d{5}(?:(?:18|19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[\dXx]|\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3})"
@@ -43,7 +44,7 @@ def _stars(n: Column) -> Column:
 
 def mask_field(kind: str, value: Column) -> Column:
     """The value of a field of that kind: hidden whole, or in part where it has the form that the kind expects. Null stays null."""
-    if kind in ("password", "token", "api_key"):
+    if kind in ("password", "token", "api_key", "default"):
         return F.when(value.isNotNull(), PLACEHOLDERS[kind])
     if kind == "card":
         digits = F.regexp_extract(F.regexp_replace(value, r"[\s-]", ""), r"\d{13,19}", 0)

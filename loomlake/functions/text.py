@@ -18,16 +18,27 @@ SENSITIVE_WORDS = ("password", "token", "secret", "key", "credential", "auth", "
 # Patterns of sensitive contents and what stands in their place, in the order in which they apply.
 MASKS = (
     (r"(?i)eyJ[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+", "***TOKEN***"),
-    (r"(?i)Bearer\s+[a-zA-Z0-9_.\-=]+", "***TOKEN***"),
+    (r"(?i)Bearer\s+[a-zA-Z0-9_.\-=]+", "Bearer ***TOKEN***"),
     (r"(?i)(AKIA)[0-9A-Z]{12}([0-9A-Z]{4})", "$1***$2"),
     (r"(?i)(AIza)[a-zA-Z0-9_-]{31}([a-zA-Z0-9_-]{4})", "$1***$2"),
     (r"\b([a-zA-Z0-9]{4})[a-zA-Z0-9]{24,}([a-zA-Z0-9]{4})\b", "$1***$2"),
+    (r"(?i)(sk_l)ive_[a-zA-Z0-9]{20,}([a-zA-Z0-9]{4})", "$1***$2"),
+    (r"(?i)(sk_t)est_[a-zA-Z0-9]{20,}([a-zA-Z0-9]{4})", "$1***$2"),
+    (r"(1[3-9]\d)\d{4}(\d{4})", "$1****$2"),
     (r"(1[3-9]\d)-?\d{4}-?(\d{4})", "$1****$2"),
     (r"([1-9]\d{5})(?:18|19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])(\d{3}[\dXx])", "$1********$2"),
+    (r"([1-9]\d{5})\d{2}(?:0[1-9]|1[0-2])(?:0([1-9]\d{3})|[12](\d{4})|3([01]\d{3}))", "$1*****$2$3$4"),
+)
+# Patterns of passwords in text, applied last.
+PASSWORDS = (
+    (r"(?i)([\"']?password[\"']?\s*[:=]\s*[\"'])[^\"']+([\"'])", "$1***$2"),
+    (r"(?i)([\s?&]password=)[^&\s,\"]+", "$1***"),
+    (r"(?i)(--password[-=]|\s-p\s+)\S+", "$1***"),
     (r"(?i)\b(password|pwd|passwd)\s*[=:]\s*[^\s,\"]+", "$1=***"),
 )
 # Card numbers by issuer, then any of sixteen digits.
 CARDS = (r"\b4\d{12}(?:\d{3}|\d{6})?\b", r"\b5[1-5]\d{14}\b", r"\b3[47]\d{13}\b", r"\b\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b")
+TOKEN = r"[\p{L}\p{N}_]{2,}"
 EMAIL = r"([a-zA-Z0-9._%+-]+)@((?:[a-zA-Z0-9-]+\.)+[a-zA-Z]{2,})"
 
 
@@ -41,8 +52,19 @@ def any_of(text: Column, words) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters, digits and underscores of two characters or more; none for null."""
-    spaced = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}_\s]", " "))
-    return F.filter(F.split(spaced, r"\s+"), lambda x: F.length(x) > 1)
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+
+
+def token_count(text: Column) -> Column:
+    """How many tokens a text has, without making them."""
+    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN))
+
+
+def occurrences(text: Column, term: str) -> Column:
+    """How often a token stands in a text; texts without its letters are told apart by a plain search."""
+    low, edge = F.lower(F.coalesce(text, F.lit(""))), r"[\p{L}\p{N}_]"
+    alone = rf"(?<!{edge})\Q{term}\E(?!{edge})"
+    return F.when(F.contains(low, F.lit(term)), F.regexp_count(low, F.lit(alone))).otherwise(F.lit(0))
 
 
 def title_of(text: Column) -> Column:
@@ -51,10 +73,10 @@ def title_of(text: Column) -> Column:
 
 def hash_embedding(text: Column, dims: int = 32) -> Column:
     """Unit vector from the SHA-256 of a text; dimension i comes from byte i modulo 32."""
-    digest = F.sha2(text, 256)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0 - 0.5) * 2)
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(text.isNotNull(), F.transform(raw, lambda x: x / norm))
+    byte = lambda digest: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: (F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0 - 0.5) * 2)
+    raw = let(let(F.sha2(text, 256), byte), lambda b: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.get(b, i % 32)))
+    norm = lambda r: F.sqrt(F.aggregate(r, F.lit(0.0), lambda a, x: a + x * x))
+    return F.when(text.isNotNull(), let(raw, lambda r: let(norm(r), lambda n: F.transform(r, lambda x: x / n))))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -77,7 +99,7 @@ def clean_text(text: Column) -> Column:
     """Collapses blanks, drops page numbers and control characters, blank lines and repeated lines (the first one stays)."""
     for pattern, new in ((r"\n\s*\n", "\n\n"), (r" +", " "), (r"\t+", " "), (r"\n\s*\d+\s*\n", "\n"), (r"\n\s*第\s*\d+\s*页\s*\n", "\n"), (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", "")):
         text = F.regexp_replace(text, pattern, new)
-    return F.array_join(F.array_distinct(F.filter(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, r"\s", "") != "")), "\n")
+    return F.array_join(F.array_distinct(F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != "")), "\n")
 
 
 def chunks(text: Column, size: int = 512, overlap: int = 50, longer_than: int | None = 50) -> Column:
@@ -98,14 +120,18 @@ def redact(message: Column) -> Column:
 
 def mask_emails(text: Column) -> Column:
     """Local parts keep their first and last character, those of one or two characters none; one star for each hidden one."""
-    parts = F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))
 
     def masked(address: Column) -> Column:
         local = F.substring_index(address, "@", 1)
         hidden = F.when(F.length(local) <= 2, F.repeat(F.lit("*"), F.length(local))).otherwise(F.concat(F.substring(local, 1, 1), F.repeat(F.lit("*"), F.length(local) - 2), F.substring(local, -1, 1)))
         return F.concat(hidden, F.lit("@"), F.substring_index(address, "@", -1))
 
-    return F.aggregate(F.array_distinct(parts), text, lambda t, a: F.replace(t, a, masked(a)))
+    return let(text, lambda t: F.when(F.contains(t, F.lit("@")), replace_matches(t, EMAIL, masked)).otherwise(t))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once per row, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def replace_matches(text: Column, pattern: str, new: Callable[[Column], Column]) -> Column:
@@ -115,6 +141,10 @@ def replace_matches(text: Column, pattern: str, new: Callable[[Column], Column])
     return F.array_join(pairs, "")
 
 
+def _masker(pattern: str, new: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda t: F.when(F.rlike(t, F.lit(pattern)), replace_matches(t, pattern, new)).otherwise(t)
+
+
 def mask_cards(text: Column) -> Column:
     """Card numbers without their separators, a star for each digit but the last four."""
 
@@ -123,15 +153,20 @@ def mask_cards(text: Column) -> Column:
         return F.concat(F.repeat(F.lit("*"), F.length(digits) - 4), F.right(digits, F.lit(4)))
 
     for pattern in CARDS:
-        text = replace_matches(text, pattern, masked)
+        text = let(text, _masker(pattern, masked))
+    return text
+
+
+def replaced(text: Column, masks) -> Column:
+    """text after each (pattern, replacement), in order."""
+    for pattern, new in masks:
+        text = F.regexp_replace(text, pattern, new)
     return text
 
 
 def mask_sensitive(text: Column) -> Column:
     """The masks in their order: tokens, keys, phones, identity numbers, e-mail addresses, cards, passwords."""
-    for pattern, new in MASKS[:-1]:
-        text = F.regexp_replace(text, pattern, new)
-    return F.regexp_replace(mask_cards(mask_emails(text)), *MASKS[-1])
+    return replaced(mask_cards(mask_emails(replaced(text, MASKS))), PASSWORDS)
 
 
 def react_fields(reply: Column) -> Column:

@@ -22,24 +22,60 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def ordered_fold(df: DataFrame, key: str, time: str, tie: str, machine: Callable[[], Callable], inputs: list[str], name: str, kind: str) -> DataFrame:
-    """df's key, tie and time with the machine's answer for each row. machine() makes a fresh step(time, *inputs) -> answer for each key."""
+def stretches(df: DataFrame, key: str, time: str, gap: int) -> DataFrame:
+    """df with `_stretch`: a number that rises whenever more than `gap` seconds lie between two rows of a key.
+
+    Buckets of time as wide as the gap take the place of a window over the whole key: a stretch is a run of buckets that
+    follow one another, so only the distinct buckets of a key, not its rows, come together.
+    """
+    bucketed = df.withColumn("_bucket", F.floor(F.col(time) / (gap * MICROS)))
+    seen = bucketed.groupBy(key, "_bucket").count()
+    first = F.coalesce(F.col("_bucket") - F.lag("_bucket").over(Window.partitionBy(key).orderBy("_bucket")) > 2, F.lit(True))
+    named = seen.withColumn("_stretch", F.sum(first.cast("int")).over(Window.partitionBy(key).orderBy("_bucket"))).select(F.col(key).alias("_k"), F.col("_bucket").alias("_b"), "_stretch")
+    return bucketed.join(named, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_bucket") == F.col("_b"))).drop("_bucket", "_k", "_b")
+
+
+def ordered_fold(df: DataFrame, key: str, time: str, tie: str, machine: Callable[[], Callable], inputs: list[str], name: str, kind: str, gap: int | None = None) -> DataFrame:
+    """df's key, tie and time with the machine's answer for each row. machine() makes a fresh step(time, *inputs) -> answer for each key.
+
+    gap: so many seconds without a row bring the machine back to its first state; a key's rows are then dealt by the
+    stretches between such gaps, so a key that is never at rest is the only one that stays in one task.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, step = object(), None
         for batch in batches:
             answers = []
-            for k, t, *values in zip(batch[key], batch[time], *[batch[c] for c in inputs]):
-                if k != current and not (pd.isna(k) and pd.isna(current)):
-                    current, step = k, machine()
+            for k, part, t, *values in zip(batch[key], batch["_stretch"], batch[time], *[batch[c] for c in inputs]):
+                k = None if pd.isna(k) else k
+                if (k, part) != current:
+                    current, step = (k, part), machine()
                 answers.append(step(t, *values))
             yield batch[[key, tie, time]].assign(**{name: answers})
 
     kinds = dict(df.dtypes)
-    rows = df.select(key, tie, time, *inputs).repartition(key).sortWithinPartitions(key, time, tie)
+    parted = stretches(df, key, time, gap) if gap else df.withColumn("_stretch", F.lit(0))
+    rows = parted.select(key, "_stretch", tie, time, *inputs).repartition(key, "_stretch").sortWithinPartitions(key, "_stretch", time, tie)
     return rows.mapInPandas(run, f"{key} {kinds[key]}, {tie} {kinds[tie]}, {time} {kinds[time]}, {name} {kind}")
 
 
+def cooldown(seconds: int) -> Callable[[], Callable]:
+    """Whether an alert is sent: the first is, and each one more than `seconds` after the last that was."""
+
+    def machine():
+        last = [None]
+
+        def step(t):
+            if last[0] is None or t - last[0] > seconds * MICROS:
+                last[0] = t
+                return True
+            return False
+
+        return step
+
+    return machine
+
+
 def sliding_window(limit: int, window: int, inclusive: bool) -> Callable[[], Callable]:
     """Denied requests are not recorded; `inclusive` keeps a request exactly one window old."""
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
+
 # Entity types and the names that belong to them.
 ENTITY_PATTERNS = {
     "功法": "(八段锦|五禽戏|太极拳|六字诀|易筋经|形意拳|八卦掌)",
@@ -27,17 +29,24 @@ def entities(docs: DataFrame, patterns: dict[str, str] | None = None, key: str =
     return first.select(key, "f.ordinal", "name", "f.type")
 
 
-def cooccurrences(docs: DataFrame, found: DataFrame, gap: int = 50, key: str = "doc_id") -> DataFrame:
-    """key, source, target: entities of one text within `gap` characters of each other on one line, in either order.
+def cooccurrences(docs: DataFrame, patterns: dict[str, str] | None = None, gap: int = 50, key: str = "doc_id") -> DataFrame:
+    """key, source, target: entities of one text within `gap` characters of each other on one line, in either order; the one found first is the source.
 
-    A text's entities are an array that is bounded by the names in the patterns; pairs are made inside the row.
+    Names and pairs are made inside the row: lines are split where the names are, and what stands between two of them is
+    measured, so no pattern is built from data and the text is not shuffled. Texts with fewer than two names end early.
     """
-    per_doc = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ordinal", "name"))).alias("es"))
-    pairs = F.flatten(F.transform("es", lambda a, i: F.transform(F.slice("es", i + 2, F.size("es")), lambda b: F.struct(a["name"].alias("source"), b["name"].alias("target")))))
-    near = docs.select(key, "text").join(per_doc, key).select(key, "text", F.explode(pairs).alias("p")).select(key, "text", "p.source", "p.target")
-    between = F.lit(f".{{0,{gap}}}")
-    hit = (F.regexp_like("text", F.concat("source", between, "target")) | F.regexp_like("text", F.concat("target", between, "source")))
-    return near.where(hit).select(key, "source", "target")
+    names = lambda p: F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(0)))
+    found = docs.where("text is not null").select(key, "text", F.array_distinct(F.concat(*[names(p) for p in (patterns or ENTITY_PATTERNS).values()])).alias("es")).where(F.size("es") > 1)
+    lines = found.withColumn("_lines", F.filter(F.split("text", "[\n\r\u0085\u2028\u2029]", -1), lambda x: F.length(x) > 0)).drop("text")
+
+    def near(a: Column, b: Column) -> Column:
+        """Whether, on a line, some b begins within `gap` characters behind the end of some a."""
+        parts = lambda line: F.slice(F.split(line, F.concat(F.lit("\\Q"), a, F.lit("\\E")), -1), 2, 1 << 30)
+        tails = lambda ps: F.transform(ps, lambda p, i: F.substring(F.call_function("array_join", F.slice(ps, i + 1, 1 << 30), a), F.lit(1), F.length(b) + gap))
+        return F.exists("_lines", lambda line: F.contains(line, a) & F.contains(line, b) & F.exists(F.transform(F.array(parts(line)), lambda ps: F.exists(tails(ps), lambda t: F.contains(t, b))), lambda x: x))
+
+    pairs = F.flatten(F.transform("es", lambda a, i: F.transform(F.slice("es", i + 2, F.size("es")), lambda b: F.struct(a.alias("source"), b.alias("target")))))
+    return lines.withColumn("_p", F.filter(pairs, lambda p: near(p["source"], p["target"]) | near(p["target"], p["source"]))).select(key, F.inline("_p"))
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -51,18 +60,45 @@ def neighbours(edges: DataFrame, name: str) -> DataFrame:
 def shortest_paths(edges: DataFrame, start: str, max_depth: int = 3) -> DataFrame:
     """name, hops, path of every vertex within max_depth edges of start; of equally short paths the least by name.
 
-    A frontier join for each hop; the frontier keeps one path per vertex, so it never outgrows the vertices.
+    A frontier join for each hop; the frontier keeps one path per vertex, so it never outgrows the vertices. Links and
+    frontiers are stored, so a hop's plan does not contain the earlier ones.
     """
-    links = undirected(edges)
-    reached = links.sparkSession.range(1).select(F.lit(start).alias("name"), F.lit(0).alias("hops"), F.array(F.lit(start)).alias("path")).join(links.select(F.col("source").alias("name")).distinct(), "name", "left_semi")
+    links = stored(undirected(edges), "links")
+    reached = stored(links.where(F.col("source") == start).limit(1).select(F.lit(start).alias("name"), F.lit(0).alias("hops"), F.array(F.lit(start)).alias("path")), "hop-0")
     frontier = reached
     for hop in range(1, max_depth + 1):
-        step = frontier.join(links, frontier["name"] == links["source"]).select(F.col("target").alias("name"), F.lit(hop).alias("hops"), F.concat("path", F.array("target")).alias("path"))
-        frontier = step.groupBy("name").agg(F.first("hops").alias("hops"), F.min("path").alias("path")).join(reached.select("name"), "name", "left_anti")
+        step = frontier.join(links, frontier["name"] == links["source"]).select(F.col("target").alias("name"), F.concat("path", F.array("target")).alias("path"))
+        frontier = stored(step.groupBy("name").agg(F.lit(hop).alias("hops"), F.min("path").alias("path")).join(reached.select("name"), "name", "left_anti"), f"hop-{hop}")
         reached = reached.unionByName(frontier)
     return reached
 
 
+def path_details(edges: DataFrame, path: DataFrame) -> DataFrame:
+    """step, from, relation, to: the pairs of a path (an array column `path`, one row) with the relation of the edge in that direction, null where there is none.
+
+    edges: source, target, relation. Of several relations the least counts.
+    """
+    pairs = path.select(F.posexplode(F.transform(F.slice("path", F.lit(1), F.size("path") - 1), lambda x, i: F.struct(x.alias("source"), F.get("path", i + 1).alias("target")))).alias("step", "p")).select("step", "p.*")
+    named = edges.join(F.broadcast(pairs.select("source", "target")), ["source", "target"], "left_semi").groupBy("source", "target").agg(F.min("relation").alias("relation"))
+    return pairs.join(named, ["source", "target"], "left").select("step", F.col("source").alias("from"), "relation", F.col("target").alias("to"))
+
+
+def hop_steps(edges: DataFrame, start: str, end: str, related: int = 5, max_depth: int = 3) -> DataFrame:
+    """ordinal, text: the path between two entities, the relations along it, and up to `related` names around both, as lines of reasoning."""
+    path = stored(shortest_paths(edges, start, max_depth).where(F.col("name") == end).select("path"), "path")
+    whole = path.select(F.lit(0).alias("ordinal"), F.concat(F.lit("发现实体间路径: "), F.array_join("path", " → ")).alias("text"))
+    relations = path_details(edges, path).where("relation is not null").select((F.col("step") + 1).alias("ordinal"), F.format_string("关系: %s --[%s]--> %s", "from", "relation", "to").alias("text"))
+    around = undirected(edges).where(F.col("source").isin(start, end) & ~F.col("target").isin(start, end)).select("target").distinct().orderBy("target").limit(related)
+    names = around.agg(F.array_sort(F.collect_list("target")).alias("n")).where(F.size("n") > 0)
+    return whole.unionByName(relations).unionByName(names.select(F.lit(max_depth + 1).alias("ordinal"), F.concat(F.lit("相关实体: "), F.array_join("n", ", ")).alias("text")))
+
+
+def graph_counts(edges: DataFrame) -> DataFrame:
+    """entities, relations: what an export of the graph holds."""
+    ends = edges.select(F.col("source").alias("v")).unionByName(edges.select(F.col("target").alias("v")))
+    return ends.distinct().agg(F.count("*").alias("entities")).join(edges.agg(F.count("*").alias("relations")))
+
+
 def subgraph(edges: DataFrame, seeds: list[str]) -> DataFrame:
     """The edges between the seeds and their direct neighbours."""
     links = undirected(edges)

@@ -10,8 +10,8 @@ EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 
 def failing(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """check, failed, total: all row-wise checks of a table in one pass. A check counts rows where its expression holds; null does not."""
-    row = df.agg(F.count("*").alias("total"), *[F.count_if(c).alias(name) for name, c in checks.items()])
-    return row.unpivot("total", [F.col(f"`{c}`") for c in checks], "check", "failed").select("check", "failed", "total")
+    row = df.agg(F.count("*").alias("_total"), *[F.count_if(c).alias(name) for name, c in checks.items()])
+    return row.unpivot("_total", [F.col(f"`{c}`") for c in checks], "check", "failed").select("check", "failed", F.col("_total").alias("total"))
 
 
 def duplicates(df: DataFrame, column: str) -> DataFrame:

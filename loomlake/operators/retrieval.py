@@ -2,53 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import cosine, tokens
+from ..functions.text import cosine, occurrences, token_count, tokens
+from ..sources.stored import stored
 
 K1, B = 1.2, 0.75
 RRF_K, VECTOR_WEIGHT, BM25_WEIGHT = 60, 0.6, 0.4
 
 
 def term_frequencies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, term, tf."""
-    return docs.select(key, F.explode(tokens(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """key, term, tf; counted within the row: equal tokens stand side by side once sorted, so nothing is shuffled."""
+    ts = F.col("_t")
+    begins = F.filter(F.sequence(F.lit(0), F.size(ts) - 1), lambda i: (i == 0) | (F.get(ts, i) != F.get(ts, i - 1)))
+    runs = F.transform("_b", lambda b, k: F.struct(F.get(ts, b).alias("term"), (F.coalesce(F.get("_b", k + 1), F.size(ts)) - b).cast("long").alias("tf")))
+    found = docs.select(key, F.array_sort(tokens(F.col("text"))).alias("_t")).where(F.size("_t") > 0)
+    return found.withColumn("_b", begins).select(key, F.inline(runs))
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def _occurrences(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda x: x == F.lit(term)))
+def postings(docs: DataFrame, path: str, key: str = "doc_id", parts: int = 64) -> None:
+    """Writes an index for many queries: term, tf and dl of each document under `part`, the hash of the term, and n and avgdl beside them.
+
+    Texts are tokenised once; a query then reads the partitions of its terms only.
+    """
+    counted = term_frequencies(docs, key).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
+    length = docs.select(key, token_count(F.col("text")).alias("dl"))
+    counted.join(length, key).write.mode("overwrite").partitionBy("part").parquet(f"{path}/terms")
+    length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(parts).alias("parts")).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def _score(tf: Column, df: Column, n: Column, dl: Column, avgdl: Column) -> Column:
+    return F.log((n - df + 0.5) / (df + 0.5) + 1) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def bm25_indexed(spark: SparkSession, path: str, query: list[str], key: str = "doc_id") -> DataFrame:
+    """key and score of the rows above 0, from an index that `postings` wrote."""
+    totals = spark.read.parquet(f"{path}/totals")
+    parts = totals.first()["parts"]
+    times = {t: query.count(t) for t in query}
+    weights = spark.createDataFrame([(t, float(n)) for t, n in times.items()], "term string, _times double")
+    named = weights.select(F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("p")).collect()
+    hits = spark.read.parquet(f"{path}/terms").where(F.col("part").isin([r.p for r in named]) & F.col("term").isin(list(times)))
+    frequencies = hits.groupBy("term").agg(F.count("*").alias("df"))
+    scored = hits.join(frequencies, "term").join(weights, "term").join(totals.select("n", "avgdl"))
+    return scored.groupBy(key).agg(F.sum(F.col("_times") * _score(F.col("tf"), F.col("df"), F.col("n"), F.col("dl"), F.col("avgdl"))).alias("score")).where("score > 0")
 
 
 def bm25(docs: DataFrame, query: list[str], where=None, key: str = "doc_id") -> DataFrame:
     """key and score of the rows above 0.
 
     Corpus statistics are those of all rows, also where `where` narrows the result. A term that the query repeats counts as
-    often. One column per distinct term, so nothing is exploded or shuffled; the statistics are one row.
+    often. Texts are read once: their lengths and the counts of the query's terms are stored, a number for each distinct
+    term, and both the statistics (one row) and the scores come from there.
     """
     if not query:
         return docs.select(key, F.lit(0.0).alias("score")).where("false")
-    counted = docs.withColumn("_t", tokens(F.col("text"))).withColumn("_dl", F.size("_t"))
     terms = list(dict.fromkeys(query))
-    for i, term in enumerate(terms):
-        counted = counted.withColumn(f"_tf{i}", _occurrences("_t", term))
-    counted = counted.drop("_t")
-    stats = counted.agg(F.count("*").alias("n"), F.avg("_dl").alias("avgdl"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
-    if not stats["n"] or not stats["avgdl"]:
-        return docs.select(key, F.lit(0.0).alias("score")).where("false")
+    text = F.col("text")
+    counts = [occurrences(text, t).alias(f"_tf{i}") for i, t in enumerate(terms)]
+    counted = stored(docs.select(key, (F.lit(True) if where is None else where).alias("_in"), token_count(text).alias("_dl"), *counts), "bm25")
+    stats = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i, term in enumerate(terms):
-        df, tf = stats[f"df{i}"], F.col(f"_tf{i}")
-        if df:
-            idf = F.log(F.lit((stats["n"] - df + 0.5) / (df + 0.5) + 1))
-            score = score + query.count(term) * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_dl") / stats["avgdl"]))
-    rows = counted if where is None else counted.where(where)
-    return rows.select(key, score.alias("score")).where("score > 0")
+        tf = F.col(f"_tf{i}")
+        score = score + F.when(tf > 0, query.count(term) * _score(tf, F.col(f"_df{i}"), F.col("_n"), F.col("_dl"), F.col("_avg"))).otherwise(F.lit(0.0))
+    hit = F.greatest(*[F.col(f"_tf{i}") for i in range(len(terms))]) if len(terms) > 1 else F.col("_tf0")
+    return counted.where(F.col("_in") & (hit > 0)).join(F.broadcast(stats)).select(key, score.alias("score")).where("score > 0")
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, threshold: float = 0.0, key: str = "vec_id") -> DataFrame:
@@ -71,3 +96,28 @@ def min_max(df: DataFrame, column: str) -> DataFrame:
     ends = df.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
     scaled = F.when(F.col("_hi") == F.col("_lo"), F.lit(1.0)).otherwise((F.col(column) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
     return df.join(F.broadcast(ends)).withColumn("normalised", scaled).drop("_lo", "_hi")
+
+
+def hybrid(vector: DataFrame, lexical: DataFrame, k: int, use_vector: bool = True, use_bm25: bool = True, key: str = "id") -> DataFrame:
+    """key, score: fused where both sides are used; else the rows of the one side, and none where both are switched off."""
+    if use_vector and use_bm25:
+        return fuse(vector, lexical, k, key).select(key, "score")
+    side = vector.withColumnRenamed("similarity", "score") if use_vector else lexical if use_bm25 else lexical.where("false")
+    return side.select(key, "score").orderBy(F.desc("score"), key).limit(k)
+
+
+def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, block: int = 64, key: str = "vec_id") -> DataFrame:
+    """query, key, similarity: the k most similar rows to each of a stated set of queries (key, embedding), the query itself left out.
+
+    Queries go through in blocks of `block` vectors that are put together as one row and broadcast, so a block's size is
+    bounded. Within each partition only a query's best k rows are kept before anything is shuffled.
+    """
+    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y * y)))
+    doubles = F.transform("embedding", lambda x: x.cast("double"))
+    named = queries.where("embedding is not null").select(F.col(key).alias("query"), unit(doubles).alias("q"))
+    blocks = named.withColumn("_block", F.floor((F.row_number().over(Window.orderBy("query")) - 1) / block)).groupBy("_block").agg(F.collect_list(F.struct("query", "q")).alias("qs"))
+    rows = vectors.where("embedding is not null").select(key, unit(doubles).alias("v"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    pairs = rows.join(F.broadcast(blocks)).select(key, F.inline(F.transform("qs", lambda q: F.struct(q["query"].alias("query"), dot(F.col("v"), q["q"]).alias("similarity")))))
+    best = pairs.where(F.col("query") != F.col(key)).withColumn("_k", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), key)))
+    return best.where(F.col("_k") <= k).select("query", key, "similarity")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..operators import events as E
 from ..operators import metrics as M
 from ..operators import quality, tiering
+from ..operators import reports as R
 from ..sources.tables import table
 from .named import collector
 
@@ -217,12 +218,12 @@ def _sliding_sql(cmp):
 
 @query(_sliding_sql(">"))
 def sliding_fold_gateway(spark, d):
-    return E.ordered_fold(_requests(spark, d), "user_id", "micros", "event_id", E.sliding_window(3, DAY, False), [], "allowed", "boolean").select("event_id", "allowed")
+    return E.ordered_fold(_requests(spark, d), "user_id", "micros", "event_id", E.sliding_window(3, DAY, False), [], "allowed", "boolean", gap=DAY).select("event_id", "allowed")
 
 
 @query(_sliding_sql(">="))
 def sliding_fold_middleware(spark, d):
-    return E.ordered_fold(_requests(spark, d), "user_id", "micros", "event_id", E.sliding_window(3, DAY, True), [], "allowed", "boolean").select("event_id", "allowed")
+    return E.ordered_fold(_requests(spark, d), "user_id", "micros", "event_id", E.sliding_window(3, DAY, True), [], "allowed", "boolean", gap=DAY).select("event_id", "allowed")
 
 
 def _bucket_sql(capacity, per_day):
@@ -232,12 +233,12 @@ def _bucket_sql(capacity, per_day):
 
 @query(_bucket_sql(6, 3))
 def token_bucket_gateway(spark, d):
-    return E.ordered_fold(_requests(spark, d), "user_id", "micros", "event_id", E.token_bucket(6.0, 3.0 / DAY), [], "allowed", "boolean").select("event_id", "allowed")
+    return E.ordered_fold(_requests(spark, d), "user_id", "micros", "event_id", E.token_bucket(6.0, 3.0 / DAY), [], "allowed", "boolean", gap=2 * DAY).select("event_id", "allowed")
 
 
 @query(_bucket_sql(3, 3))
 def token_bucket(spark, d):
-    return E.ordered_fold(_requests(spark, d), "user_id", "micros", "event_id", E.token_bucket(3.0, 3.0 / DAY), [], "allowed", "boolean").select("event_id", "allowed")
+    return E.ordered_fold(_requests(spark, d), "user_id", "micros", "event_id", E.token_bucket(3.0, 3.0 / DAY), [], "allowed", "boolean", gap=DAY).select("event_id", "allowed")
 
 
 @query(
@@ -249,7 +250,7 @@ def token_bucket(spark, d):
     )
 )
 def fixed_window(spark, d):
-    return E.ordered_fold(_requests(spark, d), "user_id", "micros", "event_id", E.fixed_window(2, DAY), [], "allowed", "boolean").select("event_id", "allowed")
+    return E.ordered_fold(_requests(spark, d), "user_id", "micros", "event_id", E.fixed_window(2, DAY), [], "allowed", "boolean", gap=DAY).select("event_id", "allowed")
 
 
 _WAIT = f"{6 * 3600 * E.MICROS}"
@@ -354,7 +355,14 @@ def order_summary(spark, d):
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
 
 
-@query("SELECT md5(string_agg(column_name || ':' || n, ',' ORDER BY column_name)) AS checksum FROM (SELECT 'customer' AS column_name, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders)")
+@query("SELECT 'customer' AS table_name, count(*) AS rows FROM customer UNION ALL SELECT 'orders', count(*) FROM orders")
 def table_checksum(spark, d):
-    counts = [table(spark, d, t).agg(F.concat(F.lit(f"{t}:"), F.count("*").cast("string")).alias("x")) for t in ("customer", "orders")]
-    return counts[0].unionByName(counts[1]).agg(F.md5(F.array_join(F.array_sort(F.collect_list("x")), ",")).alias("checksum"))
+    """Rows of each table; table_contents adds the checksum of schema and contents."""
+    counts = [table(spark, d, t).agg(F.lit(t).alias("table_name"), F.count("*").alias("rows")) for t in ("customer", "orders")]
+    return counts[0].unionByName(counts[1])
+
+
+@query()
+def table_contents(spark, d):
+    sums = [R.content_checksum(table(spark, d, t)).withColumn("table_name", F.lit(t)) for t in ("customer", "orders")]
+    return sums[0].unionByName(sums[1])

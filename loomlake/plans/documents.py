@@ -105,7 +105,7 @@ def hash_embedding(spark, d):
     return e.select("doc_id", *[F.round(F.col("e")[i], 6).alias(f"d{i}") for i in (0, 1, 31)])
 
 
-def _query_vector(vectors) -> list[float]:
+def query_vector(vectors) -> list[float]:
     return [float(x) for x in vectors.where("vec_id = 0").select("embedding").first()[0]]
 
 
@@ -118,19 +118,19 @@ SELECT vec_id, round(similarity, 6) AS similarity FROM s WHERE {after}"""
 @query(vector_sql())
 def vector_topk(spark, d):
     v = table(spark, d, "embeddings")
-    return retrieval.nearest(v, _query_vector(v), 10, -1.0).withColumn("similarity", F.round("similarity", 6))
+    return retrieval.nearest(v, query_vector(v), 10, -1.0).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(vector_sql("label = 3"))
 def vector_topk_label(spark, d):
     v = table(spark, d, "embeddings")
-    return retrieval.nearest(v.where("label = 3"), _query_vector(v), 10, -1.0).withColumn("similarity", F.round("similarity", 6))
+    return retrieval.nearest(v.where("label = 3"), query_vector(v), 10, -1.0).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(vector_sql(k=400, after="similarity >= 0.0"))
 def vector_threshold_after_limit(spark, d):
     v = table(spark, d, "embeddings")
-    return retrieval.nearest(v, _query_vector(v), 400, 0.0).withColumn("similarity", F.round("similarity", 6))
+    return retrieval.nearest(v, query_vector(v), 400, 0.0).withColumn("similarity", F.round("similarity", 6))
 
 
 RRF_SQL = f"""WITH v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY similarity DESC, vec_id) - 1 AS rv FROM ({vector_sql(k=20).replace('round(similarity, 6) AS similarity', 'similarity')})),
@@ -142,7 +142,7 @@ SELECT coalesce(v.id, b.id) AS id, round(coalesce(0.6 / (60 + rv), 0) + coalesce
 def rrf_hybrid(spark, d):
     """Vectors and documents share the id space here; each side gives twice as many rows as the result has."""
     v = table(spark, d, "embeddings")
-    near = retrieval.nearest(v, _query_vector(v), 20, -1.0).withColumnRenamed("vec_id", "id")
+    near = retrieval.nearest(v, query_vector(v), 20, -1.0).withColumnRenamed("vec_id", "id")
     lexical = retrieval.bm25(table(spark, d, "documents").select("doc_id", "text"), BM25_QUERY).orderBy(F.desc("score"), "doc_id").limit(20).withColumnRenamed("doc_id", "id")
     return retrieval.fuse(near, lexical, 10).select("id", F.round("score", 9).alias("score"))
 
@@ -245,61 +245,53 @@ def entity_counts(spark, d):
     return graph.entities(table(spark, d, "documents"), LATIN).groupBy("name", "type").agg(F.count("*").alias("docs"))
 
 
-def _edges(spark, d):
-    docs = table(spark, d, "documents")
-    return graph.cooccurrences(docs, graph.entities(docs, LATIN))
-
-
 @query(PAIR_SQL)
 def cooccur_edges(spark, d):
-    return _edges(spark, d).select("doc_id", F.least("source", "target").alias("x"), F.greatest("source", "target").alias("y"))
+    return graph.cooccurrences(table(spark, d, "documents"), LATIN).select("doc_id", F.least("source", "target").alias("x"), F.greatest("source", "target").alias("y"))
 
 
-FLOW = "(SELECT DISTINCT l_suppkey % 97 AS a, l_partkey % 89 + 100 AS b FROM lineitem WHERE l_quantity >= 49)"
+_LINKS = f"WITH RECURSIVE p AS (SELECT DISTINCT x, y FROM ({PAIR_SQL})), u AS (SELECT x AS s, y AS t FROM p UNION SELECT y, x FROM p)"
 
 
-def _flow(spark, d):
-    rows = table(spark, d, "lineitem").where("l_quantity >= 49")
-    return rows.select((F.col("l_suppkey") % 97).cast("string").alias("source"), (F.col("l_partkey") % 89 + 100).cast("string").alias("target")).distinct()
+def _edges(spark, d):
+    return graph.cooccurrences(table(spark, d, "documents"), LATIN)
 
 
-@query(f"WITH e AS {FLOW} SELECT DISTINCT CAST(b AS VARCHAR) AS name FROM e WHERE a = 5 UNION SELECT DISTINCT CAST(a AS VARCHAR) FROM e WHERE b = 5")
+@query(f"{_LINKS} SELECT DISTINCT t AS name FROM u WHERE s = 'hation'")
 def graph_neighbors(spark, d):
-    return graph.neighbours(_flow(spark, d), "5")
+    return graph.neighbours(_edges(spark, d), "hation")
 
 
-@query(
-    f"""WITH RECURSIVE e AS {FLOW}, u AS (SELECT a AS s, b AS t FROM e UNION SELECT b, a FROM e), w AS (SELECT 5 AS v, 0 AS hops UNION SELECT t, hops + 1 FROM w JOIN u ON s = v WHERE hops < 3)
-SELECT CAST(v AS VARCHAR) AS name, min(hops) AS hops FROM w GROUP BY v"""
-)
+@query(f"{_LINKS}, w AS (SELECT DISTINCT s AS v, 0 AS hops FROM u WHERE s = 'hation' UNION SELECT t, hops + 1 FROM w JOIN u ON s = v WHERE hops < 3) SELECT v AS name, min(hops) AS hops FROM w GROUP BY v")
 def graph_path(spark, d):
-    return graph.shortest_paths(_flow(spark, d), "5", 3).select("name", "hops")
+    return graph.shortest_paths(_edges(spark, d), "hation", 3).select("name", "hops")
 
 
-@query(
-    f"""WITH e AS {FLOW}, near AS (SELECT b AS v FROM e WHERE a IN (5, 6) UNION SELECT a FROM e WHERE a IN (5, 6))
-SELECT CAST(a AS VARCHAR) AS source, CAST(b AS VARCHAR) AS target FROM e WHERE a IN (SELECT v FROM near) AND b IN (SELECT v FROM near)"""
-)
+@query(f"{_LINKS}, n AS (SELECT t AS v FROM u WHERE s IN ('hation', 'chkeit') UNION SELECT s FROM u WHERE s IN ('hation', 'chkeit')) SELECT x, y FROM p WHERE x IN (SELECT v FROM n) AND y IN (SELECT v FROM n)")
 def graph_subgraph(spark, d):
-    return graph.subgraph(_flow(spark, d), ["5", "6"])
+    edges = _edges(spark, d).select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"))
+    return graph.subgraph(edges, ["hation", "chkeit"]).select(F.col("source").alias("x"), F.col("target").alias("y"))
 
 
 def _supplies(spark, d):
-    """An edge for each supplier and part that any row of lineitem has; the three queries above keep the few rows and folded keys of their SQL."""
+    """An edge for each supplier and part that any row of lineitem has."""
     return table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target")).distinct()
 
 
-@query()
+@query("SELECT DISTINCT 'p' || l_partkey AS name FROM lineitem WHERE l_suppkey = 5")
 def graph_neighbors_whole(spark, d):
     return graph.neighbours(_supplies(spark, d), "s5")
 
 
-@query()
+@query(
+    """WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), p1 AS (SELECT p FROM e WHERE s = 5), s2 AS (SELECT DISTINCT s FROM e WHERE p IN (SELECT p FROM p1) AND s <> 5)
+SELECT DISTINCT 's5' AS name, 0 AS hops FROM p1 UNION ALL SELECT 'p' || p, 1 FROM p1 UNION ALL SELECT 's' || s, 2 FROM s2 UNION ALL SELECT DISTINCT 'p' || p, 3 FROM e WHERE s IN (SELECT s FROM s2) AND p NOT IN (SELECT p FROM p1)"""
+)
 def graph_path_whole(spark, d):
     return graph.shortest_paths(_supplies(spark, d), "s5", 3).select("name", "hops")
 
 
-@query()
+@query("SELECT DISTINCT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem WHERE l_suppkey IN (5, 6)")
 def graph_subgraph_whole(spark, d):
     return graph.subgraph(_supplies(spark, d), ["s5", "s6"])
 
@@ -337,31 +329,44 @@ def redact_words(spark, d):
     return table(spark, d, "documents").select("doc_id", T.redact(F.col("text")).alias("message"))
 
 
-MASK_SQL = "text"
-for _p, _r in T.MASKS[:-1]:
-    MASK_SQL = f"regexp_replace({MASK_SQL}, '{_p}', '{_r.replace('$', chr(92))}', 'g')"
+def _masked_sql(text, masks):
+    for pattern, new in masks:
+        text = "regexp_replace({}, '{}', '{}', 'g')".format(text, pattern.replace("'", "''"), new.replace("$", chr(92)))
+    return text
+
+
+def _each_match_sql(column, pattern, masked):
+    """column with each match m of the pattern replaced by `masked`, in DuckDB."""
+    parts = f"list_zip(string_split_regex({column}, '{pattern}'), regexp_extract_all({column}, '{pattern}'))"
+    return f"array_to_string(list_transform({parts}, lambda z: z[1] || coalesce(list_transform([z[2]], lambda m: {masked})[1], '')), '')"
+
+
+_LOCAL = "split_part(m, '@', 1)"
+_MAIL = f"CASE WHEN length({_LOCAL}) <= 2 THEN repeat('*', length({_LOCAL})) ELSE {_LOCAL}[1] || repeat('*', length({_LOCAL}) - 2) || {_LOCAL}[-1] END || '@' || split_part(m, '@', -1)"
+_CARD = r"repeat('*', length(regexp_replace(m, '[\s-]', '', 'g')) - 4) || right(regexp_replace(m, '[\s-]', '', 'g'), 4)"
+SENSITIVE_SQL = f"SELECT doc_id, {_masked_sql('text', T.MASKS)} AS t FROM documents"
+for _p, _m in [(T.EMAIL, _MAIL), *[(c, _CARD) for c in T.CARDS]]:
+    SENSITIVE_SQL = f"SELECT doc_id, {_each_match_sql('t', _p, _m)} AS t FROM ({SENSITIVE_SQL})"
 
 
-@query(f"SELECT doc_id, {MASK_SQL} AS masked FROM documents")
+@query(f"SELECT doc_id, {_masked_sql('text', T.MASKS)} AS masked FROM documents")
 def mask_backref(spark, d):
-    masked = F.col("text")
-    for pattern, new in T.MASKS[:-1]:
-        masked = F.regexp_replace(masked, pattern, new)
-    return table(spark, d, "documents").select("doc_id", masked.alias("masked"))
+    return table(spark, d, "documents").select("doc_id", T.replaced(F.col("text"), T.MASKS).alias("masked"))
 
 
-@query()
+@query(f"SELECT doc_id, {_masked_sql('t', T.PASSWORDS)} AS masked FROM ({SENSITIVE_SQL})")
 def mask_sensitive(spark, d):
     return table(spark, d, "documents").select("doc_id", T.mask_sensitive(F.col("text")).alias("masked"))
 
 
 @query(
-    f"""WITH t AS (SELECT doc_id, {TITLE} AS title FROM documents), i AS (SELECT title, doc_id FROM t WHERE doc_id % 2 = 0), e AS (SELECT title FROM t WHERE doc_id % 2 = 1)
-SELECT DISTINCT title FROM i WHERE title NOT IN (SELECT title FROM e WHERE title IS NOT NULL)"""
+    """WITH t AS (SELECT split_part(text, chr(10), 1) AS title FROM documents), e AS (SELECT DISTINCT split_part(text, chr(10), 1) AS title FROM benchmark WHERE text IS NOT NULL)
+SELECT DISTINCT title FROM t WHERE title IS NOT NULL AND title NOT IN (SELECT title FROM e)"""
 )
 def import_dedup_title(spark, d):
-    t = table(spark, d, "documents").select("doc_id", T.title_of(F.col("text")).alias("title"))
-    return new_titles(t.where("doc_id % 2 = 0"), t.where("doc_id % 2 = 1")).select("title")
+    """All documents come in; the titles there are those of the benchmark."""
+    title = T.title_of(F.col("text")).alias("title")
+    return new_titles(table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", title), table(spark, d, "benchmark").select(title)).select("title")
 
 
 @query("SELECT page_id, CASE WHEN contains(lower(url), '气功') OR contains(lower(url), 'qigong') THEN '气功' WHEN contains(lower(url), 'tcm') OR contains(lower(url), '中医') THEN '中医' WHEN contains(lower(url), '儒家') OR contains(lower(url), 'confucian') THEN '儒家' ELSE '气功' END AS category FROM pages")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, documents, requests
+from . import analytics, answers, documents, reports, requests
 
-QUERIES: dict = {**documents.QUERIES, **analytics.QUERIES, **requests.QUERIES}
-ORACLES: dict[str, str] = {**documents.ORACLES, **analytics.ORACLES, **requests.ORACLES}
+QUERIES: dict = {**documents.QUERIES, **analytics.QUERIES, **requests.QUERIES, **answers.QUERIES, **reports.QUERIES}
+ORACLES: dict[str, str] = {**documents.ORACLES, **analytics.ORACLES, **requests.ORACLES, **answers.ORACLES, **reports.ORACLES}

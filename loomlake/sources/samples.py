@@ -35,3 +35,28 @@ def sample_chunks(docs: DataFrame, least: int = 500, most: int = 2000, key: str
     starts = F.when(F.length("text") > 0, F.sequence(F.lit(0), F.length("text") - 1, step))
     placed = docs.select(key, "text", size.alias("_size"), F.posexplode(starts).alias("chunk_index", "position"))
     return placed.select(key, "chunk_index", "position", F.substring("text", F.col("position") + 1, F.col("_size")).alias("content"))
+
+
+def sample_documents(spark: SparkSession, n: int = 1000, users: int = 100, extensions: tuple = ("txt", "md", "pdf")) -> DataFrame:
+    k = F.col("id")
+    kind = F.element_at(F.array(*map(F.lit, extensions)), (k % len(extensions) + 1).cast("int"))
+    title = F.concat(F.lit("doc_"), k.cast("string"))
+    return spark.range(1, n + 1).select(
+        title.alias("title"),
+        kind.alias("extension"),
+        (k % users + 1).alias("uploader_id"),
+        (k * 1024 % 52428800).alias("file_size"),
+        F.concat(F.lit("uploads/"), title, F.lit("."), kind).alias("file_path"),
+    )
+
+
+def sample_annotations(spark: SparkSession, n: int = 1000, documents: int = 100, users: int = 100, kinds: tuple = ("highlight", "comment", "tag")) -> DataFrame:
+    k = F.col("id")
+    return spark.range(1, n + 1).select(
+        "id",
+        (k % documents + 1).alias("document_id"),
+        (k % users + 1).alias("user_id"),
+        F.element_at(F.array(*map(F.lit, kinds)), (k % len(kinds) + 1).cast("int")).alias("annotation_type"),
+        (k * 10).alias("start_offset"),
+        (k * 10 + 20).alias("end_offset"),
+    )

@@ -23,19 +23,36 @@ def read_json_section(spark: SparkSession, path: str, section: str) -> DataFrame
     return raw.select(F.explode(section).alias("row")).select("row.*") if section in raw.columns else spark.createDataFrame([], "value string").limit(0)
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header; every column is a string."""
+def read_json_folder(spark: SparkSession, folder: str, pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """(rows, bad): title, content, category, tags, source_file of every readable file that matches, and the path and error of the others.
+
+    A file is a list of objects or one object. Nothing vanishes: what can't be parsed is in the log of bad files.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", F.col("content").cast("string").alias("text"))
+    row = "struct<title:string,content:string,category:string,tags:array<string>>"
+    listed = F.when(F.startswith(F.ltrim("text"), F.lit("[")), F.col("text")).otherwise(F.concat(F.lit("["), "text", F.lit("]")))
+    parsed = files.withColumn("rows", F.from_json(listed, f"array<{row}>", {"mode": "PERMISSIVE"}))
+    bad = parsed.where("rows is null or exists(rows, r -> r is null) or (size(rows) > 0 and forall(rows, r -> r.title is null and r.content is null))").select("path", F.lit("not a JSON document").alias("error"))
+    rows = parsed.join(bad.select("path"), "path", "left_anti").select(F.col("path").alias("source_file"), F.inline("rows"))
+    return rows, bad
+
+
+def read_csv(spark: SparkSession, path: str, data_type: str = "users") -> DataFrame:
+    """CSV with a header; every column is a string. Only users and search_history come as CSV."""
+    if data_type not in ("users", "search_history"):
+        raise ValueError(f"no CSV import of {data_type}")
     return spark.read.option("header", True).option("inferSchema", False).csv(path)
 
 
-def list_files(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
-    """path, length and modification time of the files, without reading them."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(folder).select("path", "length", "modificationTime")
+def list_files(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True, most: int | None = None) -> DataFrame:
+    """path, length and modification time of the files, without reading them; the first `most` by path where it is given."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(folder).select("path", "length", "modificationTime")
+    return found if most is None else found.orderBy("path").limit(most)
 
 
 def file_hashes(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
-    return files.select("path", "length", F.md5("content").alias("md5"), F.sha1("content").alias("sha1"), F.sha2("content", 256).alias("sha256"))
+    return files.select("path", "length", "modificationTime", F.md5("content").alias("md5"), F.sha1("content").alias("sha1"), F.sha2("content", 256).alias("sha256"), F.sha2("content", 512).alias("sha512"))
 
 
 def import_fields(row: DataFrame, category: Column) -> DataFrame:

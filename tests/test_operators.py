@@ -57,7 +57,7 @@ def test_entities_and_pairs(spark):
     docs = spark.createDataFrame([(1, "八段锦与站桩可调气血，\n养心益肾。")], "doc_id long, text string")
     found = graph.entities(docs)
     assert [(r.name, r.type) for r in found.orderBy("ordinal").collect()] == [("八段锦", "功法"), ("气", "概念"), ("站桩", "动作"), ("心", "脏腑"), ("肾", "脏腑")]
-    pairs = {(r.source, r.target) for r in graph.cooccurrences(docs, found).collect()}
+    pairs = {(r.source, r.target) for r in graph.cooccurrences(docs).collect()}
     assert pairs == {("八段锦", "气"), ("八段锦", "站桩"), ("气", "站桩"), ("心", "肾")}
 
 
