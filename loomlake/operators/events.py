@@ -163,9 +163,30 @@ def circuit_breaker(failures: int = 5, timeout: int = 60, successes: int = 2) ->
 
 
 def trailing_count(df: DataFrame, keys: list[str], seconds: int, name: str, time: str = "micros") -> DataFrame:
-    """df with the number of its rows of the key in the `seconds` up to each row, the lower end left out."""
-    w = Window.partitionBy(*keys).orderBy(time).rangeBetween(-seconds * MICROS + 1, 0)
-    return df.withColumn(name, F.count("*").over(w))
+    """df with the number of its rows of the key in the `seconds` up to each row, the lower end left out.
+
+    Rows are dealt by key and by stretch of `seconds`; a stretch also gets the times of the one before it, which is as far
+    as a window reaches. So a key with most of the rows is spread over as many tasks as there are stretches.
+    """
+    stretch = F.floor(F.col(time) / (seconds * MICROS))
+    own = df.withColumn("_stretch", stretch).withColumn("_own", F.lit(True))
+    before = df.select(*keys, time, (stretch + 1).alias("_stretch"), F.lit(False).alias("_own"))
+    w = Window.partitionBy(*keys, "_stretch").orderBy(time).rangeBetween(-seconds * MICROS + 1, 0)
+    return own.unionByName(before, allowMissingColumns=True).withColumn(name, F.count("*").over(w)).where("_own").drop("_own", "_stretch")
+
+
+def previous(df: DataFrame, key: str, order: list[str], value: str, name: str, stretch: Column) -> DataFrame:
+    """df with the value of the key's row before, in the given order; null for the first.
+
+    stretch: a number that never falls in that order. Rows are dealt by key and stretch; the first row of a stretch takes
+    the last one of the key's stretch before, of which there is one row each.
+    """
+    dealt = df.withColumn("_stretch", stretch)
+    last = dealt.groupBy(key, "_stretch").agg(F.max(F.struct(*order, F.col(value).alias("_v")))["_v"].alias("_v"))
+    carried = last.withColumn("_carried", F.lag("_v").over(Window.partitionBy(key).orderBy("_stretch"))).select(F.col(key).alias("_k"), F.col("_stretch").alias("_s"), "_carried")
+    inside = dealt.withColumn("_inside", F.lag(value).over(Window.partitionBy(key, "_stretch").orderBy(*order)))
+    joined = inside.join(carried, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_stretch") == F.col("_s")), "left")
+    return joined.withColumn(name, F.coalesce("_inside", "_carried")).drop("_inside", "_carried", "_stretch", "_k", "_s")
 
 
 def threshold_alerts(df: DataFrame, keys: list[str], seconds: int, least: int, time: str = "micros") -> DataFrame:

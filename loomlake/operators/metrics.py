@@ -12,14 +12,11 @@ LATENCY_BOUNDS = (0.5, 1.0, 2.5, 5.0, 10.0)
 def floor_percentiles(df: DataFrame, keys: list[str], value: str, percents: dict[str, float], offset: int = 1) -> DataFrame:
     """keys, n and one column per name: the value at index floor((n - offset) * p) of the key's sorted values.
 
-    Equal values of a key are counted before the shuffle, so a hot key costs its distinct values; without keys the counts
-    meet in Spark's own percentile aggregate, asked for the share of rows that the index stands for.
+    Equal values of a key are counted before the shuffle, so a hot key costs its distinct values; without keys all are of one.
     """
     df = df.where(F.col(value).isNotNull())
     if not keys:
-        n = df.count()
-        at = lambda p: (min(max(int((n - offset) * p), 0), n - 1) + 0.5) / n if n else 0.5
-        return df.agg(F.count("*").alias("n"), *[F.expr(f"percentile_disc({at(p)!r}D) within group (order by {value})").alias(name) for name, p in percents.items()])
+        return floor_percentiles(df.withColumn("_all", F.lit(1)), ["_all"], value, percents, offset).drop("_all")
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
     within = Window.partitionBy(*keys).orderBy(value)
     ranked = counts.withColumn("_upto", F.sum("_c").over(within)).withColumn("n", F.sum("_c").over(Window.partitionBy(*keys)))

@@ -43,5 +43,6 @@ def retention(backups: DataFrame, created: str, now, keep: dict[str, int] | None
     keep = keep or {"daily": 7, "weekly": 4, "monthly": 12, "yearly": 3}
     age = F.floor((F.unix_timestamp(now) - F.unix_timestamp(created)) / 86400)
     name = F.when(age > 365, "yearly").when(age > 30, "monthly").when(age > 7, "weekly").when(age > 1, "daily")
-    total = F.lit(backups.count())
-    return backups.withColumn("age_class", name).withColumn("expired", F.coalesce(total > lookup(F.col("age_class"), keep), F.lit(False)))
+    total = backups.agg(F.count("*").alias("_total"))
+    aged = backups.withColumn("age_class", name).join(total)
+    return aged.withColumn("expired", F.coalesce(F.col("_total") > lookup(F.col("age_class"), keep), F.lit(False))).drop("_total")

@@ -307,7 +307,8 @@ def security_stats(spark, d):
 
 @query("SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS parent FROM events")
 def span_parent(spark, d):
-    return table(spark, d, "events").select("event_id", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("parent"))
+    days = F.unix_date(F.col("ts").cast("date"))
+    return E.previous(table(spark, d, "events").select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"], "event_id", "parent", days).select("event_id", "parent")
 
 
 @query("SELECT event_type, round(avg(value), 6) AS mean, count(*) FILTER (value > 200) AS slow FROM events GROUP BY event_type")

@@ -351,7 +351,7 @@ for _p, _m in [(T.EMAIL, _MAIL), *[(c, _CARD) for c in T.CARDS]]:
 
 @query(f"SELECT doc_id, {_masked_sql('text', T.MASKS)} AS masked FROM documents")
 def mask_backref(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.replaced(F.col("text"), T.MASKS).alias("masked"))
+    return table(spark, d, "documents").select("doc_id", T.mask_contents(F.col("text")).alias("masked"))
 
 
 @query(f"SELECT doc_id, {_masked_sql('t', T.PASSWORDS)} AS masked FROM ({SENSITIVE_SQL})")

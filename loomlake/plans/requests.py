@@ -146,8 +146,8 @@ SELECT CASE WHEN age > 365 THEN 'yearly' WHEN age > 30 THEN 'monthly' WHEN age >
 )
 def backup_retention(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
-    now = F.lit(orders.agg(F.max("o_orderdate").alias("t")).first().t)
-    return tiering.retention(orders, "o_orderdate", now).groupBy("age_class", "expired").agg(F.count("*").alias("n"))
+    dated = orders.join(orders.agg(F.max("o_orderdate").alias("now")))
+    return tiering.retention(dated, "o_orderdate", F.col("now")).groupBy("age_class", "expired").agg(F.count("*").alias("n"))
 
 
 @query(
