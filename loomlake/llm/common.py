@@ -86,6 +86,13 @@ def without(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken])
 
 
+def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """docs with the columns of these names (in any case) under other names, and the columns that give docs back as it was."""
+    taken = {n.lower() for n in names}
+    new = [f"_own_{c}" if c.lower() in taken else c for c in docs.columns]
+    return docs.toDF(*new), [F.col(f"`{n}`").alias(c) for n, c in zip(new, docs.columns)]
+
+
 def secret() -> int:
     """A key for the hashes of one operator call; equal in all its tasks, and not known to who wrote the texts."""
     return secrets.randbits(63)

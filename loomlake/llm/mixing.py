@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, Scratch, keyed, let, table, with_ids, without, words
+from .common import WORD, Scratch, aside, keyed, let, table, with_ids, without, words
 
 CYCLE = (5, 2, 1)  # weights by the rank of the source
 MOST = 3  # a target is at most so many times its source's size
@@ -143,7 +143,7 @@ def permuted(x: Column, key: Column, of: Column, rounds: int = ROUNDS) -> Column
 
 
 def _drawn(rows: DataFrame, cycle, most: float, block_words: int, shards: int, seed: int, scratch: Scratch) -> DataFrame:
-    """rid, size, source_size, target, draws and taken of rows (rid, text, source)."""
+    """rid, source, size, source_size, target, draws and taken of rows (rid, text, source)."""
     thin = scratch.save(
         rows.select(
             "rid",
@@ -174,7 +174,7 @@ def _drawn(rows: DataFrame, cycle, most: float, block_words: int, shards: int, s
     placed = chunks.withColumn("_base", F.sum("_in_chunk").over(Window.partitionBy("_key").orderBy("_chunk")) - F.col("_in_chunk")).select("_key", "_chunk", "_base").join(plan, "_key")
     order = Window.partitionBy("_key", "_chunk").orderBy("_at", "rid")
     at = (
-        thin.select("rid", "size", "_key", "_chunk", "_at")
+        thin.select("rid", "source", "size", "_key", "_chunk", "_at")
         .withColumn("_within", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
         .join(placed, ["_key", "_chunk"])
         .withColumn("_from", F.col("_base") + F.col("_within"))
@@ -186,7 +186,7 @@ def _drawn(rows: DataFrame, cycle, most: float, block_words: int, shards: int, s
         """The shard whose range holds the draw; it is at most _off shards from where shards of equal ranges would have it."""
         near = F.floor(draw * shards / F.greatest(F.col("quota"), F.lit(1))).cast("int")
         some = F.slice("bounds", F.greatest(near - F.col("_off") + 1, F.lit(1)), 2 * F.col("_off") + 2)
-        return F.filter(some, lambda x: (x["first"] <= draw) & (draw < x["first"] + x["n"]))[0]["shard"]
+        return F.get(F.filter(some, lambda x: (x["first"] <= draw) & (draw < x["first"] + x["n"])), F.lit(0))["shard"]
 
     def piece(block: Column, passed: Column) -> Column:
         last = passed == F.col("_passes")
@@ -208,12 +208,12 @@ def _drawn(rows: DataFrame, cycle, most: float, block_words: int, shards: int, s
     return (
         at.withColumn("draws", F.coalesce(drawn, F.array().cast("array<struct<shard:int,key:bigint,pass:bigint,first_word:bigint,n_words:bigint>>")))
         .withColumn("taken", F.aggregate("draws", zero, lambda a, x: a + x["n_words"]))
-        .select("rid", "size", "source_size", "target", "draws", "taken")
+        .select("rid", "source", "size", "source_size", "target", "draws", "taken")
     )
 
 
 def mix_sources(docs: DataFrame, cycle=CYCLE, most: float = MOST, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, draws and taken of every row of docs (doc_id, text, source; more columns are ignored).
+    """doc_id, source, size, source_size, target, draws and taken of every row of docs (doc_id, text, source; more columns are ignored).
 
     draws: array of (shard, key, pass, first_word, n_words), the pieces of the document that the shards draw; within a
     shard pieces are shuffled by ascending key. taken: the words in all of them. A source's taken words are its target,
@@ -228,30 +228,34 @@ def mix_sources(docs: DataFrame, cycle=CYCLE, most: float = MOST, block_words: i
 
 def _mixed(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """docs with rid, and rid, size, draws of the mix."""
-    scratch, docs = Scratch(docs.sparkSession, "mixing"), without(docs, "rid", "shard", "key")
+    scratch = Scratch(docs.sparkSession, "mixing")
     rows, _ = keyed(docs, scratch, *[c for c in docs.columns if c not in ("doc_id", "text")])
     given = {"cycle": CYCLE, "most": MOST, "block_words": BLOCK_WORDS, "shards": SHARDS, "seed": SEED} | options
     return rows, _drawn(rows, **given, scratch=scratch).select("rid", "size", "draws")
 
 
 def mixed_pieces(docs: DataFrame, **options) -> DataFrame:
-    """shard, key, pass and docs' columns, where text is the piece's words joined by one space: a row for each draw; ascending key is the shard's order."""
-    rows, drawn = _mixed(docs, **options)
+    """shard, key, pass and docs' columns, where text is the piece's words joined by one space: a row for each draw; ascending key is the shard's order.
+
+    Columns of docs named rid, shard, key or pass give way.
+    """
+    rows, drawn = _mixed(without(docs, "rid", "shard", "key", "pass"), **options)
     part = F.array_join(F.slice(words(F.col("text")), (F.col("first_word") + 1).cast("int"), F.col("n_words").cast("int")), " ")
     pieces = drawn.select("rid", F.inline("draws")).join(rows, "rid")
     return pieces.withColumn("text", part).select("shard", "key", "pass", *[f"`{c}`" for c in rows.columns if c != "rid"])
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """Whole documents as the mix takes them, with all columns of docs but rid, shard and key: a row for each draw of a document's first word.
+    """Whole documents as the mix takes them, with all columns of docs: a row for each draw of a document's first word.
 
     Documents without words are kept once. Partitions are ordered by the draws' shard and key.
     """
+    docs, back = aside(docs, "rid", "shard", "key", "size", "draws")
     rows, drawn = _mixed(docs, **options)
     starts = F.filter("draws", lambda x: x["first_word"] == 0)
     none = F.array(F.struct(F.lit(0).alias("shard"), F.xxhash64("rid").alias("key")))
     times = F.when(F.col("size") == 0, none).otherwise(F.transform(starts, lambda x: F.struct(x["shard"].alias("shard"), x["key"].alias("key"))))
-    return drawn.select("rid", F.inline(times)).join(rows, "rid").sortWithinPartitions("shard", "key").select(*[f"`{c}`" for c in rows.columns if c != "rid"])
+    return drawn.select("rid", F.inline(times)).join(rows, "rid").sortWithinPartitions("shard", "key").select(*back)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Mixing, URL filters, quality, sharding, decontamination and the pipeline against brute force or planted cases."""
 
+import random
 import re
 from collections import Counter
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from loomlake.llm.decontam import decontaminate
 from loomlake.llm.mixing import mix_sources
 from loomlake.llm.quality import base_counts, quality_filter
-from loomlake.llm.sharding import best_fit_decreasing, shard_documents
+from loomlake.llm.sharding import shard_documents
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -61,10 +62,6 @@ def test_mix_takes_the_targets(spark, docs):
     assert mix_sources(spark.createDataFrame(ODD, "doc_id long, text string").withColumn("source", F.lit(None).cast("string"))).count() == len(ODD)
 
 
-def test_best_fit():
-    assert best_fit_decreasing([(6, "a"), (5, "b"), (4, "c"), (5, "d")], 10) == {"a": 0, "b": 1, "d": 1, "c": 0}
-
-
 def test_shards(spark, docs):
     rows = shard_documents(docs.select("doc_id", "text"), shards=7).collect()
     groups = {}
@@ -132,6 +129,94 @@ def test_decontamination_finds_short_and_unspaced_items_and_those_of_names(spark
     assert judged(spark, items, texts) == [[0], [1], [2], [3], [4], [], []]
 
 
+def brute_coverage(item, text):
+    """Words of the item under eight-word windows that the text has too, at the best shift."""
+    n, shifts = 8, {}
+    for i in range(len(item) - n + 1):
+        for j in range(len(text) - n + 1):
+            if item[i : i + n] == text[j : j + n]:
+                shifts.setdefault(j - i, set()).update(range(i, i + n))
+    return max(map(len, shifts.values()), default=0)
+
+
+def test_decontamination_of_quotes_against_brute_force(spark):
+    rng = random.Random(3)
+    items = [LETTERS[40 * k : 40 * k + rng.choice([10, 24, 40])] for k in range(4)] + [LETTERS[160:280]]
+    texts = []
+    for _ in range(60):
+        item = rng.choice(items)
+        start = rng.randint(0, len(item) - 1)
+        noise = [rng.choice(LETTERS[280:]) for _ in range(30)]
+        texts.append(noise[:10] + item[start : start + rng.choice([5, 7, 8, 12, 20, 33, 60])] + noise[10:])
+    want = [[k for k, item in enumerate(items) if (c := brute_coverage(item, t)) >= 32 or 2 * c >= len(item)] for t in texts]
+    assert judged(spark, [" ".join(x) for x in items], [" ".join(t) for t in texts]) == want and any(want) and not all(want)
+
+
+def test_decontamination_of_odd_tables(spark):
+    item = " ".join(LETTERS[:20])
+    bench = spark.createDataFrame([("i1", item, 1), ("i1", item, 2), ("i2", None, 3), ("i3", "", 4)], "item_id string, text string, doc_id int")
+    docs = spark.createDataFrame([(None, item, "x"), (None, item, "y"), (3, None, "z"), (3, item + " " + "filler " * 300_000, "w")], "doc_id long, text string, item_id string")
+    rows = decontaminate(docs, bench).collect()
+    assert sorted((r.doc_id or 0, tuple(r.item_ids)) for r in rows) == [(0, ("i1",)), (0, ("i1",)), (3, ()), (3, ("i1",))]
+    assert decontaminate(docs.limit(0), bench).count() == 0
+
+
+@pytest.fixture(scope="module")
+def stages():
+    import corpus_pipeline
+
+    return dict(corpus_pipeline.STAGES)
+
+
+def test_stage_near_duplicates_against_all_pairs(spark, docs, stages):
+    sets = {}
+    for r in docs.collect():
+        w = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    least = {d: d for d in sets}
+
+    def root(d):
+        while least[d] != d:
+            d = least[d]
+        return d
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                least[y] = x
+    out = stages["near_duplicates"](spark, docs, SF)
+    assert sorted(r.doc_id for r in out.collect()) == [d for d in ids if root(d) == d] and out.columns == docs.columns
+
+
+def test_stages_keep_to_their_operators(spark, docs, stages):
+    from loomlake.llm.toxicity import fit_toxicity, toxicity
+
+    labels, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "benchmark"))
+    ids = lambda df: sorted(r.doc_id for r in df.collect())
+    toxic = {r.doc_id for r in toxicity(docs, fit_toxicity(docs, labels)).where("toxic").collect()}
+    assert ids(stages["toxicity"](spark, docs, SF)) == [d for d in ids(docs) if d not in toxic]
+    held = {r.doc_id for r in decontaminate(docs, bench).where("contaminated").collect()}
+    assert ids(stages["decontamination"](spark, docs, SF)) == [d for d in ids(docs) if d not in held] and held
+    taken = {r.doc_id: sum(x.first_word == 0 for x in r.draws) if r["size"] else 1 for r in mix_sources(docs).collect()}
+    assert Counter(ids(stages["mixing"](spark, docs, SF))) == Counter({d: n for d, n in taken.items() if n})
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rid string, shard int, severity double"
+    odd = [(None, None, None, None, None, "a", 1, 0.0), (1, "", "en", "s", 0, "b", 1, 0.0), (2, "one two three four five six", "en", None, 27, None, None, None), (2, "seven eight nine ten eleven twelve", "de", "s", 1, "c", 1, 9.0)]
+    for name, rows in (("empty", []), ("odd", odd)):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+    rows = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert {r.doc_id for r in rows} >= {None, 1, 2} and len({(r.shard, r.slot) for r in rows}) == len(rows)
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
