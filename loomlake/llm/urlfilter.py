@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import table, without
 
 SALTS = 16
 
@@ -54,9 +54,11 @@ def temporal_url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures with host, n_active (patterns that list the URL on its day), listed_by (the least of them) and blocked.
 
     captures: page_id, url, fetched, and more columns, which stay. A null or hostless URL, or a null day, meets no entry
-    and is not blocked. Repeated captures keep a row each. The list side has one row per pattern, copied to each salt, so
+    and is not blocked. Repeated captures keep a row each, an empty table or list gives an empty result or one without
+    hits. Columns of captures named as those of the result (or _salt, pattern) give way. The list side has one row per pattern, copied to each salt, so
     that a host with a third of all captures is spread over SALTS tasks; whether it is broadcast is left to Spark's size check.
     """
+    captures = without(captures, "host", "n_active", "listed_by", "blocked", "_salt", "pattern")
     spans = validity_intervals(entries).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     keys = (
         captures.select("url", "fetched")
@@ -67,8 +69,12 @@ def temporal_url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
     )
     active = keys.join(spans, ["pattern", "_salt"]).where(F.exists("spans", lambda s: (s["start"] <= F.col("fetched")) & (s["end"].isNull() | (F.col("fetched") < s["end"]))))
     hits = active.groupBy("url", "fetched").agg(F.count("*").alias("n_active"), F.min("pattern").alias("listed_by"))
+    known = F.col("url").isNotNull() & F.col("fetched").isNotNull()
+    without_key = captures.where(~known).withColumn("n_active", F.lit(None).cast("long")).withColumn("listed_by", F.lit(None).cast("string"))  # these would meet in one task
     return (
-        captures.join(hits, ["url", "fetched"], "left")
+        captures.where(known)
+        .join(hits, ["url", "fetched"], "left")
+        .unionByName(without_key)
         .withColumn("host", host_of(F.col("url")))
         .withColumn("n_active", F.coalesce("n_active", F.lit(0).cast("long")))
         .withColumn("blocked", F.col("n_active") > 0)

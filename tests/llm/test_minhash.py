@@ -6,7 +6,9 @@ import re
 import pytest
 
 from loomlake.llm import minhash
-from loomlake.llm.minhash import components, near_duplicates
+import numpy as np
+
+from loomlake.llm.minhash import components, near_duplicates, super_minhash
 from loomlake.llm.common import Scratch
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -69,3 +71,30 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.rid: r.comp for r in components(links, Scratch(spark, "t")).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, 101: 100}
+
+
+def test_words_that_polynomials_confuse(spark):
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    docs = [(1, f"x {a} y"), (2, f"x {b} y"), (3, f"x {a} y")]
+    rows = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), words=4).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {1: 1, 2: 2, 3: 1}
+
+
+def test_signatures_in_parts_are_the_same(monkeypatch):
+    rng = np.random.default_rng(1)
+    text = np.repeat(np.arange(6), [3, 200, 0 + 1, 900, 40, 2])
+    elements = rng.integers(0, 2**63, len(text)).astype(np.uint64)
+    whole = super_minhash(text, elements, 7)
+    monkeypatch.setattr(minhash, "PART", 37)
+    assert (super_minhash(text, elements, 7) == whole).all() and np.isinf(whole[6]).all()
+    share = [(super_minhash(np.zeros(400, int), elements[s : s + 400], 1) == super_minhash(np.zeros(400, int), elements[:400], 1)).mean() for s in (0, 50, 200)]
+    assert share[0] == 1 and abs(share[1] - 350 / 450) < 0.12 and abs(share[2] - 200 / 600) < 0.12
+
+
+def test_long_text_and_refused_threshold(spark):
+    long = " ".join(f"w{i}" for i in range(2_400_000))
+    rows = near_duplicates(spark.createDataFrame([(1, long), (2, long + " end"), (3, "w1 w2 w3 w4 w5")], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {1: 1, 2: 1, 3: 3}
+    with pytest.raises(ValueError):
+        near_duplicates(spark.createDataFrame([], "doc_id long, text string"), percent=70)

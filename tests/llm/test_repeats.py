@@ -5,9 +5,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from loomlake.llm import repeats
+from loomlake.llm import repeats, substring_dedup as words_module, suffix_dedup as bytes_module
 from loomlake.llm.substring_dedup import substring_dedup
 from loomlake.llm.suffix_dedup import suffix_dedup
 from loomlake.llm.suffixes import SuffixAutomaton, suffix_array
@@ -110,3 +111,52 @@ def test_small_bins_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(repeats, "BIN", 200)
     rows = suffix_dedup(spark.createDataFrame(docs, SCHEMA), length=60, gram=20, step=8).collect()
     assert {r.doc_id: hashlib.sha256(r.kept).hexdigest() for r in rows} == {d: hashlib.sha256(x[3]).hexdigest() for d, x in brute_bytes(docs, 60).items()}
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def opposites(n):
+    """Two words whose polynomial hashes modulo a power of two are the same."""
+    return thue_morse(n), thue_morse(n).translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [256, 1024, 2048])
+def test_words_that_polynomials_confuse(spark, n):
+    a, b = opposites(n)
+    words = [f"w{i}" for i in range(50)]
+    docs = [(i, " ".join(words[:25] + [x] + words[25:])) for i, x in enumerate((a, b))]
+    rows = substring_dedup(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert all(not r.spans for r in rows)
+    same = substring_dedup(spark.createDataFrame([(0, docs[0][1]), (1, docs[0][1])], SCHEMA)).collect()
+    assert all(len(r.kept) == 0 for r in same)
+
+
+def test_only_the_solver_removes(spark, monkeypatch):
+    docs = corpus(1)
+    monkeypatch.setattr(bytes_module, "classes_by_suffix_array", lambda text, starts, length: np.arange(len(starts)))
+    monkeypatch.setattr(words_module, "classes_by_automaton", lambda text, starts, length: np.arange(len(starts)))
+    frame = spark.createDataFrame(docs, SCHEMA)
+    assert not any(r.spans for r in suffix_dedup(frame, length=60, gram=20, step=8).collect())
+    assert not any(r.spans for r in substring_dedup(frame, length=15, gram=6, step=4).collect())
+
+
+def test_slices_of_long_texts_change_nothing(spark, monkeypatch):
+    docs = [(i, "\n".join(t or "" for _, t in corpus(i)[:40])) for i in range(4)]
+    monkeypatch.setattr(repeats, "SLICE", 150)
+    rows = suffix_dedup(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), bytes(r.kept)) for r in rows} == brute_bytes(docs, 100)
+    rows = substring_dedup(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert {r.doc_id: (r.n_words, sum(s.end - s.start for s in r.spans), bytes(r.kept)) for r in rows} == brute_words(docs, 35)
+
+
+def test_text_of_twenty_megabytes(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    long = " ".join(f"w{i}" for i in range(2_400_000)) + " " + passage
+    assert len(long) > 20_000_000
+    docs = spark.createDataFrame([(1, long), (2, f"other start {passage} other end")], SCHEMA)
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in suffix_dedup(docs).collect()}
+    assert got[1] == [] and len(got[2]) == 1 and got[2][0][1] - got[2][0][0] in (len(passage) + 1, len(passage))
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in substring_dedup(docs).collect()}
+    assert got == {1: [(2_400_000, 2_400_060)], 2: [(2, 62)]}
