@@ -29,6 +29,18 @@ def scores(checks: DataFrame) -> DataFrame:
     return checks.groupBy("section").agg(F.count_if(F.col("failed") == 0).alias("passed"), F.count("*").alias("checks")).withColumn("score", F.col("passed") / F.col("checks") * 100)
 
 
+def allowed(users: DataFrame, role_permissions: DataFrame, permission: str, condition: Column | None = None) -> DataFrame:
+    """user_id, allowed: a user who is enabled and has the permission by a role or personally, where the condition, if any, holds.
+
+    users: user_id, enabled, roles, permissions (arrays). role_permissions: role, permission; whether it is broadcast is left to Spark's size check.
+    """
+    granting = role_permissions.where(F.col("permission") == permission).select("role").distinct()
+    by_role = users.select("user_id", F.explode("roles").alias("role")).join(granting, "role", "left_semi").select("user_id").distinct().withColumn("_role", F.lit(True))
+    own = F.array_contains(F.coalesce("permissions", F.array().cast("array<string>")), permission)
+    holds = F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))
+    return users.join(by_role, "user_id", "left").select("user_id", (F.coalesce("enabled", F.lit(False)) & (F.coalesce("_role", F.lit(False)) | own) & holds).alias("allowed"))
+
+
 def worst_status(df: DataFrame, keys: list[str], status: str) -> DataFrame:
     """keys, status: unhealthy before degraded before healthy before anything else."""
     rank = F.when(F.col(status) == "unhealthy", 3).when(F.col(status) == "degraded", 2).when(F.col(status) == "healthy", 1).otherwise(0)

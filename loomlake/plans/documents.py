@@ -344,6 +344,12 @@ def _each_match_sql(column, pattern, masked):
 _LOCAL = "split_part(m, '@', 1)"
 _MAIL = f"CASE WHEN length({_LOCAL}) <= 2 THEN repeat('*', length({_LOCAL})) ELSE {_LOCAL}[1] || repeat('*', length({_LOCAL}) - 2) || {_LOCAL}[-1] END || '@' || split_part(m, '@', -1)"
 _CARD = r"repeat('*', length(regexp_replace(m, '[\s-]', '', 'g')) - 4) || right(regexp_replace(m, '[\s-]', '', 'g'), 4)"
+
+
+def email_sql(column):
+    return _each_match_sql(column, T.EMAIL, _MAIL)
+
+
 SENSITIVE_SQL = f"SELECT doc_id, {_masked_sql('text', T.MASKS)} AS t FROM documents"
 for _p, _m in [(T.EMAIL, _MAIL), *[(c, _CARD) for c in T.CARDS]]:
     SENSITIVE_SQL = f"SELECT doc_id, {_each_match_sql('t', _p, _m)} AS t FROM ({SENSITIVE_SQL})"

@@ -10,9 +10,9 @@ from ..operators import metrics as M
 from ..operators import quality
 from ..operators import reports as R
 from ..sources import samples
-from ..sources.tables import table
+from ..sources.tables import import_fields, listed_documents, table
 from .analytics import _requests
-from .documents import TITLE
+from .documents import TITLE, email_sql
 from .named import collector
 
 QUERIES, ORACLES, query = collector()
@@ -309,3 +309,61 @@ def sample_annotations(spark, d):
 @query("SELECT 'doc_' || i AS title, ['txt', 'md', 'pdf'][i % 3 + 1] AS extension, i % 5 + 1 AS uploader_id, i * 1024 % 52428800 AS file_size, 'uploads/doc_' || i || '.' || ['txt', 'md', 'pdf'][i % 3 + 1] AS file_path FROM range(1, 201) t(i)")
 def sample_documents(spark, d):
     return samples.sample_documents(spark, 200, users=5)
+
+
+@query(
+    """SELECT user_id, enabled AND (granted OR own) AND user_id % 7 <> 3 AS allowed FROM (SELECT c_custkey AS user_id, c_acctbal >= 0 AS enabled, c_nationkey % 3 IN (1, 2) AS granted, c_mktsegment = 'MACHINERY' AS own FROM customer)"""
+)
+def permissions(spark, d):
+    """Permission by a role, or personally, for enabled users, with a condition."""
+    roles = F.element_at(F.array(F.array(F.lit("guest")), F.array(F.lit("guest"), F.lit("editor")), F.array(F.lit("admin"))), (F.col("c_nationkey") % 3 + 1).cast("int"))
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_acctbal") >= 0).alias("enabled"), roles.alias("roles"), F.when(F.col("c_mktsegment") == "MACHINERY", F.array(F.lit("write"))).alias("permissions"))
+    held = spark.createDataFrame([("guest", "read"), ("editor", "write"), ("admin", "write"), ("admin", "delete")], "role string, permission string")
+    return quality.allowed(users, held, "write", F.col("user_id") % 7 != 3)
+
+
+@query("SELECT regexp_replace(string_split(url, '/')[-1], '\\.[^.]*$', '') AS title, '来源: ' || url AS content, '气功' AS category, 0 AS n_tags FROM pages")
+def listed_imports(spark, d):
+    rows = listed_documents(table(spark, d, "pages").select(F.col("url").alias("path")), "气功")
+    return rows.select("title", "content", "category", F.size("tags").alias("n_tags"))
+
+
+@query(
+    f"""SELECT doc_id, substr(CASE WHEN doc_id % 3 = 0 THEN '无标题' WHEN doc_id % 3 = 1 THEN source ELSE {TITLE} END, 1, 500) AS title, text AS content, lang AS category, lang || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ',x' END AS tags
+FROM documents WHERE trim(text) <> ''"""
+)
+def import_defaults(spark, d):
+    """A missing title falls back to the name, then to a fixed one; the category becomes a tag."""
+    k = F.col("doc_id")
+    rows = table(spark, d, "documents").select(
+        k,
+        "lang",
+        F.when(k % 3 == 2, T.title_of(F.col("text"))).alias("title"),
+        F.when(k % 3 == 1, F.col("source")).alias("name"),
+        F.lit(None).cast("string").alias("content"),
+        F.col("text").alias("description"),
+        F.when(k % 2 == 1, F.array(F.lit("x"))).alias("tags"),
+    )
+    out = import_fields(rows, F.col("lang"), keep=("doc_id",))
+    return out.select("doc_id", "title", "content", "category", F.array_join(F.array_sort("tags"), ",").alias("tags"))
+
+
+@query("SELECT source || ': ' || count(*) || ' documents, ' || round(avg(n_chars), 1) || ' characters on average' AS value FROM documents GROUP BY source")
+def text_report(spark, d):
+    per = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 1).alias("mean"))
+    return per.select(F.format_string("%s: %d documents, %s characters on average", "source", "n", F.col("mean").cast("string")).alias("value"))
+
+
+@query(f"SELECT doc_id, {email_sql('text')} AS masked FROM documents WHERE text IS NOT NULL")
+def mask_emails(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", T.mask_emails(F.col("text")).alias("masked"))
+
+
+@query("SELECT doc_id, CASE WHEN s < 1024 THEN printf('%.2f', s) || ' B' WHEN s < 1048576 THEN printf('%.2f', s / 1024) || ' KB' WHEN s < 1073741824 THEN printf('%.2f', s / 1048576) || ' MB' ELSE printf('%.2f', s / 1073741824) || ' GB' END AS label FROM (SELECT doc_id, (n_chars * n_chars * 7)::DOUBLE AS s FROM documents)")
+def size_labels(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.size_label(F.col("n_chars") * F.col("n_chars") * 7).alias("label"))
+
+
+@query()
+def sample_chunks(spark, d):
+    return samples.sample_chunks(table(spark, d, "documents").where("text is not null")).select("doc_id", "chunk_index", "position", F.length("content").alias("size"))

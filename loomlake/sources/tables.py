@@ -55,8 +55,8 @@ def file_hashes(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
     return files.select("path", "length", "modificationTime", F.md5("content").alias("md5"), F.sha1("content").alias("sha1"), F.sha2("content", 256).alias("sha256"), F.sha2("content", 512).alias("sha512"))
 
 
-def import_fields(row: DataFrame, category: Column) -> DataFrame:
-    """title, content, category and tags with their fallbacks; rows without content are left out."""
+def import_fields(row: DataFrame, category: Column, keep: tuple = ()) -> DataFrame:
+    """title, content, category and tags with their fallbacks, and the columns of `keep`; rows without content are left out."""
     has = lambda c: F.col(c) if c in row.columns else F.lit(None).cast("string")
     tags = F.coalesce(F.col("tags"), F.array().cast("array<string>")) if "tags" in row.columns else F.array().cast("array<string>")
     return (
@@ -65,7 +65,7 @@ def import_fields(row: DataFrame, category: Column) -> DataFrame:
         .withColumn("content", F.coalesce(has("content"), has("description"), has("正文")))
         .where(F.trim("content") != "")
         .withColumn("tags", F.when(F.array_contains(tags, F.col("_category")), tags).otherwise(F.array_append(tags, F.col("_category"))))
-        .select("title", "content", F.col("_category").alias("category"), "tags")
+        .select(*keep, "title", "content", F.col("_category").alias("category"), "tags")
     )
 
 
@@ -87,7 +87,24 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
 
 
 def write_by_category(df: DataFrame, path: str) -> None:
+    """JSON files by category, and how many rows each has in `path`_stats."""
     df.write.mode("overwrite").partitionBy("category").json(path)
+    df.groupBy("category").agg(F.count("*").alias("rows")).write.mode("overwrite").json(f"{path}_stats")
+
+
+def write_report(df: DataFrame, path: str, kind: str = "json") -> None:
+    """A report as JSON, CSV or text (one string column)."""
+    writer = df.write.mode("overwrite")
+    if kind not in ("json", "csv", "text"):
+        raise ValueError(f"no report of kind {kind}")
+    writer.option("header", True).csv(path) if kind == "csv" else getattr(writer, kind)(path)
+
+
+def listed_documents(files: DataFrame, category: str, limit: int | None = None) -> DataFrame:
+    """title, content, category, tags of a listing (path): the title is the file's name without its extension, the content says where it comes from. limit: the first so many by path."""
+    rows = files if limit is None else files.orderBy("path").limit(limit)
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    return rows.select(name.alias("title"), F.concat(F.lit("来源: "), "path").alias("content"), F.lit(category).alias("category"), F.array().cast("array<string>").alias("tags"))
 
 
 def write_text(df: DataFrame, path: str) -> None:

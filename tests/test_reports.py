@@ -98,3 +98,23 @@ def test_files(spark, tmp_path):
     assert {len(r.sha512) for r in tables.file_hashes(spark, str(tmp_path), "*.json").collect()} == {128}
     with pytest.raises(ValueError):
         tables.read_csv(spark, str(tmp_path), "orders")
+
+
+def test_recall_of_the_vector_index(spark):
+    from loomlake.plans import registry
+
+    sf = "/root/testdata/sf0.1"
+    found, exact = ({(r.query, r.vec_id) for r in registry.QUERIES[q](spark, sf).collect()} for q in ("vector_index_search", "vector_search_set"))
+    assert len(found & exact) >= 0.9 * len(exact) and exact
+
+
+def test_written_reports(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "category string, n int")
+    tables.write_by_category(rows, str(tmp_path / "c"))
+    assert {(r.category, r.rows) for r in spark.read.json(str(tmp_path / "c_stats")).collect()} == {("a", 2), ("b", 1)}
+    assert spark.read.json(str(tmp_path / "c")).count() == 3
+    for kind in ("json", "csv"):
+        tables.write_report(rows, str(tmp_path / kind), kind)
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 3
+    with pytest.raises(ValueError):
+        tables.write_report(rows, str(tmp_path / "x"), "pdf")
