@@ -11,7 +11,8 @@ from ..functions.text import hash_embedding
 from .events import MICROS
 
 SECONDS_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
-PREFIX, VERSION = "taiji", "v1"
+# First and last part of a cache key.
+PREFIX, VERSION = "tcm_kb", "v1"
 
 
 def backfill(docs: DataFrame, dims: int = 1024) -> DataFrame:

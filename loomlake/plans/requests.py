@@ -95,11 +95,11 @@ def multi_limit(spark, d):
 
 @query(
     """SELECT doc_id, 2 AS n_steps, '1. ' || lang || chr(10) || 'of ' || source AS first, '2. ' || doc_id AS last, trim(a, chr(9) || chr(10) || chr(13) || ' ') AS answer,
-round(0.3 + least(length(trim(a, chr(9) || chr(10) || chr(13) || ' ')) / 500, 0.5), 2) AS confidence FROM (SELECT *, split_part(text, chr(10), 1) AS a FROM documents WHERE text IS NOT NULL)"""
+round(0.3 + least(length(trim(a, chr(9) || chr(10) || chr(13) || ' ')) / 500, 0.5), 2) AS confidence FROM (SELECT *, replace(text, chr(10), ' ') AS a FROM documents WHERE text IS NOT NULL)"""
 )
 def thought_steps(spark, d):
     docs = table(spark, d, "documents").where("text IS NOT NULL")
-    said = F.concat(F.lit("思考过程：\n1. "), "lang", F.lit("\nof "), "source", F.lit("\n2. "), F.col("doc_id").cast("string"), F.lit("\n答案："), T.title_of(F.col("text")))
+    said = F.concat(F.lit("思考过程：\n1. "), "lang", F.lit("\nof "), "source", F.lit("\n2. "), F.col("doc_id").cast("string"), F.lit("\n答案："), F.replace("text", F.lit("\n"), F.lit(" ")))
     parsed = docs.select("doc_id", reasoning.thought_and_answer(said).alias("r")).select("doc_id", "r.*")
     return parsed.select(
         "doc_id",
