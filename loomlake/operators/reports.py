@@ -11,8 +11,8 @@ from ..functions.text import hash_embedding
 from .events import MICROS
 
 SECONDS_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
-# First and last part of a cache key.
-PREFIX, VERSION = "tcm_kb", "v1"
+# First and last part of a cache key where none are given.
+PREFIX, VERSION = "kb", "v1"
 
 
 def backfill(docs: DataFrame, dims: int = 1024) -> DataFrame:
@@ -113,15 +113,15 @@ def throughput(df: DataFrame, level: str, ok: Column, time: str, value: str) ->
     return basic.join(p95, level)
 
 
-def cache_key(resource: Column, kind: Column, identifier: Column, version: str = VERSION) -> Column:
-    return F.concat_ws(":", F.lit(PREFIX), resource, kind, identifier, F.lit(version))
+def cache_key(resource: Column, kind: Column, identifier: Column, version: str = VERSION, prefix: str = PREFIX) -> Column:
+    return F.concat_ws(":", F.lit(prefix), resource, kind, identifier, F.lit(version))
 
 
-def cache_key_parts(key: Column) -> Column:
+def cache_key_parts(key: Column, prefix: str = PREFIX) -> Column:
     """(resource, data_type, identifier, version) of a key; null where it has another prefix or fewer parts."""
     p = F.split(key, ":")
     parts = F.struct(*[F.get(p, F.lit(i)).alias(n) for i, n in enumerate(("resource", "data_type", "identifier", "version"), 1)])
-    return F.when((F.size(p) >= 5) & (F.get(p, F.lit(0)) == PREFIX), parts)
+    return F.when((F.size(p) >= 5) & (F.get(p, F.lit(0)) == prefix), parts)
 
 
 def glob_match(name: Column, pattern: str) -> Column:

@@ -243,7 +243,7 @@ def like_any_extract(spark, d):
     return R.like_any(table(spark, d, "pages"), ["url", "html"], ["/es/", "/de/", "utm_source"], F.col("page_id") >= 0).where("contains(url, '/es/') or contains(url, '/de/') or contains(html, 'utm_source')").select("page_id", "url")
 
 
-@query("SELECT event_type, user_id % 3 AS shard, 'tcm_kb:event:' || event_type || ':' || user_id % 3 || ':v1' AS key, event_type AS data_type, event_type LIKE '%r%' AS globbed FROM events GROUP BY ALL")
+@query("SELECT event_type, user_id % 3 AS shard, 'kb:event:' || event_type || ':' || user_id % 3 || ':v1' AS key, event_type AS data_type, event_type LIKE '%r%' AS globbed FROM events GROUP BY ALL")
 def cache_keys(spark, d):
     e = table(spark, d, "events").select("event_type", (F.col("user_id") % 3).alias("shard")).distinct()
     keyed = e.withColumn("key", R.cache_key(F.lit("event"), F.col("event_type"), F.col("shard").cast("string")))
