@@ -32,16 +32,21 @@ def unigram_scores(path: str = VOCABULARY) -> tuple[dict[bytes, float], float]:
     return {model.id_to_piece(i).encode(): -math.log(k + 1) - total for k, i in enumerate(ids)}, -math.log(len(ids) + 1) - total - 10
 
 
-def count_words(words: list[bytes], scores: dict[bytes, float], single: float) -> list[int]:
+def piece_endings(scores: dict[bytes, float]) -> dict[bytes, float | None]:
+    """Score by piece, and None for what is only the ending of pieces."""
+    return {p[k:]: None for p in scores for k in range(1, len(p))} | scores
+
+
+def count_words(words: list[bytes], endings: dict[bytes, float | None], single: float) -> list[int]:
     """Tokens of the best segmentation of each word; `words` are sorted and distinct.
 
     Sorted words are the depth-first walk of their trie. The forward scores of the current path are kept on a stack; the
     part that a word shares with the one before is not computed again. A terminal's count is that of its last position.
-    Of equally good segmentations the one with fewer tokens counts.
+    Of equally good segmentations the one with fewer tokens counts. At each place pieces are tried from the shortest on,
+    until what stands there is no piece's ending any more. endings: see piece_endings.
     """
-    longest = max(map(len, scores), default=1)
     best, count, before, out = [0.0], [0], b"", []
-    get = scores.get
+    get, other = endings.get, object()
     for word in words:
         at, most = 0, min(len(word), len(before))
         if word[:most] == before[:most]:
@@ -52,8 +57,10 @@ def count_words(words: list[bytes], scores: dict[bytes, float], single: float) -
         del best[at + 1 :], count[at + 1 :]
         for end in range(at + 1, len(word) + 1):
             top, n = best[end - 1] + single, count[end - 1] + 1
-            for start in range(max(0, end - longest), end):
-                score = get(word[start:end])
+            for start in range(end - 1, -1, -1):
+                score = get(word[start:end], other)
+                if score is other:
+                    break
                 if score is not None:
                     score += best[start]
                     if score > top or score == top and count[start] + 1 < n:
@@ -67,6 +74,7 @@ def count_words(words: list[bytes], scores: dict[bytes, float], single: float) -
 
 def _counted(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
     scores, single = vocabulary.value
+    endings = piece_endings(scores)
     known: dict[bytes, int] = {}
     for batch in batches:
         data, offsets = column(batch, "text")
@@ -79,7 +87,7 @@ def _counted(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.Recor
             if len(known) > CACHE:
                 known = {}
             new = sorted(SPACE + w for w in distinct if w not in known)
-            fresh = dict(zip(new, count_words(new, scores, single)))
+            fresh = dict(zip(new, count_words(new, endings, single)))
             known.update((w[len(SPACE) :], n) for w, n in fresh.items())
             sums = np.concatenate([[0], np.cumsum(np.array([known[w] for w in distinct], np.int64)[which])]) if len(distinct) else np.zeros(1, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(sums[bounds[1:]] - sums[bounds[:-1]])], ["doc_id", "n_words", "n_tokens"])

@@ -5,7 +5,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from loomlake.llm.token_counts import count_words, token_counts
+from loomlake.llm.token_counts import count_words, piece_endings, token_counts
 from loomlake.llm.toxicity import fit_ordinal, fit_toxicity, toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -31,7 +31,7 @@ def test_counts_are_those_of_the_best_segmentation():
     rng = random.Random(5)
     pieces = {bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 4))): -rng.randint(1, 9) * 1.0 for _ in range(25)}
     words = sorted({bytes(rng.choice(b"abcd") for _ in range(rng.randint(1, 12))) for _ in range(400)})
-    assert count_words(words, pieces, -20.0) == [brute_count(w, pieces, -20.0) for w in words]
+    assert count_words(words, piece_endings(pieces), -20.0) == [brute_count(w, pieces, -20.0) for w in words]
 
 
 def test_token_counts_by_document(spark):
