@@ -364,6 +364,10 @@ def size_labels(spark, d):
     return table(spark, d, "documents").select("doc_id", T.size_label(F.col("n_chars") * F.col("n_chars") * 7).alias("label"))
 
 
-@query()
+@query(
+    """WITH s AS (SELECT doc_id, length(text) AS n, CAST('0x' || substr(md5(doc_id::VARCHAR), 1, 6) AS INTEGER) % 1501 + 500 AS size FROM documents WHERE length(text) > 0),
+p AS (SELECT doc_id, n, size, unnest(range(0, n, size - size // 10))::INTEGER AS position FROM s)
+SELECT doc_id, position // (size - size // 10) AS chunk_index, position, least(size, n - position)::INTEGER AS size FROM p"""
+)
 def sample_chunks(spark, d):
     return samples.sample_chunks(table(spark, d, "documents").where("text is not null")).select("doc_id", "chunk_index", "position", F.length("content").alias("size"))
