@@ -6,6 +6,7 @@ from .decontam import op10_template_decontam
 from .minhash import op3_super_minhash
 from .mixing import op1_mix_sources
 from .quality import op5_weak_supervision
+from .runs import op13_lyndon_runs
 from .sharding import op8_bin_packing
 from .substring_dedup import op7_suffix_automata
 from .suffix_dedup import op4_suffix_array
@@ -26,6 +27,7 @@ QUERIES = {
         op8_bin_packing,
         op9_trie_unigram,
         op10_template_decontam,
+        op13_lyndon_runs,
     )
 }
 ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL}
