@@ -140,9 +140,9 @@ def pieces(offsets: np.ndarray, limit: int = BATCH_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of consecutive texts, and for each text the number of its first word (with the total at the end)."""
-    inside = IS_WORD[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of the bytes of a kind) of consecutive texts, and for each text the number of its first word (with the total at the end)."""
+    inside = kind[data]
     before = np.empty(len(data) + 1, bool)
     before[0], before[1:] = False, inside
     edges = offsets[(offsets >= 0) & (offsets <= len(data))]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .decontam import op10_template_decontam
+from .divergence import OP12_SQL, op12_source_divergence
 from .minhash import op3_super_minhash
 from .mixing import op1_mix_sources
+from .pieces import op11_sentence_pieces
 from .quality import op5_weak_supervision
 from .runs import op13_lyndon_runs
 from .sharding import op8_bin_packing
@@ -27,7 +29,9 @@ QUERIES = {
         op8_bin_packing,
         op9_trie_unigram,
         op10_template_decontam,
+        op11_sentence_pieces,
+        op12_source_divergence,
         op13_lyndon_runs,
     )
 }
-ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op12_source_divergence": OP12_SQL}
