@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stored import stored
+from . import mentions
 
 # Entity types and the names that belong to them.
 ENTITY_PATTERNS = {
@@ -19,34 +20,12 @@ ENTITY_PATTERNS = {
 
 def entities(docs: DataFrame, patterns: dict[str, str] | None = None, key: str = "doc_id") -> DataFrame:
     """key, ordinal, name, type: the names in a text, each once, in the order of the patterns and then of the text."""
-
-    def typed(kind: str, pattern: str) -> Column:
-        return F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))), lambda n: F.struct(n.alias("name"), F.lit(kind).alias("type")))
-
-    found = F.concat(*[typed(t, p) for t, p in (patterns or ENTITY_PATTERNS).items()])
-    rows = docs.where("text is not null").select(key, F.posexplode(found).alias("ordinal", "e")).select(key, "ordinal", "e.name", "e.type")
-    first = rows.groupBy(key, "name").agg(F.min(F.struct("ordinal", "type")).alias("f"))
-    return first.select(key, "f.ordinal", "name", "f.type")
+    return mentions.entities(docs, mentions.listed(patterns or ENTITY_PATTERNS), key)
 
 
 def cooccurrences(docs: DataFrame, patterns: dict[str, str] | None = None, gap: int = 50, key: str = "doc_id") -> DataFrame:
-    """key, source, target: entities of one text within `gap` characters of each other on one line, in either order; the one found first is the source.
-
-    Names and pairs are made inside the row: lines are split where the names are, and what stands between two of them is
-    measured, so no pattern is built from data and the text is not shuffled. Texts with fewer than two names end early.
-    """
-    names = lambda p: F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(0)))
-    found = docs.where("text is not null").select(key, "text", F.array_distinct(F.concat(*[names(p) for p in (patterns or ENTITY_PATTERNS).values()])).alias("es")).where(F.size("es") > 1)
-    lines = found.withColumn("_lines", F.filter(F.split("text", "[\n\r\u0085\u2028\u2029]", -1), lambda x: F.length(x) > 0)).drop("text")
-
-    def near(a: Column, b: Column) -> Column:
-        """Whether, on a line, some b begins within `gap` characters behind the end of some a."""
-        parts = lambda line: F.slice(F.split(line, F.concat(F.lit("\\Q"), a, F.lit("\\E")), -1), 2, 1 << 30)
-        tails = lambda ps: F.transform(ps, lambda p, i: F.substring(F.call_function("array_join", F.slice(ps, i + 1, 1 << 30), a), F.lit(1), F.length(b) + gap))
-        return F.exists("_lines", lambda line: F.contains(line, a) & F.contains(line, b) & F.exists(F.transform(F.array(parts(line)), lambda ps: F.exists(tails(ps), lambda t: F.contains(t, b))), lambda x: x))
-
-    pairs = F.flatten(F.transform("es", lambda a, i: F.transform(F.slice("es", i + 2, F.size("es")), lambda b: F.struct(a.alias("source"), b.alias("target")))))
-    return lines.withColumn("_p", F.filter(pairs, lambda p: near(p["source"], p["target"]) | near(p["target"], p["source"]))).select(key, F.inline("_p"))
+    """key, source, target: entities of one text within `gap` characters of each other on one line, in either order; the one found first is the source."""
+    return mentions.close_pairs(docs, mentions.listed(patterns or ENTITY_PATTERNS), gap, key)
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -101,6 +80,17 @@ def graph_counts(edges: DataFrame) -> DataFrame:
 
 def subgraph(edges: DataFrame, seeds: list[str]) -> DataFrame:
     """The edges between the seeds and their direct neighbours."""
-    links = undirected(edges)
-    near = links.where(F.col("source").isin(seeds)).select(F.col("target").alias("v")).unionByName(links.where(F.col("source").isin(seeds)).select(F.col("source").alias("v"))).distinct()
-    return edges.select("source", "target").distinct().join(near.select(F.col("v").alias("source")), "source", "left_semi").join(near.select(F.col("v").alias("target")), "target", "left_semi")
+    asked = edges.sparkSession.createDataFrame([("", s) for s in dict.fromkeys(seeds)], "question string, name string")
+    return subgraphs(edges, asked, "question").select("source", "target")
+
+
+def subgraphs(edges: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """key, source, target: for each question, the edges between the names it asks for (key, name) and their direct neighbours.
+
+    Both ends of an edge are looked up by (question, name), so a question's rows are dealt by name, and so are the edges.
+    """
+    links = undirected(edges).select(F.col("source").alias("name"), F.col("target").alias("v"))
+    near = asked.select(key, "name").join(links, "name").select(key, F.explode(F.array("name", "v")).alias("v")).distinct()
+    once = edges.select("source", "target").distinct()
+    begun = once.join(near.withColumnRenamed("v", "source"), "source")
+    return begun.join(near.withColumnRenamed("v", "target"), [key, "target"], "left_semi").select(key, "source", "target")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph, retrieval, routing
+from ..operators import graph, mentions, retrieval, routing
+from ..sources.stored import stored
 from ..sources.tables import file_category, new_titles, table
 from .named import collector
 
@@ -273,6 +274,29 @@ def graph_subgraph(spark, d):
     return graph.subgraph(edges, ["hation", "chkeit"]).select(F.col("source").alias("x"), F.col("target").alias("y"))
 
 
+@query(
+    f"""{_LINKS}, q AS (SELECT DISTINCT item_id, v FROM (SELECT item_id, unnest({[n for p in LATIN.values() for n in p.strip('()').split('|')]}) AS v, text FROM benchmark) WHERE contains(text, v)),
+n AS (SELECT DISTINCT item_id, unnest([s, t]) AS v FROM q JOIN u ON q.v = u.s)
+SELECT a.item_id, x, y FROM p JOIN n a ON a.v = x JOIN n b ON b.v = y AND a.item_id = b.item_id"""
+)
+def graph_of_questions(spark, d):
+    """For each benchmark item as a question: the edges between the entities it names and their neighbours, in the graph of all documents."""
+    asked = graph.entities(table(spark, d, "benchmark"), LATIN, "item_id").select("item_id", "name")
+    edges = stored(_edges(spark, d).select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct(), "edges")
+    return graph.subgraphs(edges, asked, "item_id").select("item_id", F.col("source").alias("x"), F.col("target").alias("y"))
+
+
+@query(
+    r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}]{6,}')) AS name FROM benchmark)
+SELECT name, count(*) AS docs, min(doc_id) AS first_doc FROM documents JOIN w ON contains(text, name) GROUP BY name"""
+)
+def dictionary_docs(spark, d):
+    """Each word of six letters or more of the benchmark, as a dictionary of names: how many documents hold it, inside of words too."""
+    words = F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}]{6,}"), F.lit(0)))
+    names = [r.name for r in table(spark, d, "benchmark").select(words.alias("name")).distinct().limit(mentions.MOST + 1).collect()]
+    return mentions.contained(table(spark, d, "documents"), names).groupBy("name").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
+
+
 def _supplies(spark, d):
     """An edge for each supplier and part that any row of lineitem has."""
     return table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target")).distinct()
