@@ -22,8 +22,9 @@ from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"  # stands for a space in pieces
-CACHE = 400_000  # segments a task remembers
+CACHE = 600_000  # segments after which a worker forgets those it has not met since the last time
 PIECE_BYTES = 1 << 21
+SHORT, NEVER = 48, float("inf")
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 codecs.register_error("bytewise", lambda e: ("\ufffd", e.start + 1))
@@ -85,13 +86,19 @@ class Pieces:
         self.names = [p.piece for p in model.pieces]
         self.kinds = [p.type for p in model.pieces]
         self.begin, self.end = (self.names.index(x) for x in (model.trainer_spec.bos_piece, model.trainer_spec.eos_piece))
-        self.unknown = model.trainer_spec.unk_surface
         self.ids = {p.piece: k for k, p in enumerate(model.pieces) if p.type == NORMAL}
-        self.scores = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
+        self.costs = {p.piece: -p.score for p in model.pieces if p.type == NORMAL}
         self.bytes = {int(p.piece[3:5], 16): k for k, p in enumerate(model.pieces) if p.type == BYTE}
-        self.controls = {k for k, kind in enumerate(self.kinds) if kind == CONTROL}
         byte_of = {k: bytes([b]) for b, k in self.bytes.items()}
-        self.surfaces = [b"" if kind == CONTROL else byte_of[k] if kind == BYTE else (self.unknown if kind == UNKNOWN else self.names[k].replace(SPACE, " ")).encode() for k, kind in enumerate(self.kinds)]
+        surfaces = [b"" if kind == CONTROL else byte_of[k] if kind == BYTE else (model.trainer_spec.unk_surface if kind == UNKNOWN else self.names[k].replace(SPACE, " ")).encode() for k, kind in enumerate(self.kinds)]
+        self.pool, self.lengths = np.frombuffer(b"".join(surfaces), np.uint8), np.array([len(x) for x in surfaces], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        kinds = np.array(self.kinds)
+        self.is_control, self.is_byte = kinds == CONTROL, kinds == BYTE
+        self.sizes = np.array([1 if kind == BYTE else len(n) for n, kind in zip(self.names, self.kinds)], np.int64)
+        self.goes_on = np.array([0x80 <= byte_of.get(k, b"\0")[0] < 0xC0 for k in range(len(kinds))])
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         joined = [p for p in self.ids if len(p) > 1]
         inner = sorted(set("".join(joined)) - {SPACE})
         # No piece goes on from another character to a space, nor beyond a character that only stands alone: texts fall
@@ -139,12 +146,24 @@ class Pieces:
         return out, np.array(source[: len(out) + 1], np.int64)
 
     def merged(self, segment: str) -> list[str]:
-        """The segment in pieces: from single characters on, the pair whose piece has the highest score is joined, the leftmost of equals, until no pair is a piece."""
-        scores, parts, n = self.scores, list(segment), len(segment)
-        if n == 1 or segment in scores and n == 2:
-            return [segment]
+        """The segment in pieces: from single characters on, the pair whose piece has the highest score is joined, the leftmost of equals, until no pair is a piece.
+
+        Short segments look over all pairs again for each step; long ones keep them in a queue. Both join the same pairs.
+        """
+        costs, parts, n = self.costs, list(segment), len(segment)
+        if n <= SHORT:
+            pairs = [costs.get(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+            while pairs and (least := min(pairs)) < NEVER:
+                k = pairs.index(least)
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+                del pairs[k]
+                if k:
+                    pairs[k - 1] = costs.get(parts[k - 1] + parts[k], NEVER)
+                if k < len(pairs):
+                    pairs[k] = costs.get(parts[k] + parts[k + 1], NEVER)
+            return parts
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(-scores[p], k, p) for k in range(n - 1) if (p := parts[k] + parts[k + 1]) in scores]
+        queue = [(costs[p], k, p) for k in range(n - 1) if (p := parts[k] + parts[k + 1]) in costs]
         heapq.heapify(queue)
         while queue:
             _, k, piece = heapq.heappop(queue)
@@ -155,46 +174,43 @@ class Pieces:
             after[k] = after[right]
             if after[k] < n:
                 before[after[k]] = k
-                if (p := piece + parts[after[k]]) in scores:
-                    heapq.heappush(queue, (-scores[p], k, p))
-            if before[k] >= 0 and (p := parts[before[k]] + piece) in scores:
-                heapq.heappush(queue, (-scores[p], before[k], p))
+                if (p := piece + parts[after[k]]) in costs:
+                    heapq.heappush(queue, (costs[p], k, p))
+            if before[k] >= 0 and (p := parts[before[k]] + piece) in costs:
+                heapq.heappush(queue, (costs[p], before[k], p))
         return [p for p in parts if p]
 
-    def segment_pieces(self, segment: str) -> tuple[list[int], list[int]]:
-        """Ids of a segment, and for each the character it ends before; a character without a piece is its bytes, of which the last one holds it."""
-        ids, ends, at = [], [], 0
-        for p in self.merged(segment):
-            at += len(p)
-            if p in self.ids:
-                ids.append(self.ids[p])
-                ends.append(at)
-            else:
-                spelled = [self.bytes[b] for b in p.encode("utf-8", "replace")]
-                ids += spelled
-                ends += [at - len(p)] * (len(spelled) - 1) + [at]
-        return ids, ends
+    def segment_ids(self, segment: str) -> list[int]:
+        """Ids of a segment; a character without a piece is its bytes."""
+        ids = [self.ids.get(p) for p in self.merged(segment)]
+        if None in ids:
+            ids = [i for p, i in zip(self.merged(segment), ids) for i in ([self.bytes[b] for b in p.encode()] if i is None else [i])]
+        return ids
+
+    def ends(self, ids: np.ndarray) -> np.ndarray:
+        """How many characters of the normalised text stand before the end of each piece. Of the bytes of a character the last one holds it."""
+        sizes = self.sizes[ids]
+        goes_on = np.append(self.goes_on[ids[1:]], False)
+        sizes[self.is_byte[ids] & goes_on] = 0
+        return np.cumsum(sizes)
 
     def encode(self, text: str) -> list[tuple[int, int, int]]:
         """(id, begin, end) of each piece, begin and end id included: its span of the source's UTF-8 bytes. The spans follow one another and cover the source."""
         seen, at = self.normalise(text)
-        out, char = [(self.begin, 0, 0)], 0
-        for segment in self.segment.findall(seen):
-            ids, ends = self.segment_pieces(segment)
-            out += [(i, int(at[char + b]), int(at[char + e])) for i, b, e in zip(ids, [0, *ends], ends)]
-            char += len(segment)
-        size = len(text.encode())
-        return [*out, (self.end, size, size)]
-
-    def decode(self, ids: list[int]) -> str:
+        ids = np.array([i for s in self.segment.findall(seen) for i in self.segment_ids(s)], np.int32)
+        ends, size = at[self.ends(ids)].tolist() if len(ids) else [], len(text.encode())
+        spans = zip(ids.tolist(), [int(at[0]), *ends], ends)
+        return [(self.begin, 0, 0), *spans, (self.end, size, size)]
+
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of ids: neighbouring byte pieces are read as UTF-8 together (what is none is U+FFFD, byte by byte), control ids are nothing, and the first space is left out where the model puts one before texts."""
-        rest, parts = ids, []
-        if not self.controls.isdisjoint(rest):
-            cuts = [k for k, i in enumerate(ids) if i in self.controls]
-            rest = [i for i in ids if i not in self.controls]
-            parts = [ids[a + 1 : b] for a, b in zip([-1, *cuts], [*cuts, len(ids)])]  # bytes are not read across control ids
-        texts = [b"".join(map(self.surfaces.__getitem__, part)).decode("utf-8", "bytewise") for part in parts or [ids]]
-        out = "".join(texts)
+        ids = np.asarray(ids, np.int64)
+        control = self.is_control[ids]
+        rest = ids[~control]
+        if control[1:-1].any():  # bytes are not read across control ids
+            out = "".join(self._spelled(part[~self.is_control[part]]).decode("utf-8", "bytewise") for part in np.split(ids, np.flatnonzero(control)))
+        else:
+            out = self._spelled(rest).decode("utf-8", "bytewise")
         if self.prefix or self.squeeze:
             for i in rest:
                 if self.kinds[i] != NORMAL or not self.names[i].startswith(SPACE):
@@ -204,6 +220,12 @@ class Pieces:
                     break
         return out
 
+    def _spelled(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids one after another, put together by place."""
+        n = self.lengths[ids]
+        upto = np.cumsum(n)
+        return self.pool[np.repeat(self.starts[ids] - upto + n, n) + np.arange(upto[-1])].tobytes() if len(ids) else b""
+
 
 def _model(blob: bytes, kept: dict = {}) -> Pieces:  # noqa: B006
     """The model of these bytes, read once in each worker."""
@@ -215,26 +237,21 @@ def _model(blob: bytes, kept: dict = {}) -> Pieces:  # noqa: B006
 
 def _encoded(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     own = _model(model.value)
-    known: dict[str, tuple[bytes, bytes]] = {}
-    tip = np.array([own.begin], np.int32), np.array([own.end], np.int32)
+    first, last, none = np.array([own.begin], np.int32), np.array([own.end], np.int32), np.zeros(1, np.int64)
     for batch in batches:
         data, offsets = column(batch, "text")
         for lo, hi in pieces(offsets, PIECE_BYTES):
-            all_ids, all_ends, sizes = [], [], [0]
-            if len(known) > CACHE:
-                known = {}
+            if len(own.known) > CACHE:
+                own.known, own.older = {}, own.known
+            known, all_ids, all_ends, sizes = own.known, [], [], [0]
             for a, b in zip(offsets[lo:hi].tolist(), offsets[lo + 1 : hi + 1].tolist()):
                 seen, at = own.normalise(data[a:b].tobytes().decode("utf-8", "bytewise"))
                 segments = own.segment.findall(seen)
-                for s in set(segments):
-                    if s not in known:
-                        known[s] = tuple(np.array(x, np.int32).tobytes() for x in own.segment_pieces(s))
-                found = [known[s] for s in segments]
-                ids = np.frombuffer(b"".join([f[0] for f in found]), np.int32)
-                ends = np.frombuffer(b"".join([f[1] for f in found]), np.int32)
-                n, many = np.fromiter(map(len, segments), np.int64, len(segments)), np.fromiter((len(f[0]) for f in found), np.int64, len(found)) // 4
-                all_ids += [tip[0], ids, tip[1]]
-                all_ends += [[0], at[ends + np.repeat(np.cumsum(n) - n, many)], [b - a]]
+                for s in set(segments).difference(known):
+                    known[s] = own.older.get(s) or np.array(own.segment_ids(s), np.int32).tobytes()
+                ids = np.frombuffer(b"".join(map(known.__getitem__, segments)), np.int32)
+                all_ids += [first, ids, last]
+                all_ends += [none, at[own.ends(ids)] if len(ids) else none[:0], none + b - a]
                 sizes.append(len(ids) + 2)
             bounds = pa.array(np.cumsum(sizes), pa.int32())
             lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(x), pa.int32())) for x in (all_ids, all_ends)]
@@ -253,7 +270,7 @@ def _digests(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
         ids, at = _lists(batch, "ids")
         ends, _ = _lists(batch, "ends")
         spans = list(zip(at[:-1], at[1:]))
-        columns = [[b - a for a, b in spans], [told(ids[a:b].astype("<u4").tobytes()) for a, b in spans], [told(own.decode(ids[a:b].tolist()).encode()) for a, b in spans], [told(ends[a:b].astype("<u4").tobytes()) for a, b in spans]]
+        columns = [[b - a for a, b in spans], [told(ids[a:b].astype("<u4").tobytes()) for a, b in spans], [told(own.decode(ids[a:b]).encode()) for a, b in spans], [told(ends[a:b].astype("<u4").tobytes()) for a, b in spans]]
         yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ends_sha256"])
 
 
@@ -276,8 +293,8 @@ def _kind(df: DataFrame) -> str:
 def encode_pieces(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, ids and ends of every row of docs (doc_id, text): the ids of the whole text, begin and end id included, and the byte of the source's UTF-8 before which each piece ends. A piece begins where the one before ends (the first behind the spaces that a model drops at the start, if it does).
 
-    One pass without a shuffle. Texts fall into segments between which no piece can stand; a task remembers up to CACHE of
-    them and encodes again what it forgets. The model is read on the driver and broadcast; its size doesn't grow with the
+    One pass without a shuffle. Texts fall into segments between which no piece can stand; a Python
+    worker remembers those it met last, at most 2 * CACHE and a few texts' more, and encodes again what it forgets. The model is read on the driver and broadcast; its size doesn't grow with the
     data. Null and empty texts have the begin and end id only. Repeated rows and ids keep a row each; an empty table gives an
     empty result; more columns, whatever they are called, are ignored.
     """
