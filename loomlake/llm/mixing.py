@@ -62,8 +62,9 @@ def hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Col
 
     def walk(p: Column) -> Column:
         n, k, m, mode = p["n"], p["k"], p["m"], p["mode"]
-        up = lambda x: ((k - x) * (m - x)).cast("double") / ((x + 1) * (n - k - m + x + 1)).cast("double")
-        down = lambda x: (x * (n - k - m + x)).cast("double") / ((k - x + 1) * (m - x + 1)).cast("double")
+        times = lambda a, b: a.cast("double") * b.cast("double")  # noqa: E731  products of numbers of blocks outgrow 64 bits
+        up = lambda x: times(k - x, m - x) / times(x + 1, n - k - m + x + 1)
+        down = lambda x: times(x, n - k - m + x) / times(k - x + 1, m - x + 1)
         reach = F.sequence(F.lit(1).cast("long"), p["reach"])
         one, zero = F.lit(1.0), F.lit(0.0)
         step = lambda acc, j: (acc["a"] * up(mode + j - 1), F.when(acc["b"] > 0, acc["b"] * down(mode - j + 1)).otherwise(zero))
@@ -150,7 +151,7 @@ def _drawn(rows: DataFrame, cycle, most: float, block_words: int, shards: int, s
             "source",
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_key"),  # an equi-join needs a key that is never null
-            F.xxhash64(F.lit(seed), "doc_id").alias("_at"),
+            F.xxhash64(F.lit(seed), "rid").alias("_at"),
         ).withColumn("_chunk", F.pmod(F.xxhash64(F.lit(seed), "_at"), F.lit(CHUNKS)).cast("int")),
         "sizes",
     )
