@@ -148,7 +148,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, group: Column | None
     placed = scratch.save(dealt.select("_group", F.col("rows").alias("copies"), F.filter("runs", lambda r: r["end"] > F.col("rank"))[0]["shard"].alias("shard")), "placed")
     scratch.drop("groups")
     total = placed.agg(F.sum("copies")).first()[0] or 0
-    dealt = spread_join(sized, placed, ["_group"], total).withColumn("_part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(PARTS)).cast("int"))
+    dealt = spread_join(sized, placed, ["_group"], total).withColumn("_part", F.pmod(F.xxhash64("doc_id", "_group", F.lit(5)), F.lit(PARTS)).cast("int"))
     counts = dealt.groupBy("shard", "_part").agg(F.count("*").alias("_n"))  # shards * PARTS rows
     bases = counts.withColumn("_base", F.sum("_n").over(Window.partitionBy("shard").orderBy("_part")) - F.col("_n")).select("shard", "_part", "_base")
     order = Window.partitionBy("shard", "_part").orderBy(F.asc_nulls_first("doc_id"), "size", "_group")
