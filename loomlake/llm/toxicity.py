@@ -123,13 +123,15 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grades: int = GRADES) -> Ordinal | None:
     """The model from docs (doc_id, text) and labels (doc_id, toxic); None where either kind of label is missing or no feature tells them apart.
 
-    `sample` bounds the rows of each kind, taken by hash of doc_id, so the driver holds 2 * sample sparse rows at most.
+    `sample` bounds the rows of each kind, taken by hash of doc_id, and of rows
+    that share an id the one with the least text is taken, so the driver holds 2 * sample sparse rows at most.
     Labels say toxic or not; a first fit of that orders the toxic rows, and equal parts of that order are severity 1 to
     `grades`. The second fit is the ordinal one. Null labels are left out.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("grade")).distinct()
     chosen = known.where("grade = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).unionByName(known.where("grade = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("grade", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").select("grade", "text")
     got = rows.mapInArrow(_sparse, "grade int, columns array<int>, values array<float>").toArrow()
     grade = got.column("grade").to_numpy()
     if not len(grade) or grade.min() == grade.max():
