@@ -2,58 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import cosine, occurrences, token_count, tokens
+from ..functions.text import cosine, occurrences, token_count
 from ..sources.stored import stored
+from .postings import K1, B, term_frequencies
 
-K1, B = 1.2, 0.75
 RRF_K, VECTOR_WEIGHT, BM25_WEIGHT = 60, 0.6, 0.4
 
 
-def term_frequencies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, term, tf; counted within the row: equal tokens stand side by side once sorted, so nothing is shuffled."""
-    ts = F.col("_t")
-    begins = F.filter(F.sequence(F.lit(0), F.size(ts) - 1), lambda i: (i == 0) | (F.get(ts, i) != F.get(ts, i - 1)))
-    runs = F.transform("_b", lambda b, k: F.struct(F.get(ts, b).alias("term"), (F.coalesce(F.get("_b", k + 1), F.size(ts)) - b).cast("long").alias("tf")))
-    found = docs.select(key, F.array_sort(tokens(F.col("text"))).alias("_t")).where(F.size("_t") > 0)
-    return found.withColumn("_b", begins).select(key, F.inline(runs))
-
-
 def document_frequencies(docs: DataFrame) -> DataFrame:
-    return docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-
-
-def postings(docs: DataFrame, path: str, key: str = "doc_id", parts: int = 64) -> None:
-    """Writes an index for many queries: term, tf and dl of each document under `part`, the hash of the term, and n and avgdl beside them.
-
-    Texts are tokenised once; a query then reads the partitions of its terms only.
-    """
-    counted = term_frequencies(docs, key).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
-    length = docs.select(key, token_count(F.col("text")).alias("dl"))
-    counted.join(length, key).write.mode("overwrite").partitionBy("part").parquet(f"{path}/terms")
-    length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(parts).alias("parts")).write.mode("overwrite").parquet(f"{path}/totals")
+    return term_frequencies(docs).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def _score(tf: Column, df: Column, n: Column, dl: Column, avgdl: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def bm25_indexed(spark: SparkSession, path: str, query: list[str], key: str = "doc_id") -> DataFrame:
-    """key and score of the rows above 0, from an index that `postings` wrote."""
-    totals = spark.read.parquet(f"{path}/totals")
-    parts = totals.first()["parts"]
-    times = {t: query.count(t) for t in query}
-    weights = spark.createDataFrame([(t, float(n)) for t, n in times.items()], "term string, _times double")
-    named = weights.select(F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("p")).collect()
-    hits = spark.read.parquet(f"{path}/terms").where(F.col("part").isin([r.p for r in named]) & F.col("term").isin(list(times)))
-    frequencies = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(frequencies, "term").join(weights, "term").join(totals.select("n", "avgdl"))
-    return scored.groupBy(key).agg(F.sum(F.col("_times") * _score(F.col("tf"), F.col("df"), F.col("n"), F.col("dl"), F.col("avgdl"))).alias("score")).where("score > 0")
-
-
 def bm25(docs: DataFrame, query: list[str], where=None, key: str = "doc_id") -> DataFrame:
     """key and score of the rows above 0.
 

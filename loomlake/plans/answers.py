@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import answers as A
 from ..operators import graph, reasoning, retrieval, routing
 from ..sources.tables import table
-from .documents import BM25_QUERY, ENTITY_SQL, LATIN, PAIR_SQL, RRF_SQL, TITLE, bm25_sql, query_vector, vector_sql
+from .documents import ENTITY_SQL, LATIN, PAIR_SQL, RRF_SQL, TITLE, bm25_sql, lexical, query_vector, vector_sql
 from .named import collector
 
 QUERIES, ORACLES, query = collector()
@@ -21,8 +21,7 @@ def _titled(spark, d):
 def _sides(spark, d, k):
     v = table(spark, d, "embeddings")
     near = retrieval.nearest(v, query_vector(v), k, -1.0).withColumnRenamed("vec_id", "id")
-    lexical = retrieval.bm25(table(spark, d, "documents").select("doc_id", "text"), BM25_QUERY).orderBy(F.desc("score"), "doc_id").limit(k).withColumnRenamed("doc_id", "id")
-    return near, lexical
+    return near, lexical(spark, d).orderBy(F.desc("score"), "doc_id").limit(k).withColumnRenamed("doc_id", "id")
 
 
 @query(f"SELECT 'both' AS mode, id, round(score, 6) AS score FROM ({RRF_SQL}) UNION ALL SELECT 'vector', vec_id, similarity FROM ({vector_sql(k=10)}) UNION ALL SELECT 'bm25', doc_id, score FROM ({bm25_sql(k=10)})")

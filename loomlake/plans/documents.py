@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph, mentions, retrieval, routing
-from ..sources.stored import stored
+from ..operators import graph, mentions, postings, retrieval, routing, trigrams
+from ..sources.stored import kept, stored
 from ..sources.tables import file_category, new_titles, table
 from .named import collector
 
@@ -33,6 +33,21 @@ def doc_ilike_search(spark, d):
     return found.orderBy("doc_id").limit(50).select("doc_id", "title")
 
 
+ILIKES = ["%th_re%", "%NTHETI%", "%der%on%le%", "%ción%", "thinon%", "%_e%", "%zq%xj%k%"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{p}' AS pattern, count(*) AS docs, min(doc_id) AS first_doc, CAST(sum(length(text)) AS BIGINT) AS size FROM documents WHERE text ILIKE '{p}'" for p in ILIKES))
+def ilike_patterns(spark, d):
+    """Patterns with both wildcards over all texts; where a pattern has three letters in a row, the index says which texts are read."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    path = kept(docs, "trigrams", lambda folder: trigrams.build(docs, folder))
+    out = None
+    for p in ILIKES:
+        part = trigrams.ilike(docs, path, p).agg(F.lit(p).alias("pattern"), F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"), F.sum(F.length("text")).alias("size"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(rf"SELECT doc_id, {TITLE} AS title FROM documents WHERE {TITLE} ILIKE '%der%' ORDER BY doc_id LIMIT 1")
 def doc_title_first(spark, d):
     docs = table(spark, d, "documents").select("doc_id", T.title_of(F.col("text")).alias("title"))
@@ -62,7 +77,7 @@ def embed_coverage(spark, d):
 
 @query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY ALL")
 def tokenize_terms(spark, d):
-    return retrieval.term_frequencies(table(spark, d, "documents"))
+    return postings.term_frequencies(table(spark, d, "documents"))
 
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY term")
@@ -83,18 +98,43 @@ FROM f JOIN df USING (term), s WHERE tf > 0 AND {where} GROUP BY doc_id ORDER BY
 BM25_QUERY = ["the", "hation", "thtion", "the", "thing"]
 
 
+def lexical_index(spark, d) -> str:
+    """The folder of the documents' lexical index, which the first query over these files builds."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return kept(docs, "postings", lambda folder: postings.build(docs, folder))
+
+
+def lexical(spark, d):
+    """doc_id, score of the documents that hold a term of the query."""
+    return postings.scored(spark, lexical_index(spark, d), " ".join(BM25_QUERY))
+
+
 def _top(df, k):
     return df.orderBy(F.desc("score"), "doc_id").limit(k).withColumn("score", F.round("score", 6))
 
 
 @query(bm25_sql())
 def bm25_topk(spark, d):
-    return _top(retrieval.bm25(table(spark, d, "documents").select("doc_id", "text"), BM25_QUERY), 10)
+    return _top(lexical(spark, d), 10)
 
 
 @query(bm25_sql("lang = 'en'"))
 def bm25_topk_category(spark, d):
-    return _top(retrieval.bm25(table(spark, d, "documents").select("doc_id", "text", "lang"), BM25_QUERY, F.col("lang") == "en"), 10)
+    """Corpus statistics are those of all documents."""
+    return _top(lexical(spark, d).join(table(spark, d, "documents").where("lang = 'en'").select("doc_id"), "doc_id", "left_semi"), 10)
+
+
+@query(
+    rf"""WITH t AS (SELECT doc_id, {TOKENS} AS ts FROM documents), s AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM t),
+p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM t) GROUP BY ALL), w AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({TOKENS}) AS term FROM benchmark) GROUP BY ALL),
+x AS (SELECT item_id, doc_id, sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN w USING (term) JOIN p USING (term), s GROUP BY ALL)
+SELECT item_id, doc_id, rank::INTEGER AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM x) WHERE rank <= 10"""
+)
+def bm25_query_set(spark, d):
+    """The ten best documents for each benchmark text, from the blocks of the index whose bounds reach them."""
+    found, _ = postings.search(spark, lexical_index(spark, d), table(spark, d, "benchmark").select("item_id", "text"), 10, "item_id")
+    return found.select(F.col("query").alias("item_id"), "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -144,13 +184,13 @@ def rrf_hybrid(spark, d):
     """Vectors and documents share the id space here; each side gives twice as many rows as the result has."""
     v = table(spark, d, "embeddings")
     near = retrieval.nearest(v, query_vector(v), 20, -1.0).withColumnRenamed("vec_id", "id")
-    lexical = retrieval.bm25(table(spark, d, "documents").select("doc_id", "text"), BM25_QUERY).orderBy(F.desc("score"), "doc_id").limit(20).withColumnRenamed("doc_id", "id")
-    return retrieval.fuse(near, lexical, 10).select("id", F.round("score", 9).alias("score"))
+    found = lexical(spark, d).orderBy(F.desc("score"), "doc_id").limit(20).withColumnRenamed("doc_id", "id")
+    return retrieval.fuse(near, found, 10).select("id", F.round("score", 9).alias("score"))
 
 
 @query(f"WITH b AS ({bm25_sql(k=50)}), e AS (SELECT min(score) AS lo, max(score) AS hi FROM b) SELECT doc_id, round(CASE WHEN hi = lo THEN 1 ELSE (score - lo) / (hi - lo) END, 4) AS normalised FROM b, e")
 def score_minmax(spark, d):
-    best = _top(retrieval.bm25(table(spark, d, "documents").select("doc_id", "text"), BM25_QUERY), 50)
+    best = _top(lexical(spark, d), 50)
     return retrieval.min_max(best, "score").select("doc_id", F.round("normalised", 4).alias("normalised"))
 
 

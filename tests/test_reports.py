@@ -39,14 +39,6 @@ def test_sensitive_names(spark):
         assert one(spark, masking.mask_field(masking.field_kind(name), F.lit("v"))) == "***REDACTED***"
 
 
-def test_index_gives_the_scores_of_the_scan(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "breath and posture and calm breath"), (2, "ginseng root and herb tea"), (3, "posture, breath"), (4, None), (5, "")], "doc_id long, text string")
-    retrieval.postings(docs, str(tmp_path / "i"), parts=4)
-    for q in (["breath", "posture"], ["breath", "breath"], ["ginseng"], ["nothing"]):
-        key = lambda rows: sorted((r.doc_id, round(r.score, 9)) for r in rows)
-        assert key(retrieval.bm25_indexed(spark, str(tmp_path / "i"), q).collect()) == key(retrieval.bm25(docs, q).collect())
-
-
 def test_folds_by_stretches_change_nothing(spark):
     rows = spark.createDataFrame([(k, i, t * 1_000_000) for k in (1, None) for i, t in enumerate((0, 1, 2, 3, 40, 41, 55, 56, 57, 300, 301))], "k long, i long, t long")
     got = [sorted(E.ordered_fold(rows, "k", "t", "i", E.sliding_window(2, 10, False), [], "a", "boolean", gap=gap).collect(), key=str) for gap in (None, 10)]
