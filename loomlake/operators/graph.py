@@ -72,6 +72,28 @@ def hop_steps(edges: DataFrame, start: str, end: str, related: int = 5, max_dept
     return whole.unionByName(relations).unionByName(names.select(F.lit(max_depth + 1).alias("ordinal"), F.concat(F.lit("相关实体: "), F.array_join("n", ", ")).alias("text")))
 
 
+def closure(edges: DataFrame) -> DataFrame:
+    """source, target: every pair of which the second is reached from the first, along one edge or more; edges (source, target) may form cycles.
+
+    Paths double in each round, so rounds are the logarithm of the longest; each is stored. Null ends are left out.
+    """
+    known = stored(edges.where("source is not null and target is not null").select("source", "target").distinct(), "closure")
+    size, more = 0, known.count()
+    while more > size:
+        size = more
+        joined = known.alias("a").join(known.alias("b"), F.col("a.target") == F.col("b.source")).select(F.col("a.source").alias("source"), F.col("b.target").alias("target"))
+        known = stored(known.unionByName(joined).distinct(), "closure")
+        more = known.count()
+    return known
+
+
+def inherited(permissions: DataFrame, parents: DataFrame) -> DataFrame:
+    """role, permission of each role: its own (role, permission), and those of all roles it reaches by parents (role, parent)."""
+    reached = closure(parents.select(F.col("role").alias("source"), F.col("parent").alias("target")))
+    below = reached.join(permissions.withColumnRenamed("role", "target"), "target").select(F.col("source").alias("role"), "permission")
+    return permissions.select("role", "permission").unionByName(below).distinct()
+
+
 def graph_counts(edges: DataFrame) -> DataFrame:
     """entities, relations: what an export of the graph holds."""
     ends = edges.select(F.col("source").alias("v")).unionByName(edges.select(F.col("target").alias("v")))

@@ -4,26 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 LATENCY_BOUNDS = (0.5, 1.0, 2.5, 5.0, 10.0)
 
 
-def floor_percentiles(df: DataFrame, keys: list[str], value: str, percents: dict[str, float], offset: int = 1) -> DataFrame:
-    """keys, n and one column per name: the value at index floor((n - offset) * p) of the key's sorted values.
-
-    Equal values of a key are counted before the shuffle, so a hot key costs its distinct values; without keys all are of one.
-    """
-    df = df.where(F.col(value).isNotNull())
-    if not keys:
-        return floor_percentiles(df.withColumn("_all", F.lit(1)), ["_all"], value, percents, offset).drop("_all")
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    within = Window.partitionBy(*keys).orderBy(value)
-    ranked = counts.withColumn("_upto", F.sum("_c").over(within)).withColumn("n", F.sum("_c").over(Window.partitionBy(*keys)))
-    index = lambda p: F.least(F.floor((F.col("n") - offset) * F.lit(p)), F.col("n") - 1)
-    return ranked.groupBy(*keys).agg(F.first("n").alias("n"), *[F.min(F.when(F.col("_upto") > index(p), F.col(value))).alias(name) for name, p in percents.items()])
-
-
 def counters(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum(value).alias("value"))
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import hash_embedding
 from .events import MICROS
+from .ranks import floor_percentiles
 
 SECONDS_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 # First and last part of a cache key where none are given.
@@ -104,10 +105,7 @@ def resolve_alerts(alerts: DataFrame, resolutions: DataFrame, key: str = "alert_
 
 def throughput(df: DataFrame, level: str, ok: Column, time: str, value: str) -> DataFrame:
     """level, requests, rps (successes a second between the first and the last one), mean, p95 (at index floor(0.95 n) of the sorted values)."""
-    counts = df.groupBy(level, value).agg(F.count("*").alias("_c"))
-    upto = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(level).orderBy(value)))
-    n = F.sum("_c").over(Window.partitionBy(level))
-    p95 = upto.withColumn("_n", n).groupBy(level).agg(F.min(F.when(F.col("_upto") > F.least(F.floor(F.col("_n") * F.lit(0.95)), F.col("_n") - 1), F.col(value))).alias("p95"))
+    p95 = floor_percentiles(df, [level], value, {"p95": 0.95}, offset=0).drop("n")
     span = (F.max(time) - F.min(time)) / F.lit(float(MICROS))
     basic = df.groupBy(level).agg(F.count("*").alias("requests"), (F.count_if(ok) / F.greatest(span, F.lit(1.0))).alias("rps"), F.avg(value).alias("mean"))
     return basic.join(p95, level)

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Relative cost per byte of each tier.
-COST = {"hot": 1.0, "warm": 0.5, "cold": 0.2, "archive": 0.1}
+from .ranks import numbered
+
+# Relative cost per byte and relative latency of each tier, moves of a run and of a batch.
+COST = {"hot": 1.0, "warm": 0.5, "cold": 0.1, "archive": 0.05}
+LATENCY = {"hot": 1.0, "warm": 5.0, "cold": 50.0, "archive": 200.0}
+MOVES, BATCH = 1000, 50
 TARGET = {"frequent": "hot", "moderate": "warm", "rare": "cold", "archive": "archive"}
 
 
@@ -37,6 +41,13 @@ def savings(moves: DataFrame) -> DataFrame:
     return moves.groupBy("tier", "target").agg(F.count("*").alias("moves"), F.sum("size").alias("size"), F.round(F.sum("saving"), 6).alias("saving"))
 
 
+def batches(moves: DataFrame, key: str, most: int = MOVES, size: int = BATCH) -> DataFrame:
+    """Moves of one run: rank, batch (from 1) and latency_gain of the `most` moves that save most, in batches of `size`; ties go by key."""
+    gain = lookup(F.col("tier"), LATENCY) - lookup(F.col("target"), LATENCY)
+    ranked = numbered(moves.withColumn("latency_gain", gain), [F.desc(F.round("saving", 6)), F.asc(key)])
+    return ranked.where(F.col("rank") <= most).withColumn("batch", F.floor((F.col("rank") - 1) / size).cast("int") + 1)
+
+
 def retention(backups: DataFrame, created: str, now, keep: dict[str, int] | None = None) -> DataFrame:
     """backups with age_class and expired: what is older than a day, week, month or year goes while there are more backups in all
     than the class keeps. `now` is a timestamp column or literal."""

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators import events as E
 from ..operators import metrics as M
-from ..operators import quality, tiering
+from ..operators import graph, quality, ranks, rules, tiering
 from ..operators import reports as R
 from ..sources.tables import table
 from .named import collector
@@ -46,15 +46,41 @@ def batch_lookup(spark, d):
 
 
 @query(
-    """WITH RECURSIVE h(child, parent) AS (VALUES ('admin', 'editor'), ('editor', 'user'), ('user', 'guest')), p(role, perm) AS (VALUES ('guest', 'read'), ('user', 'search'), ('editor', 'write'), ('admin', 'delete')),
-r(role, cur) AS (SELECT role, role FROM p UNION SELECT r.role, h.parent FROM r JOIN h ON r.cur = h.child) SELECT r.role, p.perm FROM r JOIN p ON r.cur = p.role"""
+    """WITH RECURSIVE h(child, parent) AS (SELECT 's' || s_suppkey, 's' || s_suppkey // 2 FROM supplier WHERE s_suppkey > 1 UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier
+UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'r' || r_regionkey, 'r' || (r_regionkey + 1) % 5 FROM region WHERE r_regionkey < 3),
+p(role, perm) AS (SELECT 's' || s_suppkey, 'stock:' || s_suppkey FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT 'n' || n_nationkey, 'sell:' || n_name FROM nation UNION ALL SELECT 'r' || r_regionkey, 'read:' || r_name FROM region),
+r(role, cur) AS (SELECT child, child FROM h UNION SELECT role, role FROM p UNION SELECT r.role, h.parent FROM r JOIN h ON r.cur = h.child) SELECT DISTINCT r.role, p.perm FROM r JOIN p ON r.cur = p.role"""
 )
 def role_permissions(spark, d):
-    """Permissions that a role has itself or by the roles under it; the hierarchy is input data."""
-    return spark.sql(
-        """WITH RECURSIVE h(child, parent) AS (VALUES ('admin', 'editor'), ('editor', 'user'), ('user', 'guest')), p(role, perm) AS (VALUES ('guest', 'read'), ('user', 'search'), ('editor', 'write'), ('admin', 'delete')),
-r(role, cur) AS (SELECT role, role FROM p UNION ALL SELECT r.role, h.parent FROM r JOIN h ON r.cur = h.child) SELECT DISTINCT r.role, p.perm FROM r JOIN p ON r.cur = p.role"""
+    """Permissions that a role has itself or by the roles above it: suppliers report to the supplier of half their number and to their nation, nations to regions."""
+    named = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    supplier, nation, region = (table(spark, d, t) for t in ("supplier", "nation", "region"))
+    pairs = lambda df, a, b, names: df.select(a.alias(names[0]), b.alias(names[1]))
+    up, own = ("role", "parent"), ("role", "permission")
+    parents = (
+        pairs(supplier.where("s_suppkey > 1"), named("s", "s_suppkey"), F.concat(F.lit("s"), F.expr("s_suppkey div 2").cast("string")), up)
+        .unionByName(pairs(supplier, named("s", "s_suppkey"), named("n", "s_nationkey"), up))
+        .unionByName(pairs(nation, named("n", "n_nationkey"), named("r", "n_regionkey"), up))
+        .unionByName(pairs(region.where("r_regionkey < 3"), named("r", "r_regionkey"), F.concat(F.lit("r"), ((F.col("r_regionkey") + 1) % 5).cast("string")), up))
     )
+    held = (
+        pairs(supplier.where("s_acctbal > 0"), named("s", "s_suppkey"), named("stock:", "s_suppkey"), own)
+        .unionByName(pairs(nation, named("n", "n_nationkey"), named("sell:", "n_name"), own))
+        .unionByName(pairs(region, named("r", "r_regionkey"), named("read:", "r_name"), own))
+    )
+    return graph.inherited(held, parents).select("role", F.col("permission").alias("perm"))
+
+
+_RULES = r"""SELECT DISTINCT prefix, md5(prefix) AS ordinal FROM (SELECT unnest([regexp_extract(url, '^https?://[^/]+/'), regexp_extract(url, '^https?://[^/]+/[a-z]{2}/'), split_part(url, '#', 1)]) AS prefix FROM pages) WHERE prefix <> ''"""
+
+
+@query(f"WITH r AS ({_RULES}) SELECT page_id, arg_min(prefix, CASE WHEN prefix = url THEN '0' ELSE '1' END || ordinal) AS first, arg_max(prefix, length(prefix)) AS longest FROM pages LEFT JOIN r ON starts_with(url, prefix) GROUP BY page_id")
+def url_rules(spark, d):
+    """The rule for each page's URL, out of as many rules as there are hosts, languages of hosts and addresses."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    parts = F.array(F.regexp_extract("url", "^https?://[^/]+/", 0), F.regexp_extract("url", "^https?://[^/]+/[a-z]{2}/", 0), F.split_part("url", F.lit("#"), F.lit(1)))
+    named = pages.select(F.explode(parts).alias("prefix")).where("prefix != ''").distinct()
+    return rules.match_prefixes(pages, "url", named.select("prefix", F.md5("prefix").alias("ordinal"), F.col("prefix").alias("rule"))).select("page_id", "first", "longest")
 
 
 @query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events GROUP BY user_id HAVING max(value) > 480)")
@@ -129,17 +155,17 @@ def _pick(p, offset=1):
 def latency_stats(spark, d):
     rows = _latest(spark, d)
     basic = rows.agg(F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.expr("percentile(value, 0.5)"), 6).alias("median"), F.round(F.stddev_samp("value"), 6).alias("stdev"))
-    return M.floor_percentiles(rows, [], "value", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}).join(F.broadcast(basic))
+    return ranks.floor_percentiles(rows, [], "value", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}).join(F.broadcast(basic))
 
 
 @query(f"SELECT event_type, count(*) AS n, {_pick(0.5)} AS p50, {_pick(0.95)} AS p95 FROM {LATEST} GROUP BY event_type")
 def latency_by_type(spark, d):
-    return M.floor_percentiles(_latest(spark, d), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+    return ranks.floor_percentiles(_latest(spark, d), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query(f"SELECT user_id, count(*) AS n, {_pick(0.95)} AS p95 FROM events GROUP BY user_id")
 def p95_floor(spark, d):
-    return M.floor_percentiles(table(spark, d, "events"), ["user_id"], "value", {"p95": 0.95})
+    return ranks.floor_percentiles(table(spark, d, "events"), ["user_id"], "value", {"p95": 0.95})
 
 
 @query(f"SELECT user_id, count(*) AS n, {_pick(0.95, 0)} AS p95 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 100 GROUP BY user_id")
@@ -147,7 +173,7 @@ def p95_pool(spark, d):
     """Over each key's last 100 samples."""
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
     last = table(spark, d, "events").withColumn("k", F.row_number().over(w)).where("k <= 100")
-    return M.floor_percentiles(last, ["user_id"], "value", {"p95": 0.95}, offset=0)
+    return ranks.floor_percentiles(last, ["user_id"], "value", {"p95": 0.95}, offset=0)
 
 
 @query("SELECT count(*) FILTER (event_type = 'purchase') AS purchases, count(*) FILTER (ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR) AS recent, count(*) AS total FROM events")
@@ -332,7 +358,8 @@ def access_frequency(spark, d):
     return _usage(spark, d)[0].select("user_id", "n_recent", "frequency")
 
 
-COST_SQL = "CASE {} WHEN 'hot' THEN 1.0 WHEN 'warm' THEN 0.5 WHEN 'cold' THEN 0.2 ELSE 0.1 END"
+LATENCY_SQL = "CASE {} WHEN 'hot' THEN 1.0 WHEN 'warm' THEN 5.0 WHEN 'cold' THEN 50.0 ELSE 200.0 END"
+COST_SQL = "CASE {} WHEN 'hot' THEN 1.0 WHEN 'warm' THEN 0.5 WHEN 'cold' THEN 0.1 ELSE 0.05 END"
 
 
 @query(

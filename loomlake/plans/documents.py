@@ -240,11 +240,13 @@ def domain_fan_out(spark, d):
 
 
 QUESTIONS = ["八段锦第一式怎么做？", "中医怎么把脉？", "孔子的仁政思想是什么？", "今天天气怎么样", "气功和中医的区别", "为什么", "解释原理", "abcdefghijklmnopqrstuvwxyz", "关系", "如何", "步骤如何说明", "cat"]
-QUESTION_ROWS = "(SELECT unnest([" + ", ".join(f"'{q}'" for q in QUESTIONS) + "]) AS text)"
+QUESTION_ROWS = "(SELECT item_id, [" + ", ".join(f"'{q}'" for q in QUESTIONS) + f"][item_id % {len(QUESTIONS)} + 1] || substr(text, 1, item_id % 30) AS text FROM benchmark)"
 
 
-def _questions(spark):
-    return spark.createDataFrame([(q,) for q in QUESTIONS], "text string")
+def _questions(spark, d):
+    """A question for each benchmark text, which it goes on with."""
+    asked = F.element_at(F.array(*map(F.lit, QUESTIONS)), (F.col("item_id") % len(QUESTIONS) + 1).cast("int"))
+    return table(spark, d, "benchmark").select("item_id", F.concat(asked, F.substring("text", F.lit(1), (F.col("item_id") % 30).cast("int"))).alias("text"))
 
 
 def _count_sql(words):
@@ -252,21 +254,21 @@ def _count_sql(words):
 
 
 @query(
-    f"""SELECT text, CASE WHEN greatest(a, b, c) = 0 THEN 'general' WHEN a >= b AND a >= c THEN 'qigong' WHEN b >= c THEN 'tcm' ELSE 'confucian' END AS domain
-FROM (SELECT text, {_count_sql(routing.GATEWAY['qigong'])} AS a, {_count_sql(routing.GATEWAY['tcm'])} AS b, {_count_sql(routing.GATEWAY['confucian'])} AS c FROM {QUESTION_ROWS})"""
+    f"""SELECT item_id, CASE WHEN greatest(a, b, c) = 0 THEN 'general' WHEN a >= b AND a >= c THEN 'qigong' WHEN b >= c THEN 'tcm' ELSE 'confucian' END AS domain
+FROM (SELECT item_id, {_count_sql(routing.GATEWAY['qigong'])} AS a, {_count_sql(routing.GATEWAY['tcm'])} AS b, {_count_sql(routing.GATEWAY['confucian'])} AS c FROM {QUESTION_ROWS})"""
 )
 def gateway_detect(spark, d):
-    return _questions(spark).select("text", routing.gateway_domain(F.col("text")).alias("domain"))
+    return _questions(spark, d).select("item_id", routing.gateway_domain(F.col("text")).alias("domain"))
 
 
-@query(f"SELECT text, CASE WHEN ({_count_sql(T.COMPARISON)}) > 0 THEN 'comparison' WHEN ({_count_sql(T.EXPLANATION)}) > 0 THEN 'explanation' WHEN ({_count_sql(T.MULTI_HOP)}) > 0 THEN 'multi_hop' WHEN length(text) > 20 THEN 'reasoning' ELSE 'factual' END AS kind FROM {QUESTION_ROWS}")
+@query(f"SELECT item_id, CASE WHEN ({_count_sql(T.COMPARISON)}) > 0 THEN 'comparison' WHEN ({_count_sql(T.EXPLANATION)}) > 0 THEN 'explanation' WHEN ({_count_sql(T.MULTI_HOP)}) > 0 THEN 'multi_hop' WHEN length(text) > 20 THEN 'reasoning' ELSE 'factual' END AS kind FROM {QUESTION_ROWS}")
 def question_type(spark, d):
-    return _questions(spark).select("text", T.question_type(F.col("text")).alias("kind"))
+    return _questions(spark, d).select("item_id", T.question_type(F.col("text")).alias("kind"))
 
 
-@query(f"SELECT text, CASE WHEN contains(text, '关系') OR contains(text, '区别') THEN 'graph_rag' WHEN contains(text, '如何') OR contains(text, '步骤') THEN 'react' ELSE 'cot' END AS mode FROM {QUESTION_ROWS}")
+@query(f"SELECT item_id, CASE WHEN contains(text, '关系') OR contains(text, '区别') THEN 'graph_rag' WHEN contains(text, '如何') OR contains(text, '步骤') THEN 'react' ELSE 'cot' END AS mode FROM {QUESTION_ROWS}")
 def reason_mode(spark, d):
-    return _questions(spark).select("text", T.reason_mode(F.col("text")).alias("mode"))
+    return _questions(spark, d).select("item_id", T.reason_mode(F.col("text")).alias("mode"))
 
 
 # Entity patterns for the driver's texts, in the form of the default ones.

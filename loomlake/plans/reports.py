@@ -268,9 +268,10 @@ def tag_guard(spark, d):
     return table(spark, d, "documents").where(R.valid_tags(F.split(F.coalesce("text", F.lit("")), "\n", -1))).agg(F.count("*").alias("insertable"))
 
 
-@query("SELECT 1 AS alive")
+@query("SELECT count(*) > 0 AS alive FROM documents")
 def liveness(spark, d):
-    return spark.range(1).select(F.lit(1).alias("alive"))
+    """Whether the documents can be read and are any."""
+    return table(spark, d, "documents").agg((F.count("*") > 0).alias("alive"))
 
 
 @query("SELECT 'nation' AS table_name, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'all', (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) + (SELECT count(*) FROM part)")
@@ -293,22 +294,23 @@ def related_lookup(spark, d):
     return table(spark, d, "events").select("event_type").distinct().select("event_type", F.array_join(found, ",").alias("related"))
 
 
-_STATIC = [("d1", "one", "a"), ("d2", "two", "b"), ("d3", "three", "b")]
-
-
-@query(f"SELECT category, count(*) AS n, min(id) AS first FROM (VALUES {', '.join(str(r) for r in _STATIC)}) t(id, title, category) GROUP BY category")
+@query("SELECT r_name AS category, count(*) AS n, min(n_name) AS first FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def static_documents(spark, d):
-    return R.static_rows(spark, _STATIC, "id string, title string, category string").groupBy("category").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    """Nations stand for the fixed documents, regions for their categories."""
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.groupBy(F.col("r_name").alias("category")).agg(F.count("*").alias("n"), F.min("n_name").alias("first"))
 
 
-@query("SELECT i AS id, i % 7 + 1 AS document_id, i % 5 + 1 AS user_id, ['highlight', 'comment', 'tag'][i % 3 + 1] AS annotation_type, i * 10 AS start_offset, i * 10 + 20 AS end_offset FROM range(1, 301) t(i)")
+@query("SELECT doc_id AS id, doc_id AS document_id, doc_id % 5 + 1 AS user_id, ['highlight', 'comment', 'tag'][doc_id % 3 + 1] AS annotation_type, (doc_id * 10) % greatest(n_chars, 1) AS start_offset, least((doc_id * 10) % greatest(n_chars, 1) + 20, n_chars) AS end_offset FROM documents")
 def sample_annotations(spark, d):
-    return samples.sample_annotations(spark, 300, documents=7, users=5)
+    """An annotation within each stored document."""
+    return samples.annotations_of(table(spark, d, "documents"), users=5)
 
 
-@query("SELECT 'doc_' || i AS title, ['txt', 'md', 'pdf'][i % 3 + 1] AS extension, i % 5 + 1 AS uploader_id, i * 1024 % 52428800 AS file_size, 'uploads/doc_' || i || '.' || ['txt', 'md', 'pdf'][i % 3 + 1] AS file_path FROM range(1, 201) t(i)")
+@query("SELECT 'doc_' || doc_id AS title, ['txt', 'md', 'pdf'][doc_id % 3 + 1] AS extension, doc_id % 5 + 1 AS uploader_id, n_chars AS file_size, 'uploads/doc_' || doc_id || '.' || ['txt', 'md', 'pdf'][doc_id % 3 + 1] AS file_path FROM documents")
 def sample_documents(spark, d):
-    return samples.sample_documents(spark, 200, users=5)
+    """The upload record of each stored document."""
+    return samples.uploads_of(table(spark, d, "documents"), users=5)
 
 
 @query(

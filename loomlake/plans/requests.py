@@ -11,7 +11,7 @@ from ..operators import events as E
 from ..operators import quality, reasoning, tiering
 from ..sources import samples
 from ..sources.tables import table
-from .analytics import COST_SQL, USAGE, _requests, _usage
+from .analytics import COST_SQL, LATENCY_SQL, USAGE, _requests, _usage
 from .named import collector
 
 QUERIES, ORACLES, query = collector()
@@ -158,11 +158,25 @@ def tier_savings(spark, d):
     return tiering.savings(tiering.plan(*_usage(spark, d)))
 
 
-@query("SELECT 'import_user_' || i AS username, 'import_user_' || i || '@example.com' AS email, 'Import User ' || i AS full_name, true AS is_active, false AS is_admin FROM range(1, 101) t(i)")
+@query(
+    f"""WITH {USAGE}, g AS (SELECT *, CASE frequency WHEN 'frequent' THEN 'hot' WHEN 'moderate' THEN 'warm' WHEN 'rare' THEN 'cold' ELSE 'archive' END AS target FROM f WHERE last < TIMESTAMP '2024-02-20' - INTERVAL 7 DAY),
+m AS (SELECT user_id, round((size * ({COST_SQL.format('tier')} - {COST_SQL.format('target')}))::DOUBLE, 6) AS saving, {LATENCY_SQL.format('tier')} - {LATENCY_SQL.format('target')} AS latency_gain FROM g WHERE target <> tier),
+r AS (SELECT *, row_number() OVER (ORDER BY saving DESC, user_id) AS rank FROM m)
+SELECT user_id, saving, latency_gain::DOUBLE AS latency_gain, rank, ((rank - 1) // 50 + 1)::INTEGER AS batch FROM r WHERE rank <= 1000"""
+)
+def tier_batches(spark, d):
+    """The moves of one run: the thousand that save most, in batches of fifty."""
+    moves = tiering.batches(tiering.plan(*_usage(spark, d)), "user_id")
+    return moves.select("user_id", F.round("saving", 6).alias("saving"), "latency_gain", "rank", "batch")
+
+
+@query("SELECT 'import_user_' || c_custkey AS username, 'import_user_' || c_custkey || '@example.com' AS email, 'Import User ' || c_custkey AS full_name, true AS is_active, false AS is_admin FROM customer")
 def sample_users(spark, d):
-    return samples.sample_users(spark)
+    """A user for each stored customer."""
+    return samples.users_of(table(spark, d, "customer").select(F.col("c_custkey").alias("id")))
 
 
-@query("SELECT i % 100 + 1 AS user_id, 'query ' || i AS query, 'keyword' AS search_type, i % 50 AS results_count, (i % 1000 + 50)::DOUBLE AS response_time_ms FROM range(1, 1001) t(i)")
+@query("SELECT user_id, 'query ' || event_id AS query, 'keyword' AS search_type, event_id % 50 AS results_count, (event_id % 1000 + 50)::DOUBLE AS response_time_ms FROM events")
 def sample_searches(spark, d):
-    return samples.sample_searches(spark)
+    """A search for each stored event, by the event's user."""
+    return samples.searches_of(table(spark, d, "events"), "event_id", "user_id")

@@ -1,14 +1,19 @@
-"""Made-up rows for imports and load tests; every field is a function of the row's number, so reruns agree."""
+"""Made-up rows for imports and load tests; every field is a function of the row's number or of the stored row it belongs to, so reruns agree."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def sample_users(spark: SparkSession, n: int = 100) -> DataFrame:
+def _pick(k: Column, values: tuple) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+
+
+def users_of(ids: DataFrame) -> DataFrame:
+    """A user for each row (id)."""
     name = F.concat(F.lit("import_user_"), F.col("id").cast("string"))
-    return spark.range(1, n + 1).select(
+    return ids.select(
         name.alias("username"),
         F.concat(name, F.lit("@example.com")).alias("email"),
         F.concat(F.lit("Import User "), F.col("id").cast("string")).alias("full_name"),
@@ -17,10 +22,15 @@ def sample_users(spark: SparkSession, n: int = 100) -> DataFrame:
     )
 
 
-def sample_searches(spark: SparkSession, n: int = 1000, users: int = 100) -> DataFrame:
-    k = F.col("id")
-    return spark.range(1, n + 1).select(
-        (k % users + 1).alias("user_id"),
+def sample_users(spark: SparkSession, n: int = 100) -> DataFrame:
+    return users_of(spark.range(1, n + 1))
+
+
+def searches_of(rows: DataFrame, key: str, user: str) -> DataFrame:
+    """A search for each row, by its user."""
+    k = F.col(key)
+    return rows.select(
+        F.col(user).alias("user_id"),
         F.concat(F.lit("query "), k.cast("string")).alias("query"),
         F.lit("keyword").alias("search_type"),
         (k % 50).alias("results_count"),
@@ -37,26 +47,28 @@ def sample_chunks(docs: DataFrame, least: int = 500, most: int = 2000, key: str
     return placed.select(key, "chunk_index", "position", F.substring("text", F.col("position") + 1, F.col("_size")).alias("content"))
 
 
-def sample_documents(spark: SparkSession, n: int = 1000, users: int = 100, extensions: tuple = ("txt", "md", "pdf")) -> DataFrame:
-    k = F.col("id")
-    kind = F.element_at(F.array(*map(F.lit, extensions)), (k % len(extensions) + 1).cast("int"))
+def uploads_of(docs: DataFrame, users: int = 100, extensions: tuple = ("txt", "md", "pdf"), key: str = "doc_id") -> DataFrame:
+    """The upload record of each document (key, n_chars)."""
+    k = F.col(key)
     title = F.concat(F.lit("doc_"), k.cast("string"))
-    return spark.range(1, n + 1).select(
+    return docs.select(
         title.alias("title"),
-        kind.alias("extension"),
+        _pick(k, extensions).alias("extension"),
         (k % users + 1).alias("uploader_id"),
-        (k * 1024 % 52428800).alias("file_size"),
-        F.concat(F.lit("uploads/"), title, F.lit("."), kind).alias("file_path"),
+        F.col("n_chars").alias("file_size"),
+        F.concat(F.lit("uploads/"), title, F.lit("."), _pick(k, extensions)).alias("file_path"),
     )
 
 
-def sample_annotations(spark: SparkSession, n: int = 1000, documents: int = 100, users: int = 100, kinds: tuple = ("highlight", "comment", "tag")) -> DataFrame:
-    k = F.col("id")
-    return spark.range(1, n + 1).select(
-        "id",
-        (k % documents + 1).alias("document_id"),
+def annotations_of(docs: DataFrame, users: int = 100, kinds: tuple = ("highlight", "comment", "tag"), key: str = "doc_id") -> DataFrame:
+    """An annotation of up to twenty characters within each document (key, n_chars)."""
+    k, size = F.col(key), F.col("n_chars")
+    start = k * 10 % F.greatest(size, F.lit(1))
+    return docs.select(
+        k.alias("id"),
+        k.alias("document_id"),
         (k % users + 1).alias("user_id"),
-        F.element_at(F.array(*map(F.lit, kinds)), (k % len(kinds) + 1).cast("int")).alias("annotation_type"),
-        (k * 10).alias("start_offset"),
-        (k * 10 + 20).alias("end_offset"),
+        _pick(k, kinds).alias("annotation_type"),
+        start.alias("start_offset"),
+        F.least(start + 20, size).alias("end_offset"),
     )

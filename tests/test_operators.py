@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomlake.functions import text as T
-from loomlake.operators import events, graph, metrics, quality, retrieval, routing
+from loomlake.operators import events, graph, metrics, quality, ranks, retrieval, routing
 from loomlake.plans import documents
 from loomlake.sources import tables
 
@@ -48,9 +48,9 @@ def test_floor_percentile(spark):
     rows = spark.createDataFrame([("k", float(x)) for x in range(1, 11)], "k string, v double")
     asked = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
     for keys in ([], ["k"]):
-        r = metrics.floor_percentiles(rows, keys, "v", asked).first()
+        r = ranks.floor_percentiles(rows, keys, "v", asked).first()
         assert (r.p50, r.p90, r.p95, r.p99) == (5, 9, 9, 9)
-    assert metrics.floor_percentiles(rows, ["k"], "v", {"p": 0.95}, offset=0).first().p == 10
+    assert ranks.floor_percentiles(rows, ["k"], "v", {"p": 0.95}, offset=0).first().p == 10
 
 
 def test_entities_and_pairs(spark):
