@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -390,7 +392,23 @@ def table_checksum(spark, d):
     return counts[0].unionByName(counts[1])
 
 
-@query()
+_CONTENTS = {
+    "customer": {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"},
+    "nation": {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"},
+    "region": {"r_regionkey": "int", "r_name": "string"},
+    "benchmark": {"item_id": "bigint", "text": "string"},
+}
+
+
+def _contents_sql(name, columns):
+    row = "to_json({" + ", ".join(f"'{c}': {c}" for c in columns) + "})"
+    part = lambda i: f"coalesce(sum(CAST('0x' || substr(h, {i}, 12) AS HUGEINT))::VARCHAR, '0')"
+    schema = ",".join(f"{c}:{t}" for c, t in columns.items())
+    return f"SELECT '{name}' AS table_name, count(*) AS rows, sha256('{schema}|' || count(*) || '|' || {part(1)} || '|' || {part(13)}) AS checksum FROM (SELECT sha256({row}::VARCHAR) AS h FROM {name})"
+
+
+@query(" UNION ALL ".join(_contents_sql(*x) for x in _CONTENTS.items()))
 def table_contents(spark, d):
-    sums = [R.content_checksum(table(spark, d, t)).withColumn("table_name", F.lit(t)) for t in ("customer", "orders")]
-    return sums[0].unionByName(sums[1])
+    """Rows and checksum of the schema and of all rows, in any order, of each table."""
+    sums = [R.content_checksum(table(spark, d, t)).withColumn("table_name", F.lit(t)) for t in _CONTENTS]
+    return functools.reduce(lambda a, b: a.unionByName(b), sums)

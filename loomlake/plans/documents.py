@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph, mentions, postings, retrieval, routing, trigrams
+from ..operators import communities, graph, mentions, postings, retrieval, routing, trigrams
 from ..sources.stored import kept, stored
 from ..sources.tables import file_category, new_titles, table
 from .named import collector
@@ -339,6 +339,24 @@ def dictionary_docs(spark, d):
     return mentions.contained(table(spark, d, "documents"), names).groupBy("name").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
 
 
+def _rounds_sql(n):
+    """Label propagation in n rounds, each as tables of their own."""
+    out = """WITH e AS (SELECT DISTINCT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem), k AS (SELECT source AS a, target AS b, 1 AS w FROM e UNION ALL SELECT target, source, 1 FROM e),
+c0 AS (SELECT DISTINCT a AS name, a AS community FROM k)"""
+    for i in range(n):
+        out += f""",
+v{i} AS (SELECT a, label, sum(w) AS w FROM (SELECT k.a, c.community AS label, w FROM k JOIN c{i} c ON k.b = c.name UNION ALL SELECT name, community, 1 FROM c{i}) GROUP BY a, label),
+b{i} AS (SELECT a, min(label) AS label FROM (SELECT *, max(w) OVER (PARTITION BY a) AS most FROM v{i}) WHERE w = most GROUP BY a),
+c{i + 1} AS (SELECT name, CASE WHEN label {'<' if i % 2 == 0 else '>'} community THEN label ELSE community END AS community FROM c{i} JOIN b{i} ON name = a)"""
+    return f"{out} SELECT name, community FROM c{n}"
+
+
+@query(_rounds_sql(4))
+def graph_communities(spark, d):
+    """Which suppliers and parts hang together, over all of lineitem."""
+    return communities.communities(_supplies(spark, d), 4)
+
+
 def _supplies(spark, d):
     """An edge for each supplier and part that any row of lineitem has."""
     return table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target")).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -10,7 +12,7 @@ from ..operators import metrics as M
 from ..operators import quality
 from ..operators import reports as R
 from ..sources import samples
-from ..sources.tables import import_fields, listed_documents, table
+from ..sources.tables import import_fields, import_records, listed_documents, table, tables_of
 from .analytics import _requests
 from .documents import TITLE, email_sql
 from .named import collector
@@ -274,13 +276,35 @@ def liveness(spark, d):
     return table(spark, d, "documents").agg((F.count("*") > 0).alias("alive"))
 
 
-@query("SELECT 'nation' AS table_name, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'all', (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) + (SELECT count(*) FROM part)")
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in TABLES) + " UNION ALL SELECT 'all', " + " + ".join(f"(SELECT count(*) FROM {t})" for t in TABLES))
 def row_counts(spark, d):
-    counts = [table(spark, d, t).agg(F.lit(t).alias("table_name"), F.count("*").alias("n")) for t in ("nation", "region", "part")]
-    each = counts[0].unionByName(counts[1]).unionByName(counts[2])
+    """The rows of every table that the folder has, and of all."""
+    counts = [table(spark, d, t).agg(F.lit(t).alias("table_name"), F.count("*").alias("n")) for t in tables_of(spark, d)]
+    each = functools.reduce(lambda a, b: a.unionByName(b), counts)
     return each.rollup("table_name").agg(F.sum("n").alias("n")).select(F.coalesce("table_name", F.lit("all")).alias("table_name"), "n")
 
 
+_DATED = "SELECT user_id, 'query ' || event_id AS query, event_id % 50 AS results_count, CASE WHEN event_id % 9 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 'yesterday' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS created_at FROM events"
+
+
+@query(
+    f"""WITH r AS ({_DATED}), c AS (SELECT *, try_cast(created_at AS TIMESTAMP) AS seen FROM r)
+SELECT user_id, count(*) FILTER (created_at IS NULL OR seen IS NOT NULL) AS imported, count(*) FILTER (created_at IS NOT NULL AND seen IS NULL) AS errors, max(epoch_us(seen)) AS last, count(*) FILTER (created_at IS NULL) AS undated FROM c GROUP BY user_id"""
+)
+def import_searches(spark, d):
+    """Searches with dates as text, some missing and some that are none: rows with what can't be read go to the errors."""
+    k = F.col("event_id")
+    said = F.when(k % 9 == 0, F.lit(None)).when(k % 11 == 0, "yesterday").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    raw = table(spark, d, "events").select("user_id", F.concat(F.lit("query "), k.cast("string")).alias("query"), (k % 50).cast("string").alias("results_count"), said.alias("created_at"))
+    rows, errors = import_records(raw, "search_history")
+    kept = rows.groupBy("user_id").agg(F.count("*").alias("imported"), F.max(F.unix_micros("created_at")).alias("last"), F.count_if(F.col("created_at").isNull()).alias("undated"))
+    bad = errors.groupBy("user_id").agg(F.count("*").alias("errors"))
+    return kept.join(bad, "user_id", "full_outer").na.fill(0, ["imported", "undated", "errors"]).select("user_id", "imported", "errors", "last", "undated")
+
+
 RELATED = {"click": ["view", "purchase"], "view": ["click"], "signup": ["view"]}
 _RELATED_ROWS = [(k, x) for k, xs in RELATED.items() for x in xs]
 _RELATED_SQL = " UNION ALL ".join(f"SELECT '{k}' AS event_type, {i} AS i, '{x}' AS related" for i, (k, x) in enumerate(_RELATED_ROWS))

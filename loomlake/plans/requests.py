@@ -117,9 +117,10 @@ def action_scores(spark, d):
     return turns.select("conv_id", reasoning.action_confidence(F.col("n"), F.col("a")).alias("confidence"))
 
 
-@query("SELECT doc_id, lang || '要领。' AS tips FROM documents")
+@query("SELECT doc_id, array_to_string(regexp_extract_all(replace(replace(text, '.', '。'), 'tion', '要领'), '([^。！？]*[注意要领技巧][^。！？]*[。！？])')[1:5], '') AS tips FROM documents")
 def practice_tips(spark, d):
-    said = F.concat("lang", F.lit("要领。"), "source", F.lit("。"))
+    """The first five sentences with a tip; Latin sentence ends and an ending stand for the marks."""
+    said = F.replace(F.replace("text", F.lit("."), F.lit("。")), F.lit("tion"), F.lit("要领"))
     return table(spark, d, "documents").select("doc_id", F.array_join(reasoning.practice_tips(said), "").alias("tips"))
 
 

@@ -10,6 +10,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def tables_of(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the Parquet tables of a folder, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = sorted(f.getPath().getName() for f in files)
+    return [n.removesuffix(".parquet") for n in names if n.endswith(".parquet")]
+
+
 def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a JSON file that is a list, one object, or an object with the list under `data`; a file that can't be parsed has none."""
     raw = spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
@@ -69,6 +77,33 @@ def import_fields(row: DataFrame, category: Column, keep: tuple = ()) -> DataFra
     )
 
 
+# The fields of imported records, their types and what stands for a missing one.
+RECORDS = {
+    "users": {"username": ("string", None), "email": ("string", None), "password_hash": ("string", "placeholder_hash"), "full_name": ("string", None), "is_active": ("boolean", True), "is_admin": ("boolean", False), "last_login": ("timestamp", None)},
+    "documents": {"title": ("string", "Imported Document"), "content": ("string", ""), "file_type": ("string", "text/plain"), "extension": ("string", ".txt"), "uploader_id": ("long", 1), "file_path": ("string", ""), "file_size": ("long", 0)},
+    "search_history": {"user_id": ("long", 1), "query": ("string", ""), "search_type": ("string", "keyword"), "results_count": ("long", 0), "response_time_ms": ("double", 0.0), "created_at": ("timestamp", None)},
+}
+
+
+def import_records(raw: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors) of raw records: the fields of a kind in their types, what is missing by its default; a record with a field that can't be read as its type is among the errors, as it came, with the names of those fields.
+
+    A user without a name is called imported_ and a digest of its record. Dates are ISO 8601; an empty one is none. Fields
+    of raw that the kind doesn't have are left out.
+    """
+    fields = RECORDS[kind]
+    has = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
+    given = {c: F.nullif(has(c).cast("string"), F.lit("")) if t == "timestamp" else has(c) for c, (t, _) in fields.items()}
+    read = {c: F.try_to_timestamp(given[c]).cast("timestamp") if t == "timestamp" else given[c].try_cast(t) for c, (t, _) in fields.items()}
+    unread = F.array_compact(F.array(*[F.when(given[c].isNotNull() & read[c].isNull(), c) for c in fields]))
+    judged = raw.withColumn("_unread", unread)
+    default = {c: F.lit(d) for c, (_, d) in fields.items() if d is not None}
+    if kind == "users":
+        default["username"] = F.concat(F.lit("imported_"), F.substring(F.md5(F.to_json(F.struct(*raw.columns))), 1, 12))
+    rows = judged.where(F.size("_unread") == 0).select(*[F.coalesce(read[c], default[c]).alias(c) if c in default else read[c].alias(c) for c in fields])
+    return rows, judged.where(F.size("_unread") > 0).withColumnRenamed("_unread", "fields")
+
+
 def file_category(name: Column) -> Column:
     """Category by file name; the first rule that holds wins."""
     low = F.lower(name)
