@@ -95,35 +95,3 @@ def _unit(c: Column) -> Column:
 
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def _by_nearness(v: Column, centres: Column) -> Column:
-    """Numbers of the centres, the nearest first."""
-    scored = F.transform(centres, lambda c, i: F.struct((-_dot(v, c)).alias("far"), i.alias("list")))
-    return F.transform(F.array_sort(scored), lambda s: s["list"])
-
-
-def vector_lists(vectors: DataFrame, lists: int = 100, sample: int = 20_000, seed: int = 7, key: str = "vec_id") -> tuple[DataFrame, DataFrame]:
-    """(index, centres): every row in the list of its nearest centre, by cosine; and the centres, one row.
-
-    The centres are fitted by k-means on at most `sample` rows, taken by hash of the key, so what the driver holds does not
-    grow with the table. Rows without an embedding are not in the index.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = vectors.where("embedding is not null").select(key, _unit(F.col("embedding")).alias("v"))
-    few = rows.orderBy(F.xxhash64(F.lit(seed), key)).limit(sample).select(array_to_vector("v").alias("features"))
-    fitted = KMeans(k=lists, seed=seed, maxIter=10).fit(few).clusterCenters()
-    centres = vectors.sparkSession.createDataFrame([([[float(x) for x in c] for c in fitted],)], "centres array<array<double>>").select(F.transform("centres", _unit).alias("centres"))
-    index = rows.join(F.broadcast(centres)).select(key, "v", F.get(_by_nearness(F.col("v"), F.col("centres")), F.lit(0)).alias("list"))
-    return index, centres
-
-
-def nearest_by_lists(index: DataFrame, centres: DataFrame, queries: DataFrame, k: int, probes: int = 10, key: str = "vec_id") -> DataFrame:
-    """query, key, similarity: the k most similar rows of the lists whose centres are the `probes` nearest to each query (key, embedding), the query itself left out."""
-    asked = queries.where("embedding is not null").select(F.col(key).alias("query"), _unit(F.col("embedding")).alias("q")).join(F.broadcast(centres))
-    probed = asked.select("query", "q", F.explode(F.slice(_by_nearness(F.col("q"), F.col("centres")), 1, probes)).alias("list"))
-    scored = index.join(probed, "list").where(F.col("query") != F.col(key)).select("query", key, _dot(F.col("v"), F.col("q")).alias("similarity"))
-    ranked = scored.withColumn("_k", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), key)))
-    return ranked.where(F.col("_k") <= k).select("query", key, "similarity")
