@@ -71,27 +71,3 @@ def hybrid(vector: DataFrame, lexical: DataFrame, k: int, use_vector: bool = Tru
         return fuse(vector, lexical, k, key).select(key, "score")
     side = vector.withColumnRenamed("similarity", "score") if use_vector else lexical if use_bm25 else lexical.where("false")
     return side.select(key, "score").orderBy(F.desc("score"), key).limit(k)
-
-
-def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, block: int = 64, key: str = "vec_id") -> DataFrame:
-    """query, key, similarity: the k most similar rows to each of a stated set of queries (key, embedding), the query itself left out.
-
-    Queries go through in blocks of about `block` vectors, each put together as one row. Whether the blocks are broadcast
-    is left to Spark's size check; beyond it partitions of rows meet partitions of blocks. Within each partition only a
-    query's best k rows are kept before anything is shuffled.
-    """
-    named = queries.where("embedding is not null").select(F.col(key).alias("query"), _unit(F.col("embedding")).alias("q"))
-    dealt = named.withColumn("_block", F.pmod(F.xxhash64("query"), F.lit(max(1, -(-named.count() // block)))))
-    blocks = dealt.groupBy("_block").agg(F.collect_list(F.struct("query", "q")).alias("qs"))
-    rows = vectors.where("embedding is not null").select(key, _unit(F.col("embedding")).alias("v"))
-    pairs = rows.join(blocks).select(key, F.inline(F.transform("qs", lambda q: F.struct(q["query"].alias("query"), _dot(F.col("v"), q["q"]).alias("similarity")))))
-    best = pairs.where(F.col("query") != F.col(key)).withColumn("_k", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), key)))
-    return best.where(F.col("_k") <= k).select("query", key, "similarity")
-
-
-def _unit(c: Column) -> Column:
-    return F.transform(F.array(F.transform(c, lambda x: x.cast("double"))), lambda v: F.transform(F.array(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y))), lambda n: F.transform(v, lambda x: x / n))[0])[0]
-
-
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

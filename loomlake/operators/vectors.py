@@ -40,6 +40,44 @@ def _kmeans(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return centres
 
 
+def _together(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """keys, flat: up to `most` rows in one, their vectors of length 1 one after another."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            part = batch.slice(at, most)
+            rows = _units(part.column(1))
+            lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), x) for n, x in ((part.num_rows, part.column(0)), (rows.size, pa.array(rows.ravel())))]
+            yield pa.RecordBatch.from_arrays(lists, ["keys", "flat"])
+
+
+def _products(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """query, key, similarity of a block of rows and one of queries, by one product of matrices: the k best of each query, with all that equal the last of them."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            keys, flat, queries, asked = (batch.column(c).slice(i, 1).flatten() for c in range(4))
+            rows, qs = (x.to_numpy().reshape(len(n), -1) for x, n in ((flat, keys), (asked, queries)))
+            near = np.round(qs @ rows.T, 12)
+            least = -np.partition(-near, min(k, len(keys) - 1), axis=1)[:, min(k, len(keys) - 1)]  # one more than k, as a query may meet itself
+            q, r = np.nonzero(near >= least[:, None])
+            yield pa.RecordBatch.from_arrays([queries.take(pa.array(q)), keys.take(pa.array(r)), pa.array(near[q, r])], ["query", "key", "similarity"])
+
+
+def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, block: int = GROUP, key: str = "vec_id") -> DataFrame:
+    """query, key, similarity: the k most similar rows to each of a stated set of queries (key, embedding), the query itself left out.
+
+    Rows and queries are put together in blocks where they lie. Whether the queries' blocks are broadcast is left to Spark's
+    size check; beyond it partitions of rows meet partitions of queries. A pair of blocks is one matrix product, of which
+    only each query's best rows leave. Null and empty embeddings are left out; a vector of zeros is at 0 to all.
+    """
+    kind = vectors.schema[key].dataType.simpleString()
+    some = lambda df: df.where("embedding is not null and size(embedding) > 0").select(key, "embedding")
+    blocks = lambda df, most: some(df).mapInArrow(partial(_together, most=most), f"keys array<{kind}>, flat array<double>")
+    met = blocks(vectors, BLOCK).join(blocks(queries, block).toDF("queries", "asked"))
+    best = met.mapInArrow(partial(_products, k=k), f"query {kind}, key {kind}, similarity double").where("query != key").withColumnRenamed("key", key)
+    ranked = best.withColumn("_k", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), key)))
+    return ranked.where(F.col("_k") <= k).select("query", key, "similarity")
+
+
 def _codes(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     """key, list, code of each row: its nearest centre, and the nearest code of each part of what is left."""
     centres, books = model.value

@@ -172,11 +172,15 @@ def graph_confidences(spark, d):
     return per.select("lang", "docs", "relations", reasoning.graph_confidence(F.lit(2), F.col("relations")).alias("confidence"))
 
 
-@query(f"WITH d AS (SELECT * FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 50), e AS ({ENTITY_SQL.replace('FROM documents', 'FROM d')}) SELECT count(*) AS entities, count(DISTINCT doc_id) AS docs FROM e")
+@query(
+    f"WITH d AS (SELECT * FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 50), e AS ({ENTITY_SQL.replace('FROM documents', 'FROM d')}), p AS ({PAIR_SQL.replace('FROM documents', 'FROM d').replace('JOIN documents d ON', 'JOIN d ON')}) "
+    "SELECT count(*) AS entities, count(DISTINCT doc_id) AS docs, (SELECT count(*) FROM p) AS relations FROM e"
+)
 def graph_of_category(spark, d):
-    """A graph for one question is built from the first 50 documents of its category."""
+    """A graph for one question is built from the first 50 documents of its category: what it holds."""
     few = table(spark, d, "documents").where("lang = 'en'").orderBy("doc_id").limit(50)
-    return graph.entities(few, LATIN).agg(F.count("*").alias("entities"), F.countDistinct("doc_id").alias("docs"))
+    edges = graph.cooccurrences(few, LATIN).agg(F.count("*").alias("relations"))
+    return graph.entities(few, LATIN).agg(F.count("*").alias("entities"), F.countDistinct("doc_id").alias("docs")).join(edges)
 
 
 _MID = "WITH e AS (SELECT DISTINCT 's' || l_suppkey AS s, 'p' || l_partkey AS t, l_returnflag AS r FROM lineitem), m AS (SELECT min(t) AS p FROM (SELECT t FROM e WHERE s = 's5' INTERSECT SELECT t FROM e WHERE s = 's6'))"
@@ -208,7 +212,7 @@ SELECT query, vec_id, round(similarity, 6) AS similarity FROM (SELECT *, row_num
 def vector_search_set(spark, d):
     """The stated set of queries, every vec_id divisible by 50, against all rows."""
     v = table(spark, d, "embeddings")
-    return retrieval.nearest_of_each(v, v.where("vec_id % 50 = 0"), 10).withColumn("similarity", F.round("similarity", 6))
+    return vectors.nearest_of_each(v, v.where("vec_id % 50 = 0"), 10).withColumn("similarity", F.round("similarity", 6))
 
 
 def _count(words):
@@ -228,6 +232,11 @@ def domain_results(spark, d):
     return A.domain_rows(_titled(spark, d), DOMAIN_ASKED).select("domain", F.col("k").cast("long").alias("k"), "doc_id", "confidence")
 
 
+def vector_index(spark, d) -> str:
+    v = table(spark, d, "embeddings")
+    return kept(v, "vectors", lambda folder: vectors.build(v, folder))
+
+
 @query()
 def vector_index_search(spark, d):
     """The stated query set against the index of all rows.
@@ -236,5 +245,4 @@ def vector_index_search(spark, d):
     0.9; an eighth of the rows is then compared by its vectors.
     """
     v = table(spark, d, "embeddings")
-    path = kept(v, "vectors", lambda folder: vectors.build(v, folder))
-    return vectors.search(v, path, v.where("vec_id % 50 = 0"), 10, share=0.75, shortlist=250).withColumn("similarity", F.round("similarity", 6))
+    return vectors.search(v, vector_index(spark, d), v.where("vec_id % 50 = 0"), 10, share=0.75, shortlist=250).withColumn("similarity", F.round("similarity", 6))

@@ -33,15 +33,18 @@ def doc_ilike_search(spark, d):
     return found.orderBy("doc_id").limit(50).select("doc_id", "title")
 
 
+def trigram_index(spark, d) -> str:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return kept(docs, "trigrams", lambda folder: trigrams.build(docs, folder))
+
+
 ILIKES = ["%th_re%", "%NTHETI%", "%der%on%le%", "%ción%", "thinon%", "%_e%", "%zq%xj%k%"]
 
 
 @query(" UNION ALL ".join(f"SELECT '{p}' AS pattern, count(*) AS docs, min(doc_id) AS first_doc, CAST(sum(length(text)) AS BIGINT) AS size FROM documents WHERE text ILIKE '{p}'" for p in ILIKES))
 def ilike_patterns(spark, d):
     """Patterns with both wildcards over all texts; where a pattern has three letters in a row, the index says which texts are read."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    path = kept(docs, "trigrams", lambda folder: trigrams.build(docs, folder))
-    out = None
+    docs, path, out = table(spark, d, "documents").select("doc_id", "text"), trigram_index(spark, d), None
     for p in ILIKES:
         part = trigrams.ilike(docs, path, p).agg(F.lit(p).alias("pattern"), F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"), F.sum(F.length("text")).alias("size"))
         out = part if out is None else out.unionByName(part)

@@ -52,8 +52,12 @@ def read_csv(spark: SparkSession, path: str, data_type: str = "users") -> DataFr
     return spark.read.option("header", True).option("inferSchema", False).csv(path)
 
 
-def list_files(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True, most: int | None = None) -> DataFrame:
-    """path, length and modification time of the files, without reading them; the first `most` by path where it is given."""
+def list_files(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True, most: int | None = None, tier: str | None = None) -> DataFrame:
+    """path, length and modification time of the files, without reading them; the first `most` by path where it is given.
+
+    Files lie in a folder for each tier where `tier` is given, and only those of one are listed.
+    """
+    folder = folder if tier is None else f"{folder}/{tier}"
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(folder).select("path", "length", "modificationTime")
     return found if most is None else found.orderBy("path").limit(most)
 
@@ -128,13 +132,31 @@ def write_by_category(df: DataFrame, path: str) -> None:
 
 
 def write_report(df: DataFrame, path: str, kind: str = "json") -> None:
-    """A report as JSON, CSV or text (one string column)."""
-    writer = df.write.mode("overwrite")
-    if kind not in ("json", "csv", "text"):
+    """A report as JSON, CSV, HTML (one table, in one file) or text (one string column)."""
+    if kind not in ("json", "csv", "html", "text"):
         raise ValueError(f"no report of kind {kind}")
+    if kind == "html":
+        df, kind = html_table(df), "text"
+    writer = df.write.mode("overwrite")
     writer.option("header", True).csv(path) if kind == "csv" else getattr(writer, kind)(path)
 
 
+def html_table(df: DataFrame) -> DataFrame:
+    """value: the lines of an HTML table of a report, whose rows are few; nulls are empty cells, and markup in values is shown as it is."""
+    marks = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"))
+
+    def shown(c: Column) -> Column:
+        out = F.coalesce(c.cast("string"), F.lit(""))
+        for a, b in marks:
+            out = F.replace(out, F.lit(a), F.lit(b))
+        return out
+
+    line = lambda tag, cells: F.concat(F.lit("<tr>"), *[x for c in cells for x in (F.lit(f"<{tag}>"), shown(c), F.lit(f"</{tag}>"))], F.lit("</tr>"))
+    ordered = F.array_sort(F.collect_list(line("td", [F.col(f"`{c}`") for c in df.columns])))
+    head = F.array(F.lit("<table>"), line("th", [F.lit(c) for c in df.columns]))
+    return df.agg(F.explode(F.concat(head, ordered, F.array(F.lit("</table>")))).alias("value"))
+
+
 def listed_documents(files: DataFrame, category: str, limit: int | None = None) -> DataFrame:
     """title, content, category, tags of a listing (path): the title is the file's name without its extension, the content says where it comes from. limit: the first so many by path."""
     rows = files if limit is None else files.orderBy("path").limit(limit)

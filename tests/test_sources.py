@@ -39,3 +39,17 @@ def test_records_of_each_kind(spark):
 
 def test_tables_of_a_folder(spark):
     assert S.tables_of(spark, "/root/testdata/sf0.001") == sorted("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
+
+
+def test_an_html_report_is_one_table(spark, tmp_path):
+    rows = spark.createDataFrame([("a<b>", 1), (None, 2)], "name string, `n of rows` long").repartition(3)
+    S.write_report(rows, str(tmp_path / "r"), "html")
+    lines = [r.value for r in spark.read.text(str(tmp_path / "r")).collect()]
+    assert lines == ["<table>", "<tr><th>name</th><th>n of rows</th></tr>", "<tr><td></td><td>2</td></tr>", "<tr><td>a&lt;b&gt;</td><td>1</td></tr>", "</table>"]
+
+
+def test_files_of_a_tier(spark, tmp_path):
+    for tier in ("hot", "cold"):
+        (tmp_path / tier).mkdir()
+        (tmp_path / tier / f"{tier}.txt").write_text("x")
+    assert [r.path.rsplit("/", 1)[1] for r in S.list_files(spark, str(tmp_path), tier="cold").collect()] == ["cold.txt"]

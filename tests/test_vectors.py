@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from loomlake.operators import vectors as V
-from loomlake.operators.retrieval import nearest_of_each
+from loomlake.operators.vectors import nearest_of_each
 
 
 def frame(spark, rows):
