@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.stored import stored, write_parts
+from ..sources.stored import stored
 
 K1, B = 1.2, 0.75
 TOKEN = re.compile(r"\w{2,}")
@@ -44,24 +44,39 @@ def term_frequencies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, "text").mapInArrow(_frequencies, f"key {_kind(docs, key)}, term string, tf long").withColumnRenamed("key", key)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """block, term, keys, tfs, dls of `width` rows at a time; the term '' has all rows of a block."""
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rows and tokens of each batch."""
+    for batch in batches:
+        tokens = sum(len(TOKEN.findall(t.as_py().lower())) for t in batch.column(0) if t.is_valid)
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([tokens])], ["n", "tokens"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], width: int, avgdl: float) -> Iterator[pa.RecordBatch]:
+    """block, term, keys, impacts, most of `width` rows at a time."""
     block = TaskContext.get().partitionId() << 32
     for batch in batches:
-        for lo in range(0, batch.num_rows, width):
-            part = batch.slice(lo, width)
-            counted = [_counts(t.as_py()) for t in part.column(1)]
-            lengths = [sum(c.values()) for c in counted]
-            lists: dict[str, list[tuple[int, int]]] = {"": [(i, 0) for i in range(len(counted))]}
-            for i, counts in enumerate(counted):
-                for term, tf in counts.items():
-                    lists.setdefault(term, []).append((i, tf))
-            flat = [x for found in lists.values() for x in found]
-            bounds = pa.array(np.cumsum([0, *map(len, lists.values())]), pa.int32())
-            rows = pa.array([i for i, _ in flat], pa.int32())
-            columns = [part.column(0).take(rows), pa.array([tf for _, tf in flat], pa.int32()), pa.array([lengths[i] for i, _ in flat], pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(lists), pa.int64()), pa.array(list(lists), pa.string()), *[pa.ListArray.from_arrays(bounds, c) for c in columns]], ["block", "term", "keys", "tfs", "dls"])
+        counted = [_counts(t.as_py()) for t in batch.column(1)]
+        dl = np.array([sum(c.values()) for c in counted], np.float64)
+        blocks, terms, sizes, rows, tfs = [], [], [], [], []
+        for lo in range(0, len(counted), width):
+            lists: dict[str, list[int]] = {}
+            for i in range(lo, min(lo + width, len(counted))):
+                for term in counted[i]:
+                    lists.setdefault(term, []).append(i)
+            for term, held in lists.items():
+                rows += held
+                tfs += [counted[i][term] for i in held]
+            blocks += [block] * len(lists)
+            terms += lists
+            sizes += map(len, lists.values())
             block += 1
+        if not terms:
+            continue
+        at, tf = np.array(rows), np.array(tfs, np.float64)
+        impacts = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[at] / avgdl))
+        bounds = np.cumsum([0, *sizes])
+        lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), x) for x in (batch.column(0).take(pa.array(at)), pa.array(impacts))]
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(terms, pa.string()), *lists, pa.array(np.maximum.reduceat(impacts, bounds[:-1]))], ["block", "term", "keys", "impacts", "most"])
 
 
 def build(docs: DataFrame, path: str, key: str = "doc_id", width: int = WIDTH, parts: int = PARTS) -> None:
@@ -70,22 +85,19 @@ def build(docs: DataFrame, path: str, key: str = "doc_id", width: int = WIDTH, p
     Rows are sorted by length, as texts of like lengths have like scores and so closer bounds. A block is up to `width`
     neighbouring rows of a partition and made in one task, so no posting list is ever gathered: a term has a row in each
     block that it occurs in, with its rows' keys, their impacts (the part of BM25 that does not depend on the query) and the
-    largest of them. Rows lie by hash of the term, sorted by term, so a search reads the
-    columns and row groups of its own terms. Null texts are rows without tokens; null keys are not told apart.
+    largest of them. Rows lie by hash of the term, sorted by term, so a search reads the columns and row groups of its own
+    terms. Texts are read twice, for their lengths first. Null texts are rows without tokens; null keys are not told apart.
     """
-    rows = docs.select(key, "text").withColumn("_size", F.coalesce(F.length("text"), F.lit(0)))
-    by_size = rows.repartitionByRange("_size", F.xxhash64(key)).sortWithinPartitions("_size", key).drop("_size")
-    raw = stored(by_size.mapInArrow(partial(_blocks, width=width), f"block long, term string, keys array<{_kind(docs, key)}>, tfs array<int>, dls array<int>"), "blocks")
-    size = F.aggregate("dls", F.lit(0).cast("long"), lambda a, x: a + x)
-    totals = raw.where("term = ''").agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("tokens"))
-    totals = totals.select("n", F.coalesce(F.col("tokens") / F.nullif("n", F.lit(0)), F.lit(0.0)).alias("avgdl"), F.lit(parts).alias("parts"))
+    counted = docs.select("text").mapInArrow(_lengths, "n long, tokens long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+    totals = counted.select("n", F.coalesce(F.col("tokens") / F.nullif("n", F.lit(0)), F.lit(0.0)).alias("avgdl"), F.lit(parts).alias("parts"))
     totals.write.mode("overwrite").parquet(f"{path}/totals")
     whole = docs.sparkSession.read.parquet(f"{path}/totals").first()
-    part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("part")
-    impacts = F.zip_with("tfs", "dls", lambda tf, dl: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(whole.avgdl))))
-    cut = raw.where("term != ''").select("term", "block", "keys", impacts.alias("impacts"), part)
-    cut = cut.withColumn("most", F.array_max("impacts")).repartition(parts, "part").sortWithinPartitions("part", "term", "block")
-    write_parts(cut, f"{path}/blocks", "part")
+    rows = docs.select(key, "text").withColumn("_size", F.coalesce(F.length("text"), F.lit(0)))
+    by_size = rows.repartitionByRange("_size", F.xxhash64(key)).sortWithinPartitions("_size", key).drop("_size")
+    made = by_size.mapInArrow(partial(_blocks, width=width, avgdl=whole.avgdl), f"block long, term string, keys array<{_kind(docs, key)}>, impacts array<double>, most double")
+    cut = made.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
+    writer = cut.repartition(parts, "part").sortWithinPartitions("part", "term", "block").write.mode("overwrite")
+    (writer.partitionBy("part") if whole.avgdl else writer).parquet(f"{path}/blocks")  # folders of no rows would leave no schema
     read = docs.sparkSession.read.parquet(f"{path}/blocks")
     idf = lambda df: F.log((F.lit(whole.n) - df + 0.5) / (df + 0.5) + 1)
     terms = read.groupBy("part", "term").agg(F.sum(F.size("keys")).alias("df"), F.count("*").alias("blocks")).withColumn("idf", idf(F.col("df")))
