@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANKS = " \t\r\n"
-# A sentence with any one of these characters, up to and with its end.
-TIP = r"([^。！？]*[注意要领技巧][^。！？]*[。！？])"
+# Any one of these characters makes a sentence a tip.
+TIP = "[注意要领技巧]"
 
 
 def numbered_steps(lines: Column) -> Column:
@@ -52,4 +52,7 @@ def graph_confidence(covered: Column, relations: Column) -> Column:
 
 
 def practice_tips(text: Column, most: int = 5) -> Column:
-    return F.slice(F.regexp_extract_all(text, F.lit(TIP), F.lit(1)), 1, most)
+    """The first sentences, with their ends, that hold one of the characters of a tip; a last one without an end is none. Linear in the text."""
+    sentences = F.split(text, "(?<=[。！？])", -1)
+    told = F.filter(sentences, lambda x: F.rlike(x, F.lit(TIP)) & F.substring(x, -1, 1).isin("。", "！", "？"))
+    return F.slice(told, 1, most)
