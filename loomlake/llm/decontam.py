@@ -240,7 +240,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     A document is contaminated by an item where shared windows in one place (see item_covers) have a share of at least
     `cover` or cover at least `quote` words. An item shorter than a window is held where all of it stands. Null, empty and blank texts share nothing; repeated rows and ids
     keep a row each; an empty benchmark contaminates nothing. Items are rows: those with a null or a repeated item_id are
-    items of their own, and item_ids holds the id of each.
+    items of their own; item_ids holds each id once.
     """
     scratch = Scratch(docs.sparkSession, "decontam")
     rows, _ = keyed(docs, scratch)
@@ -253,7 +253,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     else:
         named = named.join(items.select(F.col("rid").alias("_item"), F.col("doc_id").alias("item_id")), "_item")
     held = (F.col("share") >= cover) | (F.col("covered") >= quote)
-    found = F.sort_array(F.collect_list(F.when(held, F.struct("item_id"))))
+    found = F.sort_array(F.collect_set(F.when(held, F.struct("item_id"))))
     per_doc = named.groupBy("rid").agg(F.transform(found, lambda x: x["item_id"]).alias("item_ids"), F.max("share").alias("best_cover"))
     return (
         rows.select("rid", "doc_id")
