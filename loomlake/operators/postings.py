@@ -10,6 +10,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from ..sources.stored import stored
 K1, B = 1.2, 0.75
 TOKEN = re.compile(r"\w{2,}")
 WIDTH, PARTS, PROBES = 8, 64, 32
+PIECE = 1 << 20  # bytes of text whose counts a worker holds at a time
 SLACK = 1e-9  # relative; sums of doubles in another order differ by far less
 
 
@@ -27,8 +29,23 @@ def _counts(text: str | None) -> Counter:
     return Counter(TOKEN.findall(text.lower())) if text else Counter()
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], step: int = 1, most: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """Slices of batches (key, text), of whole steps of rows: as many as hold `most` bytes of text, one at least. So what a
+    worker makes of a slice is bounded by its texts and not by how many rows come in a batch."""
     for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        lo = held = 0
+        for at in range(0, batch.num_rows, step):
+            held, before = held + int(size[at : at + step].sum()), held
+            if before and held > most:
+                yield batch.slice(lo, at - lo)
+                lo, held = at, held - before
+        if lo < batch.num_rows:
+            yield batch.slice(lo)
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _pieces(batches):
         found = [_counts(t.as_py()) for t in batch.column(1)]
         at = np.repeat(np.arange(len(found)), [len(c) for c in found])
         terms, tfs = pa.array(chain.from_iterable(found), pa.string()), pa.array(chain.from_iterable(c.values() for c in found), pa.int64())
