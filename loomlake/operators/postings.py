@@ -71,7 +71,7 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _blocks(batches: Iterator[pa.RecordBatch], width: int, avgdl: float) -> Iterator[pa.RecordBatch]:
     """block, term, keys, impacts, most of `width` rows at a time."""
     block = TaskContext.get().partitionId() << 32
-    for batch in batches:
+    for batch in _pieces(batches, width):
         counted = [_counts(t.as_py()) for t in batch.column(1)]
         dl = np.array([sum(c.values()) for c in counted], np.float64)
         blocks, terms, sizes, rows, tfs = [], [], [], [], []

@@ -22,3 +22,13 @@ def test_pieces_hold_every_row_once_and_a_long_text_alone():
     batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 5, None, "b" * 50, "c", "", "d" * 9])], ["doc_id", "text"])
     cut = lambda step: [b.column(0).to_pylist() for b in postings._pieces(iter([batch, batch.slice(0, 0)]), step, 10)]
     assert cut(1) == [[0, 1], [2], [3, 4, 5]] and cut(4) == [[0, 1, 2, 3], [4, 5]]
+
+
+def test_blocks_of_the_index_leave_in_pieces_of_bounded_text(monkeypatch):
+    monkeypatch.setattr(postings.TaskContext, "get", lambda: type("C", (), {"partitionId": lambda self: 3})())
+    batch = texts(1500, 900)
+    out = list(postings._blocks(iter([batch]), 8, 900.0))
+    assert len(out) > 4 and max(b.num_rows for b in out) <= 977 * 300 / 8
+    blocks = pa.Table.from_batches(out)
+    assert set(blocks.column("block").to_pylist()) == {(3 << 32) + i for i in range(188)}
+    assert sum(len(k) for k in blocks.column("keys").to_pylist()) == 1500 * 900
