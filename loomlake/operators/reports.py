@@ -82,16 +82,22 @@ def attack_windows(df: DataFrame, kinds: dict[str, int], kind: str, ip: str, sec
     """kind, alerts, worst, top_ip: for each kind of event, over all keys, how many rows end a window of `seconds` with at
     least so many events, the largest count, and the address with the most events (the least on a tie).
 
-    Counts are made by windows of time: rows of a bucket of `seconds` and of the one before it are all that a window can
-    hold, so no window spans more than two buckets, and a kind that makes up all rows is spread by bucket.
+    Events are counted by time first. A row adds its count at its time and takes it away once a window that ends there no
+    longer holds it, so a window's count is a running sum and no window is gone through again. A bucket of `seconds` needs
+    the rows of the one before it only, so a kind that makes up all rows is spread by bucket. Rows without a time are all at
+    the same one.
     """
-    rows = df.where(F.col(kind).isin(list(kinds))).withColumn("_b", F.floor(F.col(time) / (seconds * MICROS)))
-    own = rows.select(kind, time, F.col("_b"), F.lit(1).alias("_own"))
-    both = own.unionByName(rows.select(kind, time, (F.col("_b") + 1).alias("_b"), F.lit(0).alias("_own")))
-    w = Window.partitionBy(kind, "_b").orderBy(time).rangeBetween(-seconds * MICROS, 0)
-    counted = both.withColumn("n", F.count("*").over(w)).where("_own = 1")
+    width = seconds * MICROS
+    rows = df.where(F.col(kind).isin(list(kinds)))
+    at = rows.groupBy(kind, time).agg(F.count("*").alias("_own")).withColumn("_b", F.floor(F.col(time) / width))
+    own = at.select(kind, time, "_b", "_own", F.col("_own").alias("_step"))
+    before = at.where(F.col(time).isNotNull()).withColumn("_b", F.col("_b") + 1)
+    came = before.select(kind, time, "_b", F.lit(0).cast("long").alias("_own"), F.col("_own").alias("_step"))
+    gone = before.select(kind, (F.col(time) + F.lit(width + 1)).alias(time), "_b", F.lit(0).cast("long").alias("_own"), (-F.col("_own")).alias("_step"))
+    w = Window.partitionBy(kind, "_b").orderBy(time)
+    counted = own.unionByName(came).unionByName(gone).withColumn("n", F.sum("_step").over(w)).where("_own > 0")
     least = F.element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col(kind))
-    alerts = counted.where(F.col("n") >= least).groupBy(kind).agg(F.count("*").alias("alerts"), F.max("n").alias("worst"))
+    alerts = counted.where(F.col("n") >= least).groupBy(kind).agg(F.sum("_own").alias("alerts"), F.max("n").alias("worst"))
     per = rows.where(F.col(ip).isNotNull()).groupBy(kind, ip).agg(F.count("*").alias("_n"))
     top = per.groupBy(kind).agg(F.min_by(ip, F.struct((-F.col("_n")).alias("n"), F.col(ip).alias("ip"))).alias("top_ip"))
     return alerts.join(top, kind, "left")

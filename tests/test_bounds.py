@@ -1,8 +1,11 @@
 """What tasks hold at a time does not grow with the rows that come together."""
 
+import random
+
 import pyarrow as pa
 
 from loomlake.operators import postings
+from loomlake.operators import reports as R
 
 
 def texts(n, words):
@@ -32,3 +35,15 @@ def test_blocks_of_the_index_leave_in_pieces_of_bounded_text(monkeypatch):
     blocks = pa.Table.from_batches(out)
     assert set(blocks.column("block").to_pylist()) == {(3 << 32) + i for i in range(188)}
     assert sum(len(k) for k in blocks.column("keys").to_pylist()) == 1500 * 900
+
+
+def test_attack_windows_equal_the_definition_with_ties_edges_and_rows_without_a_time(spark):
+    rng, s = random.Random(5), 1_000_000
+    times = [None] * 4 + [rng.choice([rng.randrange(4000 * s), rng.randrange(40) * 100 * s, rng.randrange(40) * 100 * s + 1]) for _ in range(300)]
+    rows = [(t, k, f"ip{i % 3}") for i, t in enumerate(times) for k in ("a", "b")]
+    got = R.attack_windows(spark.createDataFrame(rows, "micros long, kind string, ip string"), {"a": 4, "b": 50}, "kind", "ip", 300).collect()
+    n = [sum(x is None if t is None else x is not None and t - 300 * s <= x <= t for x in times) for t in times]
+    want = {(k, sum(x >= least for x in n), max(n)) for k, least in (("a", 4), ("b", 50)) if max(n) >= least}
+    assert {(r.kind, r.alerts, r.worst) for r in got} == want
+    few = spark.createDataFrame([(None, "a", "x")] * 3 + [(7, "a", "x")], "micros long, kind string, ip string")
+    assert [(r.alerts, r.worst) for r in R.attack_windows(few, {"a": 3}, "kind", "ip", 300).collect()] == [(3, 3)]
