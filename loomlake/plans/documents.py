@@ -362,7 +362,8 @@ def graph_communities(spark, d):
 
 def _supplies(spark, d):
     """An edge for each supplier and part that any row of lineitem has."""
-    return table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target")).distinct()
+    pairs = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    return pairs.select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"))
 
 
 @query("SELECT DISTINCT 'p' || l_partkey AS name FROM lineitem WHERE l_suppkey = 5")

@@ -1,11 +1,15 @@
 """What tasks hold at a time does not grow with the rows that come together."""
 
 import random
+import time
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from loomlake.operators import postings
+from loomlake.llm import decontam
+from loomlake.operators import communities, postings, trigrams
 from loomlake.operators import reports as R
+from loomlake.sources import stored as S
 
 
 def texts(n, words):
@@ -47,3 +51,12 @@ def test_attack_windows_equal_the_definition_with_ties_edges_and_rows_without_a_
     assert {(r.kind, r.alerts, r.worst) for r in got} == want
     few = spark.createDataFrame([(None, "a", "x")] * 3 + [(7, "a", "x")], "micros long, kind string, ip string")
     assert [(r.alerts, r.worst) for r in R.attack_windows(few, {"a": 3}, "kind", "ip", 300).collect()] == [(3, 3)]
+
+
+def test_rounds_of_communities_store_numbers_not_names(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(communities, "stored", lambda df, name: kept.append((name, df.dtypes)) or S.stored(df, name))
+    edges = spark.createDataFrame([("b", "a"), ("a", "é"), ("x", "y"), ("y", "x"), ("z", "z"), (None, "a")], "source string, target string")
+    got = {r.name: r.community for r in communities.communities(edges, 4).collect()}
+    assert got == {"a": "a", "b": "a", "é": "a", "x": "x", "y": "x"}
+    assert sum(name == "labels" for name, _ in kept) and all(kind != "string" for name, kinds in kept if name == "labels" for _, kind in kinds)
