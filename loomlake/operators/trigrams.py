@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.stored import stored, write_parts
@@ -65,13 +66,16 @@ def grams_of(pattern: str) -> list[str]:
     return list(dict.fromkeys(p[i : i + 3] for p in parts for i in range(len(p) - 2)))
 
 
+def _lowered(spark: SparkSession, pattern: str) -> str:
+    return spark.range(1).select(F.lower(F.lit(pattern)).alias("p")).first().p
+
+
 def candidates(spark: SparkSession, path: str, pattern: str, key: str = "doc_id") -> DataFrame | None:
     """key of the rows that hold all of the pattern's rarest grams; None for a pattern without a gram, for which every row is a candidate.
 
     Up to RAREST grams count, those in the fewest blocks first; their masks are intersected by block.
     """
-    lowered = spark.range(1).select(F.lower(F.lit(pattern)).alias("p")).first().p
-    grams = grams_of(lowered)
+    grams = grams_of(_lowered(spark, pattern))
     if not grams:
         return None
     counts = spark.read.parquet(f"{path}/counts").where(F.col("gram").isin(grams)).orderBy("blocks", "gram").collect()
@@ -85,13 +89,27 @@ def candidates(spark: SparkSession, path: str, pattern: str, key: str = "doc_id"
     return keys.join(hits, "block").select(F.inline(held)).toDF(key)
 
 
+def like(spark: SparkSession, text: Column, pattern: str) -> Column:
+    """text ILIKE pattern, in time linear in the text. The parts between percent signs are searched from left to right, each
+    at the first place after the one before, and none is given back: a later place would only leave less for the rest. A
+    plain LIKE with several parts tries all places of each again, so that a text of n characters costs a power of n.
+    """
+    if pattern.count("%") < 3 or "\\" in pattern:
+        return F.ilike(text, F.lit(pattern))
+    pattern = _lowered(spark, pattern)
+    part = lambda p: "".join("." * len(list(g)) if wild else "\\Q" + "".join(g) + "\\E" for wild, g in groupby(p, lambda c: c == "_"))
+    first, *middle, last = map(part, pattern.split("%"))
+    regex = r"(?s)\A" + first + "".join(f"(?>.*?{p})" for p in middle if p) + (rf".*{last}\z" if last else "")
+    return F.rlike(F.lower(text), F.lit(regex))
+
+
 def ilike(docs: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
     """The rows of docs (key, text, and more columns) whose text is like the pattern, letters in either case. Equal to a scan.
 
     Up to PUSHED candidates go to the reader as a list, which skips the row groups and pages without them; more are joined.
     Rows whose key is null are always compared.
     """
-    confirmed = F.ilike(F.col("text"), F.lit(pattern))
+    confirmed = like(docs.sparkSession, F.col("text"), pattern)
     found = candidates(docs.sparkSession, path, pattern, key)
     if found is None:
         return docs.where(confirmed)

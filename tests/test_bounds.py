@@ -60,3 +60,14 @@ def test_rounds_of_communities_store_numbers_not_names(spark, monkeypatch):
     got = {r.name: r.community for r in communities.communities(edges, 4).collect()}
     assert got == {"a": "a", "b": "a", "é": "a", "x": "x", "y": "x"}
     assert sum(name == "labels" for name, _ in kept) and all(kind != "string" for name, kinds in kept if name == "labels" for _, kind in kinds)
+
+
+def test_patterns_of_several_parts_cost_no_power_of_the_text(spark):
+    texts = ["ab_c", "aXbYc", "abc", "cab", "a\nB%c", "xaybzc", "ABAB", "İa", "", "aab", "b.a", None, "acb\nc"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for p in ("%a%b%", "a%b%c", "%a_b%c%", "a%%%b", "%b%c", "_%a%b%_", "%A%B%c", "%.%a%", "%%%", "a%_%_%c", "%i%a%"):
+        got = docs.select(trigrams.like(spark, F.col("text"), p).alias("x"), F.ilike("text", F.lit(p)).alias("y")).collect()
+        assert [r.x for r in got] == [r.y for r in got], p
+    long = spark.createDataFrame([("der on " * 20_000,)], "text string")
+    began = time.time()
+    assert long.where(trigrams.like(spark, F.col("text"), "%der%on%der%on%zq%")).count() == 0 and time.time() - began < 20
