@@ -175,7 +175,8 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
     words are under any of the item's template windows. as_is: the windows are of the words as they are. Items have those
     where template windows leave words out (few literals) or there is but one; documents have windows of the items' lengths
     only, which are `window` and less. Only (rid, pos, key) of the documents is joined, so document windows are not shuffled where Spark's size check
-    lets the benchmark's windows be broadcast; one row per key holds all its places.
+    lets the benchmark's windows be broadcast; one row per key holds all its places. The ids of documents that share a window
+    are stored, so that where they are few enough to be broadcast, only the texts of these documents are shuffled and sorted.
     """
     scratch = scratch or Scratch(docs.sparkSession, "decontam")
     items = benchmark.select("item_id", canonical_tokens(F.col("text")).alias("item_tokens"), item_windows(F.col("text"), window).alias("_wins"))
@@ -197,7 +198,9 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
     )
     found = scratch.save(found, "found")
     by_doc = found.groupBy("rid").agg(F.collect_list(F.struct("item_id", "as_is", "step", "at")).alias("hits"))
-    hits = by_doc.join(docs.select("rid", "text"), "rid").select("rid", canonical_tokens(F.col("text")).alias("tokens"), "hits").select("rid", "tokens", F.inline("hits"))
+    named = scratch.save(found.select("rid").distinct(), "named")
+    texts = docs.select("rid", "text").join(named, "rid", "left_semi")
+    hits = by_doc.join(texts, "rid").select("rid", canonical_tokens(F.col("text")).alias("tokens"), "hits").select("rid", "tokens", F.inline("hits"))
     both = hits.join(items.select("item_id", "item_tokens", "item_size", "coverable"), "item_id").withColumn("under", _under(F.col("at"), window, F.when(F.col("as_is"), F.col("item_size")).otherwise(F.size("item_tokens"))))
     item_token, doc_token = lambda p: F.get(F.col("item_tokens"), p), lambda p: F.get(F.col("tokens"), p + F.col("step"))
     marks = F.filter("under", lambda p: item_token(p)["tmpl"].isin(*MARKS))

@@ -71,3 +71,14 @@ def test_patterns_of_several_parts_cost_no_power_of_the_text(spark):
     long = spark.createDataFrame([("der on " * 20_000,)], "text string")
     began = time.time()
     assert long.where(trigrams.like(spark, F.col("text"), "%der%on%der%on%zq%")).count() == 0 and time.time() - began < 20
+
+
+def test_only_texts_that_share_a_window_are_shuffled(spark, monkeypatch):
+    saved = {}
+    save = decontam.Scratch.save
+    monkeypatch.setattr(decontam.Scratch, "save", lambda self, df, name: saved.setdefault(name, save(self, df, name)))
+    item = "why do small rivers run so slowly past the old stone mill in autumn"
+    docs = spark.createDataFrame([(1, f"so {item} they asked"), (2, "nothing of that kind " * 5), (3, None)], "doc_id long, text string")
+    out = decontam.decontaminate(docs, spark.createDataFrame([(9, item)], "item_id long, text string"))
+    assert {(r.doc_id, r.contaminated) for r in out.collect()} == {(1, True), (2, False), (3, False)}
+    assert [r.rid for r in saved["named"].collect()] == [1]
