@@ -1,4 +1,4 @@
-"""A stored vector index: product-quantised residuals in lists around fitted centres, scored through lookup tables, then confirmed by exact cosine."""
+"""A stored vector index: product-quantised residuals in lists around fitted centres, scored in groups of queries, then confirmed by exact cosine."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,8 +17,11 @@ from ..sources.stored import stored
 CODES = 256  # codes of a part: one byte
 WIDTH = 4  # numbers of a part
 BLOCK = 4096  # codes of a row
-GROUP = 64  # queries scored together
-SALTS = 16  # so many tasks share a list at most
+GROUP = 64  # queries of a product of matrices
+ASKED = 256  # queries that pass the index together
+SHARDS = 4  # parts of the index, each of which gives a shortlist of every query
+DEALT = 1_000_000  # rows of a file of the index
+PIECE = 1024  # rows compared with all centres at once
 SAMPLE, ROUNDS = 20_000, 12
 
 
@@ -29,11 +33,17 @@ def _units(array: pa.Array) -> np.ndarray:
     return rows / np.where(size == 0, 1, size)
 
 
+def _nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row; products are held for a piece of the rows only."""
+    half = (centres**2).sum(1) / 2
+    return np.concatenate([(rows[at : at + PIECE] @ centres.T - half).argmax(1) for at in range(0, len(rows), PIECE)])
+
+
 def _kmeans(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """Centres of rows; one that is left without rows begins again at a row."""
     centres = rows[rng.choice(len(rows), k, replace=len(rows) < k)]
     for _ in range(ROUNDS):
-        near = (rows @ centres.T - (centres**2).sum(1) / 2).argmax(1)
+        near = _nearest(rows, centres)
         sums, n = np.zeros_like(centres), np.bincount(near, minlength=k)
         np.add.at(sums, near, rows)
         centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], rows[rng.integers(len(rows), size=k)])
@@ -84,9 +94,9 @@ def _codes(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
     for batch in batches:
         if batch.num_rows:
             rows = _units(batch.column(1))
-            near = (rows @ centres.T - (centres**2).sum(1) / 2).argmax(1)
+            near = _nearest(rows, centres)
             parts = np.pad(rows - centres[near], ((0, 0), (0, books.shape[0] * WIDTH - rows.shape[1]))).reshape(len(rows), -1, WIDTH)
-            code = np.stack([(parts[:, m] @ book.T - (book**2).sum(1) / 2).argmax(1) for m, book in enumerate(books)], 1).astype(np.uint8)
+            code = np.stack([_nearest(parts[:, m], book) for m, book in enumerate(books)], 1).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary())], ["key", "list", "code"])
 
 
@@ -106,8 +116,8 @@ def build(vectors: DataFrame, path: str, key: str = "vec_id", lists: int | None
     """Writes the index of vectors (key, embedding; all of one length, null ones left out) to a folder: `codes`, `centres` and `books`.
 
     Lists number as the root of the rows (or `lists`), and an eighth of the sample at most. Centres and codebooks are
-    fitted on the driver on at most `sample` rows, taken by hash of the key; every row is coded. Rows are dealt by list and
-    a hash of the key, so that a list with a third of all rows lies in SALTS tasks.
+    fitted on the driver on at most `sample` rows, taken by hash of the key; every row is coded. Rows are dealt by ranges of
+    list and a hash of the key, so that a small list lies in one block as a rule and a large one in many tasks.
     """
     spark = vectors.sparkSession
     rows = vectors.where("embedding is not null and size(embedding) > 0").select(F.col(key).alias("key"), "embedding")
@@ -117,13 +127,13 @@ def build(vectors: DataFrame, path: str, key: str = "vec_id", lists: int | None
     rng = np.random.default_rng(seed)
     units = _units(few.combine_chunks()) if n else np.zeros((1, 1))
     centres = _kmeans(units, max(1, min(lists or round(n**0.5), len(units) // 8 or 1)), rng)
-    left = units - centres[(units @ centres.T - (centres**2).sum(1) / 2).argmax(1)]
+    left = units - centres[_nearest(units, centres)]
     parts = -(-units.shape[1] // WIDTH)
     left = np.pad(left, ((0, 0), (0, parts * WIDTH - units.shape[1]))).reshape(len(units), parts, WIDTH)
     books = np.stack([_kmeans(left[:, m], CODES, rng) for m in range(parts)])
     model = spark.sparkContext.broadcast((centres, books))
-    coded = rows.mapInArrow(partial(_codes, model=model), f"key {kind}, list int, code binary")
-    dealt = coded.repartition("list", F.pmod(F.xxhash64("key"), F.lit(SALTS))).sortWithinPartitions("list")
+    coded = stored(rows.mapInArrow(partial(_codes, model=model), f"key {kind}, list int, code binary"), "coded")
+    dealt = coded.repartitionByRange(max(SHARDS, n // DEALT), "list", F.xxhash64("key")).sortWithinPartitions("list", "key")
     dealt.mapInArrow(_packed, f"list int, keys array<{kind}>, codes binary").write.mode("overwrite").parquet(f"{path}/codes")
     for name, array in (("centres", centres), ("books", books.reshape(-1, CODES * WIDTH))):
         spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(array)], "i int, v array<double>").write.mode("overwrite").parquet(f"{path}/{name}")
@@ -135,57 +145,105 @@ def _fitted(spark: SparkSession, path: str) -> tuple[np.ndarray, np.ndarray]:
     return centres, books.reshape(-1, CODES, WIDTH)
 
 
-def _probed(batches: Iterator[pa.RecordBatch], model, share: float) -> Iterator[pa.RecordBatch]:
-    """query, q, list: the nearest lists of each query, the share of all lists."""
-    centres, _ = model.value
-    k = max(1, round(share * len(centres)))
+def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """query, q: vectors of length 1."""
     for batch in batches:
         if batch.num_rows:
             rows = _units(batch.column(1))
-            near = np.argsort(-(rows @ centres.T), axis=1, kind="stable")[:, :k]
-            at = np.repeat(np.arange(len(rows)), k)
             q = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), q.take(pa.array(at)), pa.array(near.ravel().astype(np.int32))], ["query", "q", "list"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), q], ["query", "q"])
 
 
-def _looked_up(batches: Iterator[pa.RecordBatch], model, most: int) -> Iterator[pa.RecordBatch]:
-    """query, key, about: the `most` rows of each block that score highest with each query of a group, by lookup tables of the products of its parts with the codes."""
-    centres, books = model.value
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """queries, flat: up to ASKED queries in one, their vectors as bytes one after another."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1)
-            centre = centres[row.column(0)[0].as_py()]
-            keys = row.column(1).flatten()
-            codes = np.frombuffer(row.column(2)[0].as_py(), np.uint8).reshape(len(keys), -1)
-            asked = row.column(3).flatten()
-            qs = np.array(asked.field(1).to_pylist())
-            parts = np.pad(qs, ((0, 0), (0, len(books) * WIDTH - qs.shape[1]))).reshape(len(qs), -1, WIDTH)
-            tables = np.einsum("qmw,mcw->qmc", parts, books)
-            about = (qs @ centre)[:, None] + sum(tables[:, m, codes[:, m]] for m in range(len(books)))
-            k = min(most, len(keys))
-            best = np.argpartition(-about, k - 1, axis=1)[:, :k]
-            at = np.repeat(np.arange(len(qs)), k)
-            yield pa.RecordBatch.from_arrays([asked.field(0).take(pa.array(at)), keys.take(pa.array(best.ravel())), pa.array(about[at, best.ravel()])], ["query", "key", "about"])
+        for at in range(0, batch.num_rows, ASKED):
+            part = batch.slice(at, ASKED)
+            flat = part.column(1).flatten().to_numpy(zero_copy_only=False).tobytes()
+            queries = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+            yield pa.RecordBatch.from_arrays([queries, pa.array([flat], pa.binary())], ["queries", "flat"])
+
+
+class _Shortlists:
+    """The `most` rows with the largest estimates of each query of a group, ties by key, over any number of blocks of codes.
+
+    Of a block only those rows are taken up that reach a query's last one so far, so what is held stays at a few shortlists
+    and one block, however many blocks there are.
+    """
+
+    def __init__(self, queries: pa.Array, flat: bytes, centres: np.ndarray, books: np.ndarray, share: float, most: int):
+        self.queries, self.centres, self.books, self.most = queries, centres, books, most
+        self.qs = np.frombuffer(flat, np.float64).reshape(len(queries), -1)
+        near = np.argsort(-(self.qs @ centres.T), axis=1, kind="stable")[:, : max(1, round(share * len(centres)))]
+        self.reads = np.zeros((len(queries), len(centres)), bool)
+        np.put_along_axis(self.reads, near, True, axis=1)
+        self.least = np.full(len(queries), -np.inf)
+        self.held: list[tuple[pa.Array, ...]] = []
+        self.n = 0
+
+    def add(self, at: int, keys: pa.Array, codes: bytes) -> None:
+        """A block of the list numbered `at`, for the queries that read this list."""
+        asked = np.flatnonzero(self.reads[:, at])
+        if not len(asked):
+            return
+        code = np.frombuffer(codes, np.uint8).reshape(len(keys), -1)
+        rows = self.books[np.arange(len(self.books)), code].reshape(len(keys), -1)[:, : self.qs.shape[1]] + self.centres[at]
+        about = self.qs[asked] @ rows.T
+        q, r = np.nonzero(~(about < self.least[asked, None] - 1e-11))  # a query that isn't a number keeps rows, too
+        self.held.append((pa.array(asked[q]), keys.take(pa.array(r)), pa.array(np.round(about[q, r], 12))))
+        self.n += len(q)
+        if self.n > 4 * self.most * len(self.qs):
+            self.cut()
+
+    def cut(self) -> None:
+        q, key, about = (pa.concat_arrays(x) for x in zip(*self.held))
+        order = pc.sort_indices(pa.table([q, about, key], ["q", "about", "key"]), sort_keys=[("q", "ascending"), ("about", "descending"), ("key", "ascending")])
+        which = q.take(order).to_numpy()
+        place = np.arange(len(which)) - np.searchsorted(which, which)
+        kept = order.take(pa.array(np.flatnonzero(place < self.most)))
+        last = place == self.most - 1
+        self.least[which[last]] = about.take(order).to_numpy()[last]
+        self.held, self.n = [(q.take(kept), key.take(kept), about.take(kept))], len(kept)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            self.cut()
+            q, key, about = self.held[0]
+            yield pa.RecordBatch.from_arrays([self.queries.take(q), key, about], ["query", "key", "about"])
+
+
+def _shortlisted(batches: Iterator[pa.RecordBatch], model, share: float, most: int) -> Iterator[pa.RecordBatch]:
+    """query, key, about: the shortlist of each query over the blocks that its group meets one after another."""
+    group, now = None, None
+    for batch in batches:
+        for i, this in enumerate(batch.column(0).to_pylist()):
+            if this != group:
+                if now:
+                    yield from now.rows()
+                group, now = this, _Shortlists(batch.column(1).slice(i, 1).flatten(), batch.column(2)[i].as_py(), *model.value, share, most)
+            now.add(batch.column(3)[i].as_py(), batch.column(4).slice(i, 1).flatten(), batch.column(5)[i].as_py())
+    if now:
+        yield from now.rows()
 
 
 def search(vectors: DataFrame, path: str, queries: DataFrame, k: int, share: float, shortlist: int, key: str = "vec_id") -> DataFrame:
     """query, key, similarity: about the k most similar rows to each query (key, embedding), the query itself and vectors of zeros left out.
 
     The share of the lists nearest to a query is read, a byte for every WIDTH numbers of a row; of their rows the
-    `shortlist` with the largest estimates are compared by their own vectors. A block of codes meets the queries of its
-    list in groups of GROUP, so no pair of row and query is a row before the estimates are cut.
+    `shortlist` with the largest estimates are compared by their own vectors. Groups of ASKED queries meet each of SHARDS
+    parts of the index, a group at a time, and only their shortlists of that part leave the task: as many rows a query
+    however many rows the index has, and no more than a group's shortlists held in a task.
     """
     spark = vectors.sparkSession
     model = spark.sparkContext.broadcast(_fitted(spark, path))
     kind = vectors.schema[key].dataType.simpleString()
-    asked = queries.where("embedding is not null and size(embedding) > 0").select(F.col(key).alias("query"), "embedding")
-    probed = stored(asked.mapInArrow(partial(_probed, model=model, share=share), f"query {kind}, q array<double>, list int"), "probed")
-    order = Window.partitionBy("list").orderBy("query")
-    groups = probed.withColumn("_group", F.floor((F.row_number().over(order) - 1) / GROUP)).groupBy("list", "_group").agg(F.collect_list(F.struct("query", "q")).alias("asked"))
-    blocks = spark.read.parquet(f"{path}/codes").join(groups, "list").select("list", "keys", "codes", "asked")
-    about = blocks.mapInArrow(partial(_looked_up, model=model, most=shortlist + 1), f"query {kind}, key {kind}, about double").where("query != key")
+    asked = queries.where("embedding is not null and size(embedding) > 0").select(F.col(key).alias("query"), "embedding").repartition("query")
+    own = stored(asked.mapInArrow(_unit_rows, f"query {kind}, q array<double>"), "asked")
+    groups = own.mapInArrow(_groups, f"queries array<{kind}>, flat binary").select(F.monotonically_increasing_id().alias("group"), "queries", "flat")
+    blocks = spark.read.parquet(f"{path}/codes").select("list", "keys", "codes").coalesce(SHARDS)
+    met = groups.hint("shuffle_replicate_nl").crossJoin(blocks)  # each task goes through its part of the index once a group
+    about = met.mapInArrow(partial(_shortlisted, model=model, share=share, most=shortlist + 1), f"query {kind}, key {kind}, about double").where("query != key")
     few = about.withColumn("_k", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("about"), "key"))).where(F.col("_k") <= shortlist).select("query", "key")
-    own = probed.groupBy("query").agg(F.first("q").alias("q"))
     rows = vectors.where("embedding is not null").select(F.col(key).alias("key"), "embedding")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     named = rows.join(few, "key").join(own, "query").withColumn("v", F.transform("embedding", lambda x: x.cast("double")))

@@ -1,6 +1,7 @@
 """The quantised index against exact search."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomlake.operators import vectors as V
@@ -50,3 +51,29 @@ def test_empty(spark, tmp_path):
     df, path = frame(spark, [None]), str(tmp_path / "i")
     V.build(df, path)
     assert V.search(df, path, df, 3, share=1.0, shortlist=5).count() == 0
+
+
+def test_no_more_leaves_a_task_than_the_shortlists(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    centres, books, n, most = rng.normal(size=(3, 8)), rng.normal(size=(2, V.CODES, V.WIDTH)), 300, 20
+    qs = rng.normal(size=(50, 8)) / 3
+    blocks = [(i % 3, np.arange(i * n, (i + 1) * n), rng.integers(0, 6, size=(n, 2)).astype(np.uint8)) for i in range(40)]  # few codes, so estimates tie
+    lists = V._Shortlists(pa.array(range(50)), qs.tobytes(), centres, books, 0.67, most)
+    for at, keys, codes in blocks:
+        lists.add(at, pa.array(keys), codes.tobytes())
+        assert lists.n <= 4 * most * 50
+    got = {}
+    for batch in lists.rows():
+        for r in batch.to_pylist():
+            got.setdefault(r["query"], []).append(r["key"])
+    for i, q in enumerate(qs):
+        read = np.argsort(-(centres @ q), kind="stable")[:2]
+        rows = [(-round(float(q @ (centres[at] + books[[0, 1], c].ravel())), 12), int(key)) for at, keys, codes in blocks if at in read for key, c in zip(keys, codes)]
+        assert got[i] == [key for _, key in sorted(rows)[:most]]
+
+
+def test_equal_vectors_are_shortlisted_by_key(spark, tmp_path):
+    df, path = frame(spark, [np.arange(1, 9)] * 3000), str(tmp_path / "i")
+    V.build(df, path, lists=2)
+    found = V.search(df, path, df.where("vec_id in (7, 2900)"), 5, share=1.0, shortlist=6).collect()
+    assert {(r["query"], r.vec_id) for r in found} == {(7, i) for i in range(5)} | {(2900, i) for i in range(5)}
