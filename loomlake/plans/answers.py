@@ -242,7 +242,7 @@ def vector_index_search(spark, d):
     """The stated query set against the index of all rows.
 
     The test tables' vectors don't cluster at all, so three lists of four are read, sixteen bytes a row, for a recall above
-    0.9; an eighth of the rows is then compared by its vectors.
+    0.9; 250 rows a query (an eighth at sf0.1) are then compared by their vectors.
     """
     v = table(spark, d, "embeddings")
     return vectors.search(v, vector_index(spark, d), v.where("vec_id % 50 = 0"), 10, share=0.75, shortlist=250).withColumn("similarity", F.round("similarity", 6))
